@@ -10,16 +10,13 @@ from isobar.llm import stages
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", stages.quality),
-    ("near_dedup", stages.near_dedup),
-    ("substring_dedup", stages.substring_dedup),
-    ("decontamination", stages.decontamination),
+
     ("tokens", stages.tokens),
 ]
 
 #: Trained scores, hash tables and a learned vocabulary cannot be written as SQL; tests hold run() against brute force.
 ORACLE_SQL: str | None = None
 
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; what each returns is written and read again."""
     docs = stages.documents(spark, sf_dir)

@@ -210,3 +210,15 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", per_labe
     ids = sample(have, "y", per_label)
     rate = {r["y"]: r["n"] for r in have.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     return fit(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), rate)
+
+
+def kept(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` (with a ``text`` column) whose score is at least ``threshold``, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in T.slices(batches, "text", 1 << 20):
+            yield rb.filter(pa.array(shared.value(*T.flat(rb.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,3 +17,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """A stage's rows as Parquet in the shared folder, read again."""
     return saved(df)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (score of at least 0.3)."""
+    scorer = op5_quality.learned(docs, table(spark, sf_dir, "labels"))
+    return op5_quality.kept(docs, scorer)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of whole texts, decoded again: counts and hashes of both."""
+    return op7_tokens.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
