@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ def grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in T.slices(batches, "text", 1 << 20):
-            for lang in pa.compute.unique(rb.column(0)).to_pylist():
-                raw, off = T.flat(rb.column(1).filter(pa.compute.equal(rb.column(0), lang)))
+            for lang in pc.unique(rb.column(0)).to_pylist():
+                raw, off = T.flat(rb.column(1).filter(pc.equal(rb.column(0), lang)))
                 code = np.zeros(len(raw), dtype=np.uint64)
                 room = np.repeat(off[1:], np.diff(off)) - np.arange(len(raw))
                 for size in range(1, order + 2):
@@ -151,7 +152,7 @@ def predict(docs: DataFrame, train: DataFrame, per_language: int = SAMPLE, order
             raw, off = T.flat(rb.column(2))
             letters = np.array(rb.column(3).to_numpy(zero_copy_only=False), dtype=bool) & bool(ppm.langs)
             best, score = ppm.predict(raw, off) if ppm.langs else (np.zeros(rb.num_rows, np.int64), np.zeros(rb.num_rows))
-            lang = pa.compute.if_else(pa.array(letters), names.take(pa.array(best)), pa.scalar("und", pa.string()))
+            lang = pc.if_else(pa.array(letters), names.take(pa.array(best)), pa.scalar("und", pa.string()))
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), lang, pa.array(np.where(letters, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
 
     ready = docs.select("doc_id", "held_out", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))

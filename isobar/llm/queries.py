@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_language, op5_quality, op7_tokens, op9_html
+from . import op1_language, op5_quality, op6_decontaminate, op7_tokens, op9_html, op10_rules
 from .common import held_out, table
 
 
@@ -31,5 +31,13 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_html.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_quality_score, op7_sentencepiece, op9_html_text)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_decontaminate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op5_quality_score, op6_decontaminate_report, op7_sentencepiece, op9_html_text, op10_quality_rules)}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate_report": op6_decontaminate.SQL}

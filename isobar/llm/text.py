@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about this many bytes (one longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
@@ -28,7 +29,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         if rb.num_rows == 0:
             continue
         col = rb.column(rb.schema.get_field_index(column))
-        size = np.frombuffer(pa.compute.binary_length(col).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), dtype=np.int64)
+        size = np.frombuffer(pc.binary_length(col).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), dtype=np.int64)
         total = np.cumsum(size)
         at = 0
         while at < rb.num_rows:
