@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,6 +30,9 @@ def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    # What was shuffled for it is of no more use: lets Spark's cleaner delete it now, not at the driver's next full collection.
+    gc.collect()
+    spark._jvm.System.gc()
     return out
 
 
