@@ -23,11 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return str(path)
 
 
-def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def saved(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts the lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    if block_bytes:  # rows of megabytes: readers hold a row group at a time
+        writer = writer.option("parquet.block.size", str(block_bytes))
+    writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
     # What was shuffled for it is of no more use: lets Spark's cleaner delete it now, not at the driver's next full collection.

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_language, op3_minhash, op5_quality, op6_decontaminate, op7_tokens, op9_html, op10_rules
+from . import op1_language, op3_minhash, op5_quality, op6_decontaminate, op7_tokens, op8_anchors, op9_html, op10_rules
 from .common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_tokens.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_anchors.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_html.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -43,5 +47,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_near_duplicates, op5_quality_score, op6_decontaminate_report, op7_sentencepiece, op9_html_text, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_near_duplicates, op5_quality_score, op6_decontaminate_report, op7_sentencepiece, op8_substring_dedup, op9_html_text, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op6_decontaminate_report": op6_decontaminate.SQL}
