@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_language, op3_minhash, op4_suffix, op5_quality, op6_decontaminate, op7_tokens, op8_anchors, op9_html, op10_rules
+from . import op1_language, op2_toxicity, op3_minhash, op4_suffix, op5_quality, op6_decontaminate, op7_tokens, op8_anchors, op9_html, op10_rules
 from .common import held_out, table
 
 
@@ -18,6 +18,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_language.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), train)
 
 
+def op2_toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op2_toxicity.score(docs, op2_toxicity.learned(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -51,5 +56,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_near_duplicates, op4_suffix_dedup, op5_quality_score, op6_decontaminate_report, op7_sentencepiece, op8_substring_dedup, op9_html_text, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity_severity, op3_near_duplicates, op4_suffix_dedup, op5_quality_score, op6_decontaminate_report, op7_sentencepiece, op8_substring_dedup, op9_html_text, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op6_decontaminate_report": op6_decontaminate.SQL}

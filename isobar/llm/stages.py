@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op5_quality, op7_tokens
+from . import op3_minhash, op5_quality, op6_decontaminate, op7_tokens, op8_anchors
 from .common import saved, table
 
 
@@ -28,3 +28,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of whole texts, decoded again: counts and hashes of both."""
     return op7_tokens.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id."""
+    found = op3_minhash.near_duplicates(docs, k=5, percent=80)
+    gone = saved(found.where("not kept").select("doc_id").distinct())
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Rows that repeat an id are one document.
+    again = found.where("doc_id is not null and kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return out
+    single = out.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of twenty words and more that also start earlier are taken out of the texts; ``n_chars`` follows."""
+    out = op8_anchors.deduplicated(docs)
+    if "n_chars" in out.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed = F.length("text").cast(kind)
+        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), F.col("n_chars")).otherwise(changed))
+    return out.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return op6_decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
