@@ -2,14 +2,14 @@
 
 ``P(grade <= k | x) = sigmoid(theta_k - w.x)`` with one weight vector ``w``
 shared by all ordered thresholds ``theta_0 < theta_1 < ...``.  ``x`` marks
-which lower-cased words (letter runs, hashed to ``2 ** BITS`` places) a text
-holds; only words whose share differs between toxic and other training texts
+which lower-cased words (letter runs) and word beginnings of ``STEMS`` bytes a
+text holds, hashed to ``2 ** BITS`` places; only those whose share differs between toxic and other training texts
 by more than ``LEAST_Z`` standard errors are kept.  The expected severity is
 ``sum_k P(grade > k | x)``.
 
 The labels say toxic or not.  Grades above 0 are drawn from them: toxic
-training texts are graded 1 to ``GRADES - 1`` by thirds of the number of kept
-toxic words in a thousand words.
+training texts are graded 1 to ``GRADES - 1`` by thirds of the number of
+different features they hold that speak for toxicity.
 
 Training reads the whole texts of about ``SAMPLE`` documents a label (by a
 hash of the id, so the same ones each time); the fit runs on their kept
@@ -34,8 +34,9 @@ from . import text as T
 from .common import held_out, sample
 from .op5_quality import usable
 
-BITS, GRADES, SAMPLE, LEAST_Z, LEAST_DOCS = 18, 4, 6000, 4.0, 3
-RIDGE, STEPS = 1.0, 300
+BITS, GRADES, SAMPLE, LEAST_Z, LEAST_DOCS = 20, 4, 3000, 5.0, 4
+STEMS = (4, 5, 6, 7, 8)
+RIDGE, STEPS = 0.03, 400
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -43,9 +44,18 @@ _NOT_LETTER = ~_LETTER
 
 
 def features(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, feature)`` of every word, and words a row."""
+    """``(row, feature)`` of every word and word beginning, and words a row."""
     w = T.Words(raw, off, _NOT_LETTER)
-    return w.row(), (w.hashes(T.LOWER) >> np.uint64(64 - BITS)).astype(np.int64), w.n
+    row, shift = w.row(), np.uint64(64 - BITS)
+    if not len(row):
+        return row, row, w.n
+    pre = T.prefix(T.BYTE_VALUE[T.LOWER[raw]])
+    rows, found = [row], [T.ranges(pre, w.start, w.end) >> shift]
+    for k in STEMS:
+        long = np.flatnonzero(w.end - w.start > k)
+        rows.append(row[long])
+        found.append(T.mix(T.ranges(pre, w.start[long], w.start[long] + k) + np.uint64(k)) >> shift)
+    return np.concatenate(rows), np.concatenate(found).astype(np.int64), w.n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -104,20 +114,19 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Ordi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in T.slices(batches, "text", 1 << 20):
-            row, word, n = features(*T.flat(rb.column(0)))
-            pair, count = np.unique(row * (1 << BITS) + word, return_counts=True)
+            row, word, _ = features(*T.flat(rb.column(0)))
+            pair = np.unique(row * (1 << BITS) + word)
             edge = np.searchsorted(pair >> BITS, np.arange(rb.num_rows + 1))
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(x.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([rb.column(1), pa.array(n, pa.int64()), lists(pair & (1 << BITS) - 1), lists(count)], ["y", "n", "words", "times"])
+            yield pa.RecordBatch.from_arrays([rb.column(1), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array((pair & (1 << BITS) - 1).astype(np.int32)))], ["y", "words"])
 
     # The chosen labels, at most about 2 * per_label rows, are broadcast: the corpus is not shuffled for it.
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").mapInArrow(run, "y double, n long, words array<int>, times array<int>").toPandas()
+    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").mapInArrow(run, "y double, words array<int>").toPandas()
     if got.empty or got["y"].nunique() < 2:
         return Ordinal.constant(bool(len(got)) and bool(got["y"].iloc[0]))
     toxic = got["y"].to_numpy() == 1
     size = got["words"].map(len).to_numpy()
     row = np.repeat(np.arange(len(got)), size)
-    word, times = np.concatenate(got["words"].to_numpy()).astype(np.int64), np.concatenate(got["times"].to_numpy())
+    word = np.concatenate(got["words"].to_numpy()).astype(np.int64)
     width = 1 << BITS
     in_toxic, in_all = np.bincount(word[toxic[row]], minlength=width), np.bincount(word, minlength=width)
     a, b, base = toxic.sum(), (~toxic).sum(), in_all / len(got)
@@ -128,11 +137,11 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Ordi
     number = np.full(width, -1)
     number[kept] = np.arange(len(kept))
     has = number[word] >= 0
-    row, col, times = row[has], number[word[has]], times[has]
+    row, col = row[has], number[word[has]]
     bad = z[kept][col] > 0
-    density = np.bincount(row[bad], weights=times[bad], minlength=len(got)) * 1000 / np.maximum(got["n"].to_numpy(), 1)
-    edges = np.quantile(density[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
-    grade = np.where(toxic, 1 + np.searchsorted(edges, density, side="left"), 0)
+    amount = np.bincount(row[bad], minlength=len(got))
+    edges = np.quantile(amount[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
+    grade = np.where(toxic, 1 + np.searchsorted(edges, amount, side="left"), 0)
     w, theta = fit_ordinal(row, col, grade, len(kept))
     weights = np.zeros(width, dtype=np.float32)
     weights[kept] = w
