@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -106,8 +106,13 @@ def stars(nodes: DataFrame) -> DataFrame:
     keys = left.where("size(x) > 0 and size(y) > 0").select("node", F.explode("x").alias("x"), "y").select("node", F.explode(F.transform("y", lambda y: F.xxhash64("x", y))).alias("key"))
     keys = saved(keys)
     least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    out = saved(keys.join(least, "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    star = saved(keys.join(least, "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     dropped(keys)
+    # A node has a star in each table it shares, mostly with the same few nodes:
+    # it keeps the smallest, and that one takes over its ties to the others.
+    best = star.select("b", "a", F.min("a").over(Window.partitionBy("b")).alias("m"))
+    out = saved(best.select(F.col("m").alias("a"), "b").union(best.where("a <> m").select("m", "a")).distinct())
+    dropped(star)
     return out
 
 
