@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,12 +31,16 @@ def saved(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if block_bytes:  # rows of megabytes: readers hold a row group at a time
         writer = writer.option("parquet.block.size", str(block_bytes))
-    writer.parquet(path)
+    # What is shuffled for the write is of no use after it: executors delete it then,
+    # so that a job of several steps needs the disk of one.
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
-    # What was shuffled for it is of no more use: lets Spark's cleaner delete it now, not at the driver's next full collection.
-    gc.collect()
-    spark._jvm.System.gc()
     return out
 
 
