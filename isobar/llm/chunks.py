@@ -24,7 +24,7 @@ from .common import saved
 CHUNK_BYTES = 1 << 20
 
 
-def chunked(docs: DataFrame, extra: bool = False) -> DataFrame:
+def chunked(docs: DataFrame, extra: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``chunk, ids, lens, text[, rest]``; with ``extra`` the other columns of ``docs`` are kept in ``rest``."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if extra else []
     rows = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if others else []))
@@ -32,7 +32,7 @@ def chunked(docs: DataFrame, extra: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        for rb in T.slices(batches, "text", CHUNK_BYTES):
+        for rb in T.slices(batches, "text", chunk_bytes):
             raw, off = T.flat(rb.column(1))
             lens = np.diff(off)
             if rb.column(1).null_count:

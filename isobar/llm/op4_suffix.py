@@ -10,7 +10,7 @@ cut so that equal strings meet:
 2. Chunks send (key, hash of the piece).  Pieces that several chunks have are
    repeated as a whole.  Pieces of one chunk whose key is in several chunks
    are sent as text, with one copy of each other piece of that key.
-3. Pieces are sorted into suffix order (prefix doubling, to 200 bytes).  In
+3. The suffixes of those pieces that have 200 bytes are sorted on them.  In
    that order the previous and next smaller positions of a suffix give its
    longest earlier matches (the longest-previous-factor array), and the
    previous and next larger ones its longest later matches; starts whose
@@ -39,12 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .chunks import Chunk, chunked, covered, each, member, twice
+from .chunks import CHUNK_BYTES, Chunk, chunked, covered, each, member, twice
 from .common import dropped, saved
 
 LENGTH, GRAM = 200, 100
 #: Distinct pieces of a key that are sorted together; bytes of pieces sorted in one task.
-HOT, TASK_BYTES = 2_000, 3 << 20
+HOT, TASK_BYTES = 2_000, 1 << 20
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -67,49 +67,60 @@ class _Cut:
         self.at = at = T.spread(c.off[:-1], np.maximum(size - LENGTH + 1, 0))
         if not len(at):
             self.begin = self.end = at
-            self.key = self.piece = self.hash = np.zeros(0, np.uint64)
+            self.key = self.piece = self.gram = np.zeros(0, np.uint64)
+            self.pre = np.zeros(1, np.uint64)
             return
-        pre = T.prefix(T.BYTE_VALUE[c.raw])
-        place = np.arange(len(c.raw) - GRAM + 1)
-        least = sliding_min(T.ranges(pre, place, place + GRAM), LENGTH - GRAM + 1)[at]
+        self.pre = pre = T.prefix(T.BYTE_VALUE[c.raw])
+        self.gram = T.every(pre, GRAM)
+        least = sliding_min(self.gram, LENGTH - GRAM + 1)[at]
         new = np.ones(len(at), dtype=bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])
-        k = np.arange(len(at))
-        run = np.maximum.accumulate(np.where(new, k, 0))
-        new |= (k - run) % (LENGTH - GRAM + 1) == 0
-        self.begin = np.flatnonzero(new)
+        new[1:] = least[1:] != least[:-1]
+        first = np.cumsum(np.maximum(size - LENGTH + 1, 0))[:-1]
+        new[first[first < len(at)]] = True  # a document's first
+        k = np.flatnonzero(new)
+        run = np.diff(np.r_[k, len(at)])
+        # Long runs, as of one letter, are cut.
+        many = -(-run // (LENGTH - GRAM + 1))
+        self.begin = T.spread(np.zeros(len(k), np.int64), many) * (LENGTH - GRAM + 1) + np.repeat(k, many) if many.max() > 1 else k
         self.end = np.r_[self.begin[1:], len(at)]
         self.key = least[self.begin]
         self.piece = T.ranges(pre, at[self.begin], at[self.end - 1] + LENGTH)
-        self.hash = T.ranges(pre, at, at + LENGTH)
 
     def starts(self, pieces: np.ndarray) -> np.ndarray:
         """Indexes of the starts of the chosen pieces."""
         return T.spread(self.begin[pieces], (self.end - self.begin)[pieces])
 
+    def hashes(self, starts: np.ndarray) -> np.ndarray:
+        at = self.at[starts]
+        return T.ranges(self.pre, at, at + LENGTH)
 
-def suffix_ranks(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """``(order, rank)`` of all suffixes compared on ``length`` bytes, strings ending at ``ends``; equal rank: equal so far."""
-    n = len(raw)
-    place = np.arange(n)
-    room = np.repeat(ends, np.diff(np.r_[0, ends])) - place  # bytes left in the own string
-    rank = raw.astype(np.int64) + 1
-    have = 1
-    while True:
-        step = min(have, length - have)
-        if step <= 0:
-            break
-        # A suffix that ends before has rank 0 there, below every byte.
-        second = np.zeros(n, dtype=np.int64)
-        ok = room > step
-        second[ok] = rank[place[ok] + step]
-        both = rank * (n + 300) + second
-        order = np.argsort(both, kind="stable")
-        s = both[order]
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(np.r_[1, s[1:] != s[:-1]])
-        have += step
-    return np.argsort(rank, kind="stable"), rank
+    def own_repeats(self) -> np.ndarray:
+        """Indexes of starts whose string is repeated in the chunk.
+
+        Equal strings hold the same smallest hash in two places, so only
+        pieces are compared whose key stands in two places.
+        """
+        keys = np.unique(self.key)
+        again = twice(self.gram[member(self.gram, keys)])
+        some = self.starts(np.flatnonzero(member(self.key, again)))
+        h = self.hashes(some)
+        return some[member(h, twice(h))]
+
+
+def suffix_order(raw: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """``(order, rank)`` of the suffixes that begin at ``at``, compared on ``length`` bytes; equal rank: equal so far.
+
+    ``order`` holds indexes into ``at``; equal suffixes stand in the order of their places.
+    """
+    if not len(at):
+        return at, at
+    # Zero bytes at the end of a row compare as missing, in all rows of this length alike.
+    rows = np.lib.stride_tricks.sliding_window_view(raw, length)[at].view(f"S{length}").ravel()
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    rank = np.empty(len(at), dtype=np.int64)
+    rank[order] = np.cumsum(np.r_[True, rows[1:] != rows[:-1]])
+    return order, rank
 
 
 def nearest_smaller(x: np.ndarray) -> np.ndarray:
@@ -123,14 +134,21 @@ def nearest_smaller(x: np.ndarray) -> np.ndarray:
     return at
 
 
-def longest_factors(order: np.ndarray, rank: np.ndarray, full: int, earlier_only: bool = False) -> np.ndarray:
-    """Which positions have a match of ``full`` bytes that starts earlier (or anywhere else).
+def longest_factors(order: np.ndarray, rank: np.ndarray, earlier_only: bool = False) -> np.ndarray:
+    """Which suffixes have a match of full length that starts earlier (or anywhere else).
 
     Previous and next smaller positions in suffix order are the best earlier
-    matches; a match is full where both suffixes have the same rank.
+    matches; a match is full where both suffixes have the same rank.  A suffix
+    whose neighbours in the order both differ has no full match.
     """
     out = np.zeros(len(order), dtype=bool)
-    for x in (order,) if earlier_only else (order, len(order) - 1 - order):
+    alike = np.r_[False, rank[order[1:]] == rank[order[:-1]]]
+    alike[:-1] |= alike[1:]
+    order = order[alike]
+    if not len(order):
+        return out
+    last = len(rank) - 1
+    for x in (order,) if earlier_only else (order, last - order):
         left = nearest_smaller(x)
         right = len(x) - 1 - nearest_smaller(x[::-1])[::-1]
         right[right == len(x)] = -1
@@ -160,20 +178,19 @@ def _pieces_matched(rows: DataFrame, buckets: int) -> DataFrame:
                 b += 1
             part = pdf.iloc[a:b]
             raw = np.frombuffer(b"".join(part["body"]), dtype=np.uint8)
-            ends = np.cumsum(size[a:b])
-            order, rank = suffix_ranks(raw, ends)
-            hit = longest_factors(order, rank, LENGTH)
-            begin = ends - size[a:b]
-            for k, (chunk, piece, alone) in enumerate(zip(part["chunk"], part["piece"], part["alone"], strict=True)):
-                if alone and (s := np.flatnonzero(hit[begin[k] : ends[k] - LENGTH + 1])).size:
-                    out.append((chunk, piece, s.astype(np.int32)))
+            count = size[a:b] - LENGTH + 1
+            first = np.cumsum(count) - count
+            hit = longest_factors(*suffix_order(raw, T.spread(np.cumsum(size[a:b]) - size[a:b], count)))
+            any_hit = np.logical_or.reduceat(hit, first) & part["alone"].to_numpy(dtype=bool)
+            chunk, piece = part["chunk"].to_numpy(), part["piece"].to_numpy()
+            out += [(chunk[k], piece[k], np.flatnonzero(hit[first[k] : first[k] + count[k]]).astype(np.int32)) for k in np.flatnonzero(any_hit)]
             a = b
         return pd.DataFrame(out, columns=["chunk", "piece", "starts"])
 
     return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInPandas(run, "chunk long, piece long, starts array<int>")
 
 
-def repeated(chunks: DataFrame) -> DataFrame:
+def repeated(chunks: DataFrame, hot_kinds: int = HOT) -> DataFrame:
     """``chunk, whole, part_piece, part_starts, hot``: what of a chunk's strings other chunks have too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +206,7 @@ def repeated(chunks: DataFrame) -> DataFrame:
     known = saved(pieces.join(keys, "key"))  # pieces whose key is in several chunks
     whole = sent.join(known.where("lo < hi").select("key", "piece"), ["key", "piece"], "left_semi").groupBy("chunk").agg(F.collect_list("piece").alias("whole"))
     whole = saved(whole)
-    ship = known.where("open and kinds > 1").select(F.col("lo").alias("chunk"), F.struct("piece", (F.col("lo") == F.col("hi")).alias("alone"), (F.col("kinds") > HOT).alias("hot")).alias("p"))
+    ship = known.where("open and kinds > 1").select(F.col("lo").alias("chunk"), F.struct("piece", (F.col("lo") == F.col("hi")).alias("alone"), (F.col("kinds") > hot_kinds).alias("hot")).alias("p"))
     asked = ship.groupBy("chunk").agg(F.collect_list("p").alias("asked"))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +230,7 @@ def repeated(chunks: DataFrame) -> DataFrame:
     shipped = saved(read.join(asked, "chunk").mapInArrow(bodies, "key long, piece long, chunk long, alone boolean, hot boolean, body binary"))
     dropped(known)
     mass = shipped.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
-    buckets = max(shipped.sparkSession.sparkContext.defaultParallelism, int(mass // (2 * TASK_BYTES)) + 1)
+    buckets = max(shipped.sparkSession.sparkContext.defaultParallelism, int(mass // (6 * TASK_BYTES)) + 1)
     part = _pieces_matched(shipped.where("not hot"), buckets).groupBy("chunk").agg(F.collect_list(F.struct("piece", "starts")).alias("part"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +254,10 @@ def repeated(chunks: DataFrame) -> DataFrame:
 def _gone(c: Chunk, part: pa.Scalar) -> np.ndarray:
     """Which bytes of a chunk lie in repeated strings."""
     cut = _Cut(c)
-    hit = member(cut.hash, twice(cut.hash)) | member(cut.hash, c.keys("hot"))
+    hit = np.zeros(len(cut.at), dtype=bool)
+    hit[cut.own_repeats()] = True
+    if len(hot := c.keys("hot")):
+        hit |= member(cut.hashes(np.arange(len(cut.at))), hot)
     hit[cut.starts(np.flatnonzero(member(cut.piece, c.keys("whole"))))] = True
     if part.is_valid and len(part.values):
         p = part.values.field("piece").to_numpy(zero_copy_only=False).view(np.uint64)
@@ -249,10 +269,10 @@ def _gone(c: Chunk, part: pa.Scalar) -> np.ndarray:
     return covered(cut.at[hit], LENGTH, len(c.raw))
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, hot_kinds: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
-    chunks = chunked(docs)
-    found = repeated(chunks)
+    chunks = chunked(docs, chunk_bytes=chunk_bytes)
+    found = repeated(chunks, hot_kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:

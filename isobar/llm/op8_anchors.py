@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .chunks import Chunk, chunked, covered, each, member
+from .chunks import CHUNK_BYTES, Chunk, chunked, covered, each, member
 from .common import dropped, saved
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
@@ -119,8 +119,8 @@ def _removed(c: Chunk) -> tuple[_Cut, np.ndarray]:
     return cut, covered(at[go], WINDOW, len(cut.row))
 
 
-def _over(docs: DataFrame, extra: bool, schema: Callable[[DataFrame], str], make: Callable[[Chunk, _Cut, np.ndarray], pa.RecordBatch]) -> DataFrame:
-    chunks = chunked(docs, extra)
+def _over(docs: DataFrame, extra: bool, schema: Callable[[DataFrame], str], make: Callable[[Chunk, _Cut, np.ndarray], pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    chunks = chunked(docs, extra, chunk_bytes)
     later = later_runs(chunks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def _over(docs: DataFrame, extra: bool, schema: Callable[[DataFrame], str], make
     return chunks.join(later, "chunk", "left").mapInArrow(run, schema(chunks))
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row."""
 
     def make(c: Chunk, cut: _Cut, gone: np.ndarray) -> pa.RecordBatch:
@@ -140,7 +140,7 @@ def digests(docs: DataFrame) -> DataFrame:
         n_gone = np.diff(np.r_[0, np.cumsum(gone)][first])
         return pa.RecordBatch.from_arrays([c.ids, pa.array(cut.words.n.astype(np.int64)), pa.array(n_gone.astype(np.int64)), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _over(docs, False, lambda _: "doc_id long, n_words long, n_removed long, kept_sha256 string", make)
+    return _over(docs, False, lambda _: "doc_id long, n_words long, n_removed long, kept_sha256 string", make, chunk_bytes)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -54,11 +54,14 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finishes a 64-bit hash (all output bits depend on all input bits)."""
-    h = h ^ (h >> np.uint64(30))
+    t = h >> np.uint64(30)
+    h = np.bitwise_xor(h, t, out=t)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
+    t = h >> np.uint64(27)
+    h ^= t
     h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(31)
+    np.right_shift(h, np.uint64(31), out=t)
+    h ^= t
     return h
 
 
@@ -88,6 +91,16 @@ def ranges(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((pre[end] - pre[start]) * _power(-1, len(pre))[start])
 
 
+def every(pre: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of ``[i, i + width)`` for every i, without gathering."""
+    n = len(pre) - width
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = pre[width:] - pre[:n]
+    h *= _power(-1, n)
+    return mix(h)
+
+
 #: A random value for each byte, so that sums of neighbouring byte values say nothing.
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
