@@ -51,9 +51,10 @@ def pdo(df: DataFrame, by: list[str]) -> tuple[DataFrame, np.ndarray]:
     The sign makes the mean of the mode not positive. Returns the index and the mode.
     """
     mean = df.groupBy(*by).agg(box_mean(None).alias("_g"))
-    box = df.where(inside(PDO)).join(mean, by).select(*by, "lat", "lon", F.when(F.col("value").isNotNull(), (F.col("value") - F.col("_g")) * area_weight(F.col("lat"))).alias("x"))
+    box = df.where(inside(PDO)).join(mean, by).select(*by, "lat", "lon", F.when(F.col("value").isNotNull(), (F.col("value") - F.col("_g")) * area_weight(F.col("lat"))).alias("x")).persist()
     full = box.groupBy("lat", "lon").agg(F.count("x").alias("_n"), F.count(F.lit(1)).alias("_m")).where("_n = _m").select("lat", "lon")
-    rows = box.join(F.broadcast(full), ["lat", "lon"])  # cells of one box of a grid
+    # Cells of one box of a grid; read by the fit and the projection.
+    rows = box.join(F.broadcast(full), ["lat", "lon"]).persist()
     fit = eof_fit(rows, state=["lat", "lon"], sample=by, rank=1)
     if fit.u[:, 0].mean() > 0:
         fit.u = -fit.u

@@ -52,7 +52,7 @@ class Mapper:
 
     def fit(self, df: DataFrame, time: list[str]) -> Mapper:
         """From (field, lat, lon, time columns, value); with ``by_season`` the time columns hold ``season``."""
-        df = nan_mask(df, ["field", "lat", "lon"])
+        df = nan_mask(df, ["field", "lat", "lon"]).persist()
         self.fields = sorted(r[0] for r in df.select("field").distinct().collect())
         rest, mean = self._split(df, time)
         q = ["season"] if self.by_season else []
@@ -67,6 +67,7 @@ class Mapper:
             scores = self._individual(df, time).where(F.col("part") < self._sizes(joint))
             fit = eof_fit(scores.withColumnRenamed("score", "x"), ["part"], time, self.l)
             self.joint = fit.u
+        df.unpersist()
         return self
 
     def _order(self) -> list[str]:
