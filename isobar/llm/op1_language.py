@@ -66,6 +66,8 @@ class Ppm:
     def __init__(self, langs: list[str], lang: np.ndarray, size: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER):
         self.langs, self.order = langs, order
         count = len(langs)
+        if not count:
+            return
         seen = np.unique(gram[size == 1]).astype(np.int64)
         self.symbol = np.zeros(256, dtype=np.int64)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
