@@ -175,6 +175,28 @@ class Mapper:
         back = self.backward(self.forward(full, time), time)
         return back.join(empty.select("field", "lat", "lon", F.lit(True).alias("_e")), ["field", "lat", "lon"], "left").withColumn("value", F.when(F.col("_e"), None).otherwise(F.col("value"))).drop("_e")
 
+    def matrices(self) -> tuple[list[tuple[str, float, float]], np.ndarray, np.ndarray]:
+        """State places and the whole mapping as two matrices (without seasonal scaling)."""
+        if self.by_season:
+            raise ValueError("one pair of matrices has no seasons")
+        rows = self.backward_rows()
+        places = [(f, lat, lon) for f, lat, lon, _, _ in rows]
+        back = np.array([r for *_, r in rows])
+        reduce_ = self._reduction()
+        forward, at, starts = np.zeros((self.n_reduced, len(rows))), 0, self._starts()
+        for f in self.fields:
+            e = self.eofs[f]
+            w = np.sqrt(np.cos(np.radians([s[0] for s in e.states])))
+            n, k = len(w), starts[f] + self._has_mean(f)
+            step = np.zeros((reduce_.shape[1], n))
+            centre = np.eye(n) - np.tile(w**2 / (w**2).sum(), (n, 1)) if self._has_mean(f) else np.eye(n)
+            step[k : k + e.u.shape[1]] = (e.u.T / np.sqrt(e.retained)) @ (centre * w[:, None]) / self.std[(f, None)]
+            if self._has_mean(f):
+                step[starts[f]] = w**2 / (w**2).sum() / self.mean_std[(f, None)]
+            forward[:, at : at + n] = reduce_ @ step
+            at += n
+        return places, forward, back
+
     def individual_mode(self, spark: SparkSession, f: str, n: int) -> DataFrame:
         """Physical pattern of a field's mode."""
         e = self.eofs[f]

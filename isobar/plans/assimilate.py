@@ -8,12 +8,14 @@ schedule, what is assimilated when, is a join done before.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import EARTH_RADIUS_M
 from ..functions.timeaxis import split_seasonality
 from ..operators.enkf import assimilate_time_average, assimilate_time_stack, inflate
 from ..operators.lim import Lim
@@ -27,6 +29,9 @@ STEPS_PER_YEAR = 1440
 def schedule(obs: DataFrame, seasonal: DataFrame | None, annual: DataFrame | None, year_start: int, year_end: int) -> DataFrame:
     """``step, pid, obs, slope, intercept, err_std, row, back``: what is assimilated at each step.
 
+    Models carry ``row`` (of the backward matrix) for reduced space, or ``at``
+    (number of a state row) for physical space.
+
     A season's record meets its season's model; an annual one is due in the
     last season of its seasonality and needs all of them since the start.
     ``back`` are the steps before the current one (0: itself) it stands for.
@@ -48,41 +53,78 @@ def schedule(obs: DataFrame, seasonal: DataFrame | None, annual: DataFrame | Non
         parts.append(a.where(F.array_max("back") <= F.col("step")))
     out = None
     for p in parts:
-        p = p.where(F.col("value").isNotNull() & F.col("year").between(year_start, year_end)).select("step", "pid", F.col("value").alias("obs"), "slope", "intercept", "err_std", "row", "back")
+        p = p.where(F.col("value").isNotNull() & F.col("year").between(year_start, year_end)).select("step", "pid", F.col("value").alias("obs"), "slope", "intercept", "err_std", *[c for c in ("row", "at") if c in p.columns], "back")
         out = p if out is None else out.unionByName(p)
-    once = out.groupBy("step", "pid").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in ("obs", "slope", "intercept", "err_std", "row", "back")])
+    once = out.groupBy("step", "pid").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in out.columns if c not in ("step", "pid")])
     return once.withColumn("_e", F.when(F.col("_n") > 1, F.raise_error(F.lit("several values of a record at one step")))).where(F.col("_e").isNull()).drop("_n", "_e")
 
 
-def run_cycle(prior: np.ndarray, due: dict[int, list], lim: Lim, steps: int, mode: str, rng: np.random.Generator, inflation: float | None, substeps: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Yields ``(step, prior, final posterior)``; a posterior is final when it has left the window."""
-    filter_ = {"average": assimilate_time_average, "stack": assimilate_time_stack}[mode]
+@dataclass
+class Physical:
+    """Assimilation in physical space, which allows localisation: matrices to reduced space and back, places of the rows."""
+
+    forward: np.ndarray
+    backward: np.ndarray
+    lat: np.ndarray
+    lon: np.ndarray
+    radius_km: float | None = None
+
+    def localization(self, row: int) -> np.ndarray | None:
+        """Weights of all state rows around the row that an observation looks at."""
+        if self.radius_km is None:
+            return None
+        a, b = np.radians(self.lat[row]), np.radians(self.lat)
+        h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(self.lon - self.lon[row]) / 2) ** 2
+        z = 2 * EARTH_RADIUS_M / 1e3 * np.arcsin(np.sqrt(np.minimum(h, 1))) / (self.radius_km / 2)
+        near = 1 + z**2 * (-5 / 3 + z * (5 / 8 + z * (0.5 - z / 4)))
+        with np.errstate(divide="ignore"):
+            far = 4 - 5 * z + z**2 * (5 / 3 + z * (5 / 8 + z * (-0.5 + z / 12))) - 2 / (3 * z)
+        return np.where(z <= 1, near, np.where(z <= 2, far, 0.0))
+
+
+def run_cycle(prior: np.ndarray, due: dict[int, list], lim: Lim, steps: int, mode: str, rng: np.random.Generator, inflation: float | None, substeps: int, space: Physical | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Yields ``(step, prior, final posterior)``; a posterior is final when it has left the window.
+
+    ``mode`` is ``average`` or ``stack`` (window of four seasons) or
+    ``instantaneous`` (the current season alone).  With ``space`` the state is
+    physical, observations look at single rows of it (``at``), and only the
+    forecast goes through reduced space.
+    """
+    if mode == "instantaneous" and any(list(r["back"]) != [0] for rows in due.values() for r in rows):
+        raise ValueError("instantaneous assimilation takes seasonal records only")
+    filter_ = assimilate_time_stack if mode == "stack" else assimilate_time_average
+    history = 1 if mode == "instantaneous" else HISTORY
     window: list[tuple[int, np.ndarray, np.ndarray]] = []
     for step in range(steps):
         window.append((step, prior, prior))
-        if len(window) > HISTORY:
+        if len(window) > history:
             yield window.pop(0)
         x = np.stack([w[2] for w in window], axis=2)
         last = len(window) - 1
         rows = [r for r in due.get(step, []) if max(r["back"]) <= last]
         if rows:
-            psms = [lambda s, r=r: r["intercept"] + r["slope"] * (np.asarray(r["row"]) @ s) for r in rows]
-            x = filter_(x, [r["obs"] for r in rows], psms, [r["err_std"] for r in rows], [[last - b for b in r["back"]] for r in rows])
+            look = (lambda s, r: np.asarray(r["row"]) @ s) if space is None else (lambda s, r: s[int(r["at"])])
+            psms = [lambda s, r=r: r["intercept"] + r["slope"] * look(s, r) for r in rows]
+            locs = [space.localization(int(r["at"])) for r in rows] if space is not None and space.radius_km is not None else None
+            x = filter_(x, [r["obs"] for r in rows], psms, [r["err_std"] for r in rows], [[last - b for b in r["back"]] for r in rows], locs)
         window = [(w[0], w[1], x[:, :, k]) for k, w in enumerate(window)]
-        prior = lim.simulate(window[-1][2], 1, substeps, rng)[:, :, -1]
+        now = window[-1][2] if space is None else space.forward @ window[-1][2]
+        prior = lim.simulate(now, 1, substeps, rng)[:, :, -1]
+        if space is not None:
+            prior = space.backward @ prior
         if inflation is not None:
             prior = inflate(prior, inflation)
     yield from window
 
 
-def reconstruct(due: DataFrame, iterations: int, initial: np.ndarray, lim: Lim, year_start: int, year_end: int, fraction: float = 1.0, mode: str = "average", inflation: float | None = None, seed: int = 562_151, substeps: int | None = None) -> DataFrame:
+def reconstruct(due: DataFrame, iterations: int, initial: np.ndarray, lim: Lim, year_start: int, year_end: int, fraction: float = 1.0, mode: str = "average", inflation: float | None = None, seed: int = 562_151, substeps: int | None = None, space: Physical | None = None) -> DataFrame:
     """``iteration, year, season, state, ens, prior, posterior`` of all iterations.
 
     Each iteration assimilates a seeded share of the records.  Model and
     initial ensemble (a few MB) go out as broadcast variables.
     """
     spark = due.sparkSession
-    shared = spark.sparkContext.broadcast((initial, lim.to_json()))
+    shared = spark.sparkContext.broadcast((initial, lim.to_json(), space))
     steps = (year_end - year_start + 1) * 4
     sub = substeps or int(STEPS_PER_YEAR * lim.tau)
     runs = spark.range(iterations).select(F.col("id").cast("int").alias("iteration"))
@@ -92,14 +134,14 @@ def reconstruct(due: DataFrame, iterations: int, initial: np.ndarray, lim: Lim,
     rows = runs.join(rows, "iteration", "left")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, text = shared.value
+        x0, text, physical = shared.value
         by_step: dict[int, list] = {}
         for r in pdf.dropna(subset=["step"]).sort_values(["step", "pid"]).to_dict("records"):
             by_step.setdefault(int(r["step"]), []).append(r)
         rng = np.random.default_rng([seed, key[0]])
         n, m = x0.shape
         out = []
-        for step, before, after in run_cycle(x0, by_step, Lim.from_json(text), steps, mode, rng, inflation, sub):
+        for step, before, after in run_cycle(x0, by_step, Lim.from_json(text), steps, mode, rng, inflation, sub, physical):
             out.append(pd.DataFrame({"iteration": key[0], "year": year_start + step // 4, "season": step % 4, "state": np.repeat(np.arange(n), m), "ens": np.tile(np.arange(m), n), "prior": before.ravel(), "posterior": after.ravel()}))
         return pd.concat(out)
 

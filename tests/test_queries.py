@@ -12,15 +12,19 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 @pytest.fixture(scope="module")
 def duck(data):
-    c = duckdb.connect()
-    for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-    return c
+    out = {}
+    for d in (data, data.replace("0.001", "0.01")):
+        out[d] = duckdb.connect()
+        for t in TABLES:
+            out[d].execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    return out
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_rows_equal_sql(spark, data, duck, name):
-    got, want = registry.QUERIES[name](spark, data).toPandas(), duck.execute(registry.ORACLE_SQL[name]).df()
+    # In the smallest tables a cell has one site, which its own mean fits without error.
+    d = data.replace("0.001", "0.01") if name.startswith(("psm", "verification")) else data
+    got, want = registry.QUERIES[name](spark, d).toPandas(), duck[d].execute(registry.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     cols = sorted(got.columns)
     a, b = (d[cols].sort_values(cols, na_position="first").reset_index(drop=True) for d in (got, want))
