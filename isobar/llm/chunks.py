@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 from . import text as T
 from .common import saved
@@ -28,7 +29,9 @@ def chunked(docs: DataFrame, extra: bool = False, chunk_bytes: int = CHUNK_BYTES
     """``chunk, ids, lens, text[, rest]``; with ``extra`` the other columns of ``docs`` are kept in ``rest``."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")] if extra else []
     rows = docs.select("doc_id", "text", *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest")] if others else []))
-    schema = "chunk long, ids array<bigint>, lens array<bigint>, text binary" + (f", rest array<{rows.schema['rest'].dataType.simpleString()}>" if others else "")
+    schema = StructType().add("chunk", "long").add("ids", ArrayType(LongType())).add("lens", ArrayType(LongType())).add("text", "binary")
+    if others:
+        schema = schema.add("rest", ArrayType(rows.schema["rest"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32

@@ -52,6 +52,11 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, also those with dots in their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that nothing is learned from: crc32 of the id as text, modulo 5, is 0 (and rows without an id)."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))

@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import text as T
-from .common import held_out, sample, saved
+from .common import columns, held_out, sample, saved
 
 #: Random features; width of the kernel (standard deviations); ridge penalty a row; labelled rows a label; seed.
 FEATURES, WIDTH, RIDGE, SAMPLE, SEED = 256, 3.0, 1e-4, 6000, 20_240_607
@@ -215,10 +216,13 @@ def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", per_labe
 def kept(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` (with a ``text`` column) whose score is at least ``threshold``, all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    at = docs.columns.index("text")
+    # The columns travel as one, whatever their names.
+    rows = docs.select("text", F.struct(*columns(docs)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in T.slices(batches, "text", 1 << 20):
-            yield rb.filter(pa.array(shared.value(*T.flat(rb.column(at))) >= threshold))
+            good = pa.array(shared.value(*T.flat(rb.column(0))) >= threshold)
+            yield pa.RecordBatch.from_arrays([rb.column(1).filter(good)], ["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    kept_rows = rows.mapInArrow(run, StructType([rows.schema["row"]]))
+    return kept_rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import text as T
 from .chunks import CHUNK_BYTES, Chunk, chunked, covered, each, member
@@ -119,7 +120,7 @@ def _removed(c: Chunk) -> tuple[_Cut, np.ndarray]:
     return cut, covered(at[go], WINDOW, len(cut.row))
 
 
-def _over(docs: DataFrame, extra: bool, schema: Callable[[DataFrame], str], make: Callable[[Chunk, _Cut, np.ndarray], pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def _over(docs: DataFrame, extra: bool, schema: Callable[[DataFrame], str | StructType], make: Callable[[Chunk, _Cut, np.ndarray], pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     chunks = chunked(docs, extra, chunk_bytes)
     later = later_runs(chunks)
 
@@ -162,8 +163,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         cols = [c.ids, pa.array(texts, pa.string())] + ([c.rest] if c.rest is not None else [])
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "rest"][: len(cols)])
 
-    def schema(chunks: DataFrame) -> str:
-        return "doc_id long, text string" + (f", rest {chunks.schema['rest'].dataType.elementType.simpleString()}" if "rest" in chunks.columns else "")
+    def schema(chunks: DataFrame) -> StructType:
+        out = StructType().add("doc_id", "long").add("text", "string")
+        return out.add("rest", chunks.schema["rest"].dataType.elementType) if "rest" in chunks.columns else out
 
     out = _over(docs, True, schema, make)
-    return out.select(*[F.col("rest")[c].alias(c) if c not in ("doc_id", "text") else F.col(c) for c in docs.columns])
+    return out.select(*[F.col("rest")[c].alias(c) if c not in ("doc_id", "text") else F.col(f"`{c}`") for c in docs.columns])

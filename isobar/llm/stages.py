@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op3_minhash, op5_quality, op6_decontaminate, op7_tokens, op8_anchors
-from .common import saved, table
+from .common import columns, saved, table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,13 +34,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the smallest id."""
     found = op3_minhash.near_duplicates(docs, k=5, percent=80)
     gone = saved(found.where("not kept").select("doc_id").distinct())
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
     # Rows that repeat an id are one document.
     again = found.where("doc_id is not null and kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return out
-    single = out.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    single = out.join(again, "doc_id", "left_anti").select(*columns(docs))
+    return single.unionByName(out.join(again, "doc_id", "left_semi").select(*columns(docs)).dropDuplicates(["doc_id"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         kind = docs.schema["n_chars"].dataType
         changed = F.length("text").cast(kind)
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), F.col("n_chars")).otherwise(changed))
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,3 +182,28 @@ def test_stage_takes_passages_out_and_keeps_the_rest(spark, data):
     assert stages.substring_dedup(spark, df, data).columns == df.columns
     assert [out[k]["text"] for k in range(6)] == [passage, "head of it\ntail of it", None, "", "clean  text\twith\n\nblanks ", ""]
     assert out[1]["n_chars"] == len("head of it\ntail of it") and out[2]["n_chars"] is None
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    a, b = prose(rng, 40), prose(rng, 60)
+    df = frame(spark, [(None, a, None, None, None), (4, a, None, None, None), (4, a, None, None, None), (None, None, None, None, None), (6, b, None, None, None)], parts=1)
+    words = sorted((r["doc_id"] or -1, r["n_removed"]) for r in op8_anchors.digests(df).collect())
+    assert words == [(-1, 0), (-1, 0), (4, 40), (4, 40), (6, 0)]
+    size = len(a.encode())
+    got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in op4_suffix.digests(df).collect())
+    assert got == sorted([(-1, size), (-1, 0), (4, size), (4, size), (6, 0)])
+
+
+def test_stages_pass_on_columns_of_any_name(spark, data):
+    from pyspark.sql import functions as F
+
+    df = docs(spark, awkward())
+    names = ["chunk", "rest", "ids", "key", "d", "r", "rid", "y", "score", "fold", "n", "component", "node", "a b", "struct.x"]
+    for n in names:
+        df = df.withColumn(n, F.struct(F.col("doc_id").alias("doc_id"), F.lit(n).alias("text")))
+    for stage in (stages.quality, stages.near_dedup, stages.substring_dedup, stages.decontamination):
+        out = stage(spark, df, data)
+        assert out.columns == df.columns
+        rows = out.select("doc_id", *[F.col(f"`{n}`.doc_id").alias(f"c{k}") for k, n in enumerate(names)]).collect()
+        assert rows and all(v == r["doc_id"] for r in rows for v in r)
