@@ -12,7 +12,8 @@ EARTH_AREA_M2, OCEAN_AREA_M2 = 510e12, 361e12
 SECONDS_PER_DAY, DAYS_PER_YEAR = 86_400, 365.2422
 #: Sea water: density times heat capacity.
 RHO_CP = 1025.0 * 3850.0
-OCEAN_FIELDS = ("tos", "ohc300", "ohc700", "zos", "siconc", "siconcn", "siconcs")
+#: Fields of the ocean.
+OCEAN_FIELDS = ("tos", "siconc", "siconcn", "siconcs", "ohc300", "ohc700")
 
 
 def to_si(value: Column, unit: Column) -> Column:
@@ -23,7 +24,7 @@ def si_unit(unit: Column) -> Column:
     return F.when(unit == "degC", "K").when(unit.isin("0.001", "%"), "1").when(unit == "centimeters", "m").when(unit == "hPa", "Pa").otherwise(unit)
 
 
-def round_to(x: Column, base: float, precision: int = 2) -> Column:
+def round_to(x: Column, base: float, precision: int = 1) -> Column:
     """Nearest multiple of ``base`` (half to even), rounded to ``precision`` digits."""
     return F.bround(base * F.rint(x / base), precision)
 

@@ -7,21 +7,46 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as ta
 from ..functions.scalar import si_unit, to_si
-from ..operators import resample
+from ..operators import resample, vertical
 
-#: Field -> (catalogue variable, table).
+# Field -> (variable, table) of the common catalogue.
 VARIABLES: dict[str, tuple[str, str]] = {
-    "tas": ("tas", "Amon"), "pr": ("pr", "Amon"), "psl": ("psl", "Amon"), "rlut": ("rlut", "Amon"), "rsut": ("rsut", "Amon"), "rsdt": ("rsdt", "Amon"),
-    "tos": ("tos", "Omon"), "zos": ("zos", "Omon"), "thetao": ("thetao", "Omon"), "siconc": ("siconc", "SImon"), "zg": ("zg", "Amon"), "cl": ("cl", "Amon"),
-}
-#: Model output names -> common field names.
-CESM_TO_CF = {"TREFHT": "tas", "PSL": "psl", "SST": "tos", "FLUT": "rlut", "FSUT": "rsut", "SOLIN": "rsdt", "CLDTOT": "clt", "aice": "siconc", "TEMP": "thetao", "PREC": "pr"}
-CF_TO_CESM = {v: k for k, v in CESM_TO_CF.items()}
+    "clwvi": ("clwvi", "Amon"),
+    "rsdt": ("rsdt", "Amon"),
+    "rsut": ("rsut", "Amon"),
+    "rlut": ("rlut", "Amon"),
+    "cldlow": ("cl", "Amon"),
+    "cldhigh": ("cl", "Amon"),
+    "tas": ("tas", "Amon"),
+    "tos": ("tos", "Omon"),
+    "siconc": ("siconc", "SImon"),
+    "ohc300": ("thetao", "Omon"),
+    "ohc700": ("thetao", "Omon"),
+}
+# Field -> (model variable, component).
+MODEL_VARIABLES: dict[str, tuple[str, str]] = {
+    "rsdt": ("SOLIN", "atm"),
+    "rsut": ("FSUTOA", "atm"),
+    "rlut": ("FLUT", "atm"),
+    "cldlow": ("CLOUD", "atm"),
+    "cldhigh": ("CLOUD", "atm"),
+    "tas": ("TREFHT", "atm"),
+    "tos": ("SST", "ocn"),
+    "siconc": ("aice", "ice"),
+    "ohc300": ("TEMP", "ocn"),
+    "ohc700": ("TEMP", "ocn"),
+}
+# Model output names -> common field names, and back.
+CESM_TO_CF = {"TREFHT": "tas", "SST": "tos", "RESTOM": "eei", "RESTOA": "eei", "FSUTOA": "rsut", "FSUT": "rsut", "FLUTOA": "rlut", "FSNTOA": "rsnt", "FLUT": "rlut", "SOLIN": "rsdt", "CLDLOW": "cll", "CLDMED": "clm", "CLDHGH": "clh", "ICEFRAC": "siconc"}
+CF_TO_CESM = {"tas": "TREFHT", "tos": "SST", "eei": "RESTOM", "rsut": "FSUTOA", "rlut": "FLUTOA", "rsnt": "FSNTOA", "rsdt": "SOLIN", "cll": "CLDLOW", "clm": "CLDMED", "clh": "CLDHGH", "siconc": "ICEFRAC"}
+# What a field's numbers are divided by for display.
+SCALING = {"ohc300": 1e6, "ohc300_total": 1e21, "ohc_total": 1e21, "siconc": 1e-2, "siconcn": 1e-2, "siconcs": 1e-2, "clt": 1e-2, "cll": 1e-2, "clm": 1e-2, "clh": 1e-2, "siarean": 1e6, "siareas": 1e6, "siextentn": 1e6, "siextents": 1e6}
 RENAMES = {"latitude": "lat", "longitude": "lon", "nlat": "lat", "nlon": "lon", "TLAT": "lat", "TLONG": "lon", "ULAT": "lat", "ULONG": "lon", "plev": "lev"}
 _ONE = ("member_id", "grid_label", "version", "time_range")
 
@@ -79,7 +104,7 @@ def load_fields(catalog: DataFrame, source: str, experiment: str, fields: list[s
                 df = df.withColumn("value", to_si(F.col("value"), F.col("units"))).withColumn("units", si_unit(F.col("units")))
             if years:
                 df = df.where(F.col("year").between(*years))
-            df = prepare(df, f) if prepare else df
+            df = prepare(df, f) if prepare else postprocessed(df, f)
             out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise ValueError("none of the variables is in the catalogue")
@@ -88,21 +113,70 @@ def load_fields(catalog: DataFrame, source: str, experiment: str, fields: list[s
 
 def derived_fields(df: DataFrame, keys: list[str]) -> DataFrame:
     """Radiation and precipitation sums of model output, as further rows; a missing part makes the sum missing."""
-    parts = ["SOLIN", "FSNT", "FSNTC", "FLNT", "FLNTC", "FLUT", "FSNS", "FLNS", "LHFLX", "SHFLX", "PRECC", "PRECL", "FLNS", "FLDS", "FLUS"]
-    parts = list(dict.fromkeys(parts))
+    parts = ["SOLIN", "FSNT", "FSNTC", "FLNT", "FLNTC", "FLUT", "FSUTOA", "PRECC", "PRECL"]
     wide = df.groupBy(*keys).pivot("field", parts).agg(F.first("value"))
     c = F.col
     out = {
+        "FLDT": c("FLNT") - c("FLUT"),
         "FSUT": c("SOLIN") - c("FSNT"),
         "RESTOM": c("FSNT") - c("FLNT"),
+        "RESTOA": c("SOLIN") - c("FSUTOA") - c("FLUT"),
         "RESTOMC": c("FSNTC") - c("FLNTC"),
-        "CRE": (c("FSNT") - c("FSNTC")) - (c("FLNT") - c("FLNTC")),
+        "CRE": (c("FSNT") - c("FLNT")) - (c("FSNTC") - c("FLNTC")),
         "PREC": c("PRECC") + c("PRECL"),
     }
     rows = wide.select(*keys, F.explode(F.create_map(*[x for k, e in out.items() for x in (F.lit(k), e)])).alias("field", "value"))
     return df.select(*keys, "field", "value").unionByName(rows.where("value is not null").select(*keys, "field", "value"))
 
 
+def scaled(df: DataFrame, value: str = "value") -> DataFrame:
+    """Values over their field's display scale."""
+    table = F.create_map(*[F.lit(x) for k, s in SCALING.items() for x in (k, s)])
+    return df.withColumn(value, F.col(value) / F.coalesce(table[F.col("field")], F.lit(1.0)))
+
+
+def postprocessed(df: DataFrame, field_name: str) -> DataFrame:
+    """Fields that are drawn from a column: low and high clouds, heat content of the upper ocean."""
+    by = [c for c in ("field", "year", "month", "lat", "lon") if c in df.columns]
+    if field_name in ("cldlow", "cldhigh"):
+        return vertical.cloud_fraction(df, by, "maxrandom", field_name.removeprefix("cld"))
+    if field_name in ("ohc300", "ohc700"):
+        levels = df if "dz" in df.columns else vertical.level_thickness(df, by)
+        return vertical.ohc(levels, by, float(field_name.removeprefix("ohc")))
+    return df
+
+
+def load_model_fields(spark: SparkSession, path: str, fields: list[str], years: tuple[int, int] | None = None) -> DataFrame:
+    """Long monthly fields of model output under ``path/component/variable``.
+
+    Months are preferred; where only days exist they are averaged.  The fields
+    must share their coordinates: a key that one has and another lacks is an error.
+    """
+    out = None
+    for f in fields:
+        if f not in MODEL_VARIABLES:
+            raise ValueError(f"unknown variable {f}")
+        var, component = MODEL_VARIABLES[f]
+        try:
+            df = standard_names(spark.read.parquet(f"{path}/{component}/month/{var}"))
+        except AnalysisException:
+            daily = standard_names(spark.read.parquet(f"{path}/{component}/day/{var}"))
+            keys = [c for c in ("lat", "lon", "lev", "dz", "units") if c in daily.columns]
+            df = daily.groupBy(*keys, F.year("date").alias("year"), F.month("date").alias("month")).agg(F.avg("value").alias("value"))
+        if years:
+            df = df.where(F.col("year").between(*years))
+        df = df.withColumns({"value": F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double")), "field": F.lit(f)})
+        if "units" in df.columns:
+            df = df.withColumn("value", to_si(F.col("value"), F.col("units")))
+        if "lev" in df.columns and component == "atm":
+            df = df.withColumn("lev", F.col("lev") * 100)  # hPa
+        df = postprocessed(df, f).select("field", "year", "month", "lat", "lon", "value")
+        out = df if out is None else out.unionByName(df)
+    n = out.groupBy("year", "month", "lat", "lon").agg(F.countDistinct("field").alias("_n"))
+    checked = n.withColumn("_e", F.when(F.col("_n") < len(fields), F.raise_error(F.lit("coordinates differ")))).where(F.col("_e").isNull()).select("year", "month", "lat", "lon")
+    return out.join(checked, ["year", "month", "lat", "lon"], "left_semi").select("field", "year", "month", "lat", "lon", "value")
+
+
 def fixed_stamp(time: Column, start: Column | None = None, end: Column | None = None) -> Column:
     """Middle of the bounds; without bounds, the middle of the month before the stamp."""
     if start is not None and end is not None:

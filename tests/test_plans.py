@@ -132,7 +132,7 @@ def test_datasets(spark, tmp_path):
 
 
 def test_names_merge_and_stamp(spark):
-    assert io.map_names(["TREFHT", ["SST", "other"]], io.CESM_TO_CF) == ["tas", ["tos", "other"]]
+    assert io.map_names(["TREFHT", ["SST", "other"]], io.CESM_TO_CF) == ["tas", ["tos", "other"]] and io.map_names("tas", io.CF_TO_CESM) == "TREFHT"
     a, b = spark.createDataFrame([(1, 2.0)], "k int, a double"), spark.createDataFrame([(1, 3.0)], "k int, b double")
     assert io.merge_exact(a, b, ["k"]).first()[:] == (1, 2.0, 3.0)
     with pytest.raises(Exception, match="coordinates"):
@@ -159,3 +159,24 @@ def test_sinks(spark, tmp_path):
 def test_interval_merge(spark):
     df = spark.createDataFrame([(1, 3), (2, 5), (7, 9), (9, 10), (20, 21)], "a int, z int")
     assert sorted(tuple(r) for r in reduce.merge_intervals(df, "a", "z").collect()) == [(1, 5), (7, 10), (20, 21)]
+
+
+def test_model_output(spark, tmp_path):
+    cols = [(2000, m, 10.0, 20.0, lev, c) for m in (1, 2) for lev, c in ((1000.0, 0.2), (800.0, 0.0), (300.0, 0.6))]
+    spark.createDataFrame(cols, "year int, month int, lat double, lon double, lev double, value double").write.parquet(str(tmp_path / "atm/month/CLOUD"))
+    import datetime
+
+    days = [(datetime.date(2000, m, d), 10.0, 20.0, 1.0 * d, "degC") for m in (1, 2) for d in (1, 2, 3)]
+    spark.createDataFrame(days, "date date, lat double, lon double, value double, units string").write.parquet(str(tmp_path / "ocn/day/SST"))
+    got = {(r["field"], r["month"]): r["value"] for r in io.load_model_fields(spark, str(tmp_path), ["cldlow", "cldhigh", "tos"]).collect()}
+    assert got == {(f, m): pytest.approx(v) for m in (1, 2) for f, v in (("cldlow", 0.2), ("cldhigh", 0.6), ("tos", 275.15))}
+    with pytest.raises(ValueError, match="unknown"):
+        io.load_model_fields(spark, str(tmp_path), ["nothing"])
+
+
+def test_derived_fields_and_scaling(spark):
+    rows = [(1, f, v) for f, v in (("SOLIN", 340.0), ("FSNT", 240.0), ("FLNT", 239.0), ("FSNTC", 290.0), ("FLNTC", 270.0), ("FLUT", 238.0), ("FSUTOA", 101.0))]
+    got = {r["field"]: r["value"] for r in io.derived_fields(spark.createDataFrame(rows, "k int, field string, value double"), ["k"]).collect()}
+    assert (got["FSUT"], got["RESTOM"], got["RESTOA"], got["RESTOMC"], got["CRE"], got["FLDT"]) == (100.0, 1.0, 1.0, 20.0, -19.0, 1.0) and "PREC" not in got
+    out = io.scaled(spark.createDataFrame([("siconc", 0.5), ("tas", 2.0)], "field string, value double")).collect()
+    assert [r["value"] for r in out] == [50.0, 2.0]
