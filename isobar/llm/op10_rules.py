@@ -1,7 +1,8 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
-Each rule rejects documents whose statistic is above a cutoff.  Cutoffs are
-chosen on labelled documents so that, in each stratum (band of document
+Each rule rejects documents whose statistic is above a cutoff.  Nothing else
+is fitted to the labels, so all labelled documents are the holdout on which
+cutoffs are chosen, so that, in each stratum (band of document
 length), a rule falsely rejects more than ``RISK`` of the good documents with
 a probability of at most ``DELTA`` over all rules and strata together: from
 the loosest cutoff on, the hypothesis "the rule rejects more than RISK of good
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, saved
+from .common import saved
 from .op6_decontaminate import runs
 
 #: Share of good documents a rule may reject in a stratum; probability that any rule does worse.
@@ -126,7 +127,7 @@ def cutoffs(stats: DataFrame, good: DataFrame, risk: float = RISK, delta: float
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document; ``kept`` is the verdict of base rule and thresholds."""
     stats = saved(statistics(docs))
-    good = labels.where((F.col("quality") == 1) & ~held_out())
+    good = labels.where(F.col("quality") == 1)
     # One row for each of the len(BANDS) strata.
     rules = F.broadcast(cutoffs(stats, good))
     rejected = F.lit(False)

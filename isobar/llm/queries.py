@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_language, op2_toxicity, op3_minhash, op4_suffix, op5_quality, op6_decontaminate, op7_tokens, op8_anchors, op9_html, op10_rules
+from . import op1_language, op2_toxicity, op3_minhash, op4_suffix, op5_quality, op6_decontaminate, op7_tokens, op8_anchors, op9_html, op10_rules, sql
 from .common import held_out, table
 
 
@@ -57,4 +57,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity_severity, op3_near_duplicates, op4_suffix_dedup, op5_quality_score, op6_decontaminate_report, op7_sentencepiece, op8_substring_dedup, op9_html_text, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate_report": op6_decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": sql.NEAR_DUPLICATES,
+    "op4_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op6_decontaminate_report": op6_decontaminate.SQL,
+    "op8_substring_dedup": sql.SUBSTRING_DEDUP,
+    "op10_quality_rules": sql.quality_rules(op10_rules.CUTOFFS, op10_rules.BANDS, op10_rules.RISK, op10_rules.DELTA),
+}

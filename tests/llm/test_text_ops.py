@@ -254,3 +254,14 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, data):
     got = sorted(tuple(r)[:3] for r in corpus_pipeline.run(spark, data).collect())
     assert got == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontamination", "tokens"]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, data, name):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, data).toPandas(), c.execute(queries.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    a, b = (d[sorted(d.columns)].sort_values("doc_id").reset_index(drop=True) for d in (got, want))
+    pd.testing.assert_frame_equal(a, b, check_dtype=False)
