@@ -217,10 +217,14 @@ def kept(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` (with a ``text`` column) whose score is at least ``threshold``, all columns."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     # The columns travel as one, whatever their names.
-    rows = docs.select("text", F.struct(*columns(docs)).alias("row"))
+    rows, at = docs.select(F.struct(*columns(docs)).alias("row")), docs.columns.index("text")
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            yield pa.RecordBatch.from_arrays([rb.column(0).field(at), rb.column(0)], ["text", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in T.slices(batches, "text", 1 << 20):
+        for rb in T.slices(texts(batches), "text", 1 << 20):
             good = pa.array(shared.value(*T.flat(rb.column(0))) >= threshold)
             yield pa.RecordBatch.from_arrays([rb.column(1).filter(good)], ["row"])
 

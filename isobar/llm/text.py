@@ -37,6 +37,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
             yield rb.slice(at, end - at)
             at = end
+        del rb, col
+        pa.default_memory_pool().release_unused()  # workers are reused: what a batch took goes back
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
