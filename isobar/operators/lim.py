@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .linear import lag_covariance
+from .linear import indexed, lag_covariance
 
 
 @dataclass
@@ -90,3 +93,31 @@ def fit(df: DataFrame, state: str, step: str, tau: float, x: str = "x") -> Lim:
     c0, ct = np.zeros((n, n)), np.zeros((n, n))
     c0[cov["i"], cov["j"]], ct[cov["i"], cov["j"]] = cov["c0"], cov["ct"]
     return Lim.from_covariances(c0, ct, tau)
+
+
+def verify(m: Lim, df: DataFrame, state: str, step: str, steps: int, x: str = "x") -> DataFrame:
+    """``step, state, rmse`` of deterministic forecasts 1 to ``steps`` steps ahead.
+
+    Every sample is a start; each of its forecasts is compared with the sample
+    that many steps later, so only forecasts beyond the last sample go unverified.
+    """
+    st, _ = indexed(df, [state])
+    n = len(m.g)
+    powers = [np.linalg.matrix_power(m.g, k) for k in range(1, steps + 1)]
+    vec = df.join(F.broadcast(st), state).groupBy(step).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(x).alias("x")))), lambda a: a["x"]).alias("a"))
+    after = vec.select(F.explode(F.array(*[F.lit(k) for k in range(1, steps + 1)])).alias("k"), F.col(step), F.col("a").alias("truth")).withColumn(step, F.col(step) - F.col("k"))
+    pairs = after.join(vec, step).select("k", "a", "truth")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, count = np.zeros((steps, n)), np.zeros(steps, dtype=np.int64)
+        for b in batches:
+            for k, part in b.groupby("k"):
+                error = np.vstack(part["a"]) @ powers[k - 1].T - np.vstack(part["truth"])
+                total[k - 1] += (error**2).sum(0)
+                count[k - 1] += len(part)
+        if count.any():
+            k, i = np.divmod(np.arange(steps * n), n)
+            yield pd.DataFrame({"step": (k + 1).astype(np.int32), "_i": i.astype(np.int32), "e": total.ravel(), "m": np.repeat(count, n)})
+
+    sums = pairs.mapInPandas(run, "step int, _i int, e double, m long").groupBy("step", "_i").agg(F.sum("e").alias("e"), F.sum("m").alias("m")).where("m > 0")
+    return sums.join(F.broadcast(st), "_i").select("step", state, F.sqrt(F.col("e") / F.col("m")).alias("rmse"))

@@ -319,15 +319,10 @@ def lim_forecast_stochastic(s, d):
 
 @query()
 def forecast_verification(s, d):
-    """Deterministic forecasts from many starts against what followed, one task a start."""
-    m = _lim(s, d)
-    x = v.state_matrix(s, d).where("state_idx < 6")
-    now = x.groupBy("sample_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("state_idx", "x"))), lambda a: a["x"]).alias("a"))
-    powers = s.createDataFrame([(k, i, np.linalg.matrix_power(m.g, k)[i].tolist()) for k in range(1, 5) for i in range(6)], "step int, state_idx int, g array<double>")
-    dot = F.aggregate(F.zip_with("g", "a", lambda p, q: p * q), F.lit(0.0), lambda p, q: p + q)
-    # 24 rows of powers of the propagator.
-    cast = now.where("sample_idx % 10 = 0").crossJoin(F.broadcast(powers)).select("step", "state_idx", (F.col("sample_idx") + F.col("step")).alias("sample_idx"), dot.alias("forecast"))
-    return cast.join(x, ["sample_idx", "state_idx"]).groupBy("step", "state_idx").agg(F.sqrt(F.avg((F.col("forecast") - F.col("x")) ** 2)).alias("rmse"))
+    """Deterministic forecasts from every start against what followed, over the whole state."""
+    x = v.state_matrix(s, d)
+    m = lim.fit(x, "state_idx", "sample_idx", 0.25)
+    return lim.verify(m, x, "state_idx", "sample_idx", 4)
 
 
 @query()

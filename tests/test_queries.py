@@ -1,6 +1,7 @@
 """Every query with SQL gives the rows of its SQL (on the smallest tables)."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -37,3 +38,24 @@ def test_entry_runs(spark):
 
 def test_sql_is_given_for_known_queries_only():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def state(data):
+    """The whole state matrix, state element by sample."""
+    e = pd.read_parquet(f"{data}/embeddings.parquet").sort_values("vec_id")
+    x = np.vstack(e["embedding"].to_numpy()).astype(float).T
+    return x - x.mean(1, keepdims=True)
+
+
+def propagator(x):
+    return x[:, 1:] @ x[:, :-1].T @ np.linalg.inv(x[:, :-1] @ x[:, :-1].T)
+
+
+def test_every_start_and_state_element_is_verified(spark, data):
+    x = state(data)
+    g = propagator(x)
+    got = registry.QUERIES["forecast_verification"](spark, data).toPandas().pivot(index="state_idx", columns="step", values="rmse")
+    assert got.shape == (64, 4)
+    for k in range(1, 5):
+        error = np.linalg.matrix_power(g, k) @ x[:, :-k] - x[:, k:]
+        assert np.allclose(got[k], np.sqrt((error**2).mean(1)))
