@@ -34,6 +34,33 @@ def update(prior: DataFrame, estimate: DataFrame, obs: float, error_std: float,
     return rows.select(*state, ens, new.alias(value))
 
 
+def update_time_average(prior: DataFrame, obs: list[float], psms: list[dict[int, float]], errors: list[float], times: list[list[int]], steps: int, state: str = "state", ens: str = "ens", x: str = "x") -> DataFrame:
+    """Table form of ``assimilate_time_average`` for linear observations.
+
+    A row of ``prior(state, ens, x)`` holds an array of all ``steps`` time steps;
+    ``psms[k]`` gives the weight of each state element that observation ``k``
+    sees.  Each posterior is kept on executors, as the next observation reads
+    it several times.
+    """
+    rows = prior.persist()
+    for k, (o, weights, error, at) in enumerate(zip(obs, psms, errors, times, strict=True)):
+        if k:
+            rows = rows.persist()
+        mean = rows.withColumn("_m", sum((F.col(x)[t] for t in at), F.lit(0.0)) / len(at))
+        weight = F.create_map(*[F.lit(w) for pair in weights.items() for w in pair])
+        # The observation is linear: its mean over the times is that of the mean state.
+        seen = mean.where(F.col(state).isin(list(weights))).groupBy(ens).agg(F.sum(weight[F.col(state)] * F.col("_m")).alias("_y"))
+        stats = seen.agg(F.avg("_y").alias("_ym"), (F.var_samp("_y") + error**2).alias("_iv"))
+        pairs = mean.join(seen, ens)
+        gain = pairs.groupBy(state).agg(F.covar_samp("_m", "_y").alias("_k"))
+        # One row, and one row a state element.
+        both = pairs.join(F.broadcast(gain), state).crossJoin(F.broadcast(stats))
+        alpha = 1 / (1 + F.sqrt(F.lit(error**2) / F.col("_iv")))
+        move = F.col("_k") / F.col("_iv") * (F.lit(o) - F.col("_ym") - alpha * (F.col("_y") - F.col("_ym")))
+        rows = both.withColumn("_d", move).select(state, ens, F.zip_with(x, F.array(*[F.lit(t in at) for t in range(steps)]), lambda a, due: F.when(due, a + F.col("_d")).otherwise(a)).alias(x))
+    return rows
+
+
 def ensrf(prior: np.ndarray, obs: float, estimate: np.ndarray, error_std: float, loc: np.ndarray | None = None) -> np.ndarray:
     """Posterior of ``[state, ens]`` after one observation."""
     y = np.ravel(estimate)

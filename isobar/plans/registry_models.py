@@ -327,9 +327,11 @@ def forecast_verification(s, d):
 
 @query()
 def enkf_time_average(s, d):
-    x = v.state_matrix(s, d).where("state_idx < 6 and sample_idx < 80").toPandas().pivot(index="state_idx", columns="sample_idx", values="x").to_numpy().reshape(6, 20, 4)
-    post = enkf.assimilate_time_average(x, [0.5, -0.2], [lambda z: z[0], lambda z: z[1] + z[2]], [0.3, 0.4], [[0, 1, 2, 3], [3]])
-    return s.createDataFrame([(i, e, t, float(post[i, e, t])) for i in range(6) for e in range(20) for t in range(4)], "state int, ens int, step int, x double")
+    """Four samples in a row are the time steps of a member; a last member without all of them has no estimates and stays out."""
+    m = v.state_matrix(s, d).groupBy(F.col("state_idx").alias("state"), F.floor(F.col("sample_idx") / 4).alias("ens"))
+    x = m.agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "x"))), lambda a: a["x"]).alias("x")).where(F.size("x") == 4)
+    post = enkf.update_time_average(x, [0.5, -0.2], [{0: 1.0}, {1: 1.0, 2: 1.0}], [0.3, 0.4], [[0, 1, 2, 3], [3]], 4)
+    return post.select("state", "ens", F.posexplode("x").alias("step", "x"))
 
 
 @query()

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from isobar.operators import enkf
 from isobar.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -58,4 +59,11 @@ def test_every_start_and_state_element_is_verified(spark, data):
     assert got.shape == (64, 4)
     for k in range(1, 5):
         error = np.linalg.matrix_power(g, k) @ x[:, :-k] - x[:, k:]
-        assert np.allclose(got[k], np.sqrt((error**2).mean(1)))
+        assert np.allclose(got[k], np.sqrt((error**2).mean(1)), rtol=0, atol=2e-6)
+
+
+def test_every_sample_is_filtered(spark, data):
+    x = state(data).reshape(64, -1, 4)
+    want = enkf.assimilate_time_average(x, [0.5, -0.2], [lambda z: z[0], lambda z: z[1] + z[2]], [0.3, 0.4], [[0, 1, 2, 3], [3]])
+    got = registry.QUERIES["enkf_time_average"](spark, data).toPandas().sort_values(["state", "ens", "step"])
+    assert len(got) == x.size and np.allclose(got["x"].to_numpy().reshape(x.shape), want, rtol=0, atol=2e-6)
