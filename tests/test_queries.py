@@ -67,3 +67,13 @@ def test_every_sample_is_filtered(spark, data):
     want = enkf.assimilate_time_average(x, [0.5, -0.2], [lambda z: z[0], lambda z: z[1] + z[2]], [0.3, 0.4], [[0, 1, 2, 3], [3]])
     got = registry.QUERIES["enkf_time_average"](spark, data).toPandas().sort_values(["state", "ens", "step"])
     assert len(got) == x.size and np.allclose(got["x"].to_numpy().reshape(x.shape), want, rtol=0, atol=2e-6)
+
+
+def test_linear_models_hold_the_whole_state(spark, data):
+    g = propagator(state(data))
+    fit = registry.QUERIES["lim_fit"](spark, data).toPandas().pivot(index="i", columns="j", values="g").to_numpy()
+    assert fit.shape == g.shape == (64, 64) and np.allclose(fit, g, rtol=0, atol=2e-6)
+    cast = registry.QUERIES["lim_forecast"](spark, data).toPandas().pivot(index="state", columns="step", values="x").to_numpy()
+    assert np.allclose(cast, np.stack([np.linalg.matrix_power(g, k) @ np.ones(64) for k in range(5)], axis=1), rtol=0, atol=2e-6)
+    drawn = registry.QUERIES["lim_forecast_stochastic"](spark, data).toPandas()
+    assert len(drawn) == 64 * 5 and np.isfinite(drawn[["mean", "std"]]).all(axis=None)
