@@ -1,12 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page.  A line's
-weight is its text length, or nothing where the markup around it says that it
-is no article text (menus, forms, adverts and the like) or where most of it is
-link text.  The weights are summed over sliding windows of ``WINDOW`` lines.
-Where the sum leaves zero is a surge, where it falls back to zero a dive; the
-lines between the surge and the dive of the heaviest stretch are the article,
-with any further stretch of at least ``SHARE`` of its weight.
+Markup is stripped into lines, one for each block of the page.  Lines of which
+the markup around them says that they are no article text (menus, forms,
+adverts and the like) are taken out first.  Where the page marks its article,
+all lines left in it are the text.  Else a line's weight is its text length, or
+nothing where most of it is link text, and the weights are summed over sliding
+windows of ``WINDOW`` lines.  Where the sum leaves zero is a surge, where it
+falls back to zero a dive; all lines between the surge and the dive of the
+heaviest stretch are the article, with any further stretch of at least
+``SHARE`` of its weight.
 
 Results: null and empty pages give an empty text; unclosed and stray tags are
 taken as browsers do (a new paragraph ends an open one, a stray end tag means
@@ -66,8 +68,8 @@ def _masked(name: str, attrs: str) -> bool:
     return False
 
 
-def lines(html: str) -> tuple[list[str], np.ndarray]:
-    """Texts of the page's blocks and their weights."""
+def lines(html: str) -> tuple[list[str], np.ndarray, bool]:
+    """Texts of the page's blocks, their weights, and whether they are those of an article that the page marks."""
     texts: list[str] = []
     weights: list[int] = []
     main: list[bool] = []
@@ -84,10 +86,6 @@ def lines(html: str) -> tuple[list[str], np.ndarray]:
                     texts.append(text)
                     weights.append(0 if 2 * links > len(text) and not inside else len(text))
                     main.append(inside)
-                else:
-                    texts.append("")
-                    weights.append(0)
-                    main.append(False)
             buf.clear()
         links = 0
 
@@ -138,11 +136,11 @@ def lines(html: str) -> tuple[list[str], np.ndarray]:
     if at < len(html) and not html.startswith("<", at):
         buf.append(html[at:])
     flush()
-    if any(main):  # a page that marks its article: what stands around it has no weight
-        weights = [w if inside else 0 for w, inside in zip(weights, main, strict=True)]
-        keep = [k for k in range(len(texts)) if texts[k] or not (k and main[k - 1])]
+    marked = any(main)
+    if marked:  # what stands around the article is none of it
+        keep = [k for k, inside in enumerate(main) if inside]
         texts, weights = [texts[k] for k in keep], [weights[k] for k in keep]
-    return texts, np.array(weights, dtype=np.int64)
+    return texts, np.array(weights, dtype=np.int64), marked
 
 
 def stretches(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -159,13 +157,15 @@ def extract(html: str | None) -> str:
     """The main text of one page, blocks joined by line feeds."""
     if not html:
         return ""
-    texts, weights = lines(html)
+    texts, weights, marked = lines(html)
+    if marked:
+        return "\n".join(texts)
     found = stretches(weights)
     if not found:
         return ""
     mass = [int(weights[a:b].sum()) for a, b in found]
     least = SHARE * max(mass)
-    return "\n".join(texts[k] for (a, b), w in zip(found, mass, strict=True) if w >= least for k in range(a, b) if weights[k])
+    return "\n".join(texts[k] for (a, b), w in zip(found, mass, strict=True) if w >= least for k in range(a, b))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

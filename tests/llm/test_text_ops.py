@@ -92,6 +92,21 @@ def test_pages(html, want):
     assert op9_html.extract(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<article><h1>Title</h1><p>Lead</p><ul class=share><li>a<li>b<li>c<li>d</ul><p>%s</p></article>", "Title\nLead\n%s"),
+        ("<main><p>%s</p><form><p>a<p>b<p>c<p>d</form><p>End</p></main>", "%s\nEnd"),
+        ("<div><p>%s</p><div class=ad><p>a<p>b<p>c<p>d</div><p>End</p></div>", "%s\nEnd"),
+        ("<div><p>%s</p><p><a href=x>see also this</a></p><p>End</p></div>", "%s\nsee also this\nEnd"),
+        ("<div><p><a href=x>Home</a><p><a href=x>News</a><p><a href=x>Shop</a><p>%s</p></div>", "%s"),
+    ],
+)
+def test_short_lines_of_the_article_are_kept(html, want):
+    body = "body " * 400
+    assert op9_html.extract(html % body) == want % body.strip()
+
+
 def test_surge_and_dive():
     w = np.array([0, 0, 0, 40, 0, 60, 0, 0, 0, 0, 5, 0])
     assert op9_html.stretches(w) == [(3, 6), (10, 11)]
