@@ -13,7 +13,7 @@ different features they hold that speak for toxicity.
 
 Training reads the whole texts of about ``SAMPLE`` documents a label (by a
 hash of the id, so the same ones each time); the fit runs on their kept
-features.  Scoring reads every text.
+features, each label weighed as it is among all labels.  Scoring reads every text.
 
 Results: null and empty texts have no words and the severity of a text without
 kept words; with no labels, or one label only, severity is 0, or the highest
@@ -81,14 +81,15 @@ class Ordinal:
         return _sigmoid(s[:, None] - self.theta[None, :])
 
 
-def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, width: int, grades: int = GRADES, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, width: int, grades: int = GRADES, ridge: float = RIDGE, steps: int = STEPS, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds that maximise the penalised likelihood; (row, col) are the features that are 1.
 
     Thresholds are a first value and logarithms of gaps, so they stay ordered.
-    Steps are Adam's on the full gradient.
+    Steps are Adam's on the full gradient.  A text with ``weight`` counts as so many.
     """
     n = len(grade)
-    share = np.clip(np.array([(grade <= k).mean() for k in range(grades - 1)]), 1e-4, 1 - 1e-4)
+    weight = np.ones(n) if weight is None else weight
+    share = np.clip(np.array([weight[grade <= k].sum() / weight.sum() for k in range(grades - 1)]), 1e-4, 1 - 1e-4)
     start = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(grades - 1))
     p = np.r_[np.zeros(width), start[0], np.log(np.maximum(np.diff(start), 1e-3))]
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -99,7 +100,7 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, width: int,
         up = np.where(grade < grades - 1, _sigmoid(np.r_[theta, 50][grade] - s), 1.0)
         low = np.where(grade > 0, _sigmoid(np.r_[-50, theta][grade] - s), 0.0)
         like = np.maximum(up - low, 1e-9)
-        d_up, d_low = up * (1 - up) / like, low * (1 - low) / like
+        d_up, d_low = weight * up * (1 - up) / like, weight * low * (1 - low) / like
         g_s = d_up - d_low  # of the negative log likelihood by s
         g_theta = np.array([-(d_up[grade == k].sum()) + d_low[grade == k + 1].sum() for k in range(grades - 1)])
         tail = np.cumsum(g_theta[::-1])[::-1]
@@ -110,7 +111,8 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, grade: np.ndarray, width: int,
 
 
 def learned(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Ordinal:
-    ids = sample(usable(labels, "toxic"), "y", per_label)
+    have = usable(labels, "toxic")
+    ids = sample(have, "y", per_label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in T.slices(batches, "text", 1 << 20):
@@ -142,7 +144,10 @@ def learned(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE) -> Ordi
     amount = np.bincount(row[bad], minlength=len(got))
     edges = np.quantile(amount[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
     grade = np.where(toxic, 1 + np.searchsorted(edges, amount, side="left"), 0)
-    w, theta = fit_ordinal(row, col, grade, len(kept))
+    # The sample has fewer of the commoner label than all labels have: it is weighed back, the mean weight is 1.
+    rate = {r["y"]: r["n"] for r in have.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = np.where(toxic, rate[1.0] / a, rate[0.0] / b)
+    w, theta = fit_ordinal(row, col, grade, len(kept), weight=weight / weight.mean())
     weights = np.zeros(width, dtype=np.float32)
     weights[kept] = w
     return Ordinal(weights, theta)

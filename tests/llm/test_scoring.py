@@ -199,6 +199,32 @@ def test_toxic_documents_are_found(spark):
     assert op2_toxicity.score(df, none).toPandas()["severity"].max() < 1e-6
 
 
+def test_weights_count_texts_several_times():
+    rng = np.random.default_rng(1)
+    x, grade = rng.random((300, 3)) < 0.4, rng.integers(0, 4, 300)
+    times = np.where(grade == 0, 5, 1)
+    row, col = np.nonzero(x)
+    more = np.repeat(np.arange(300), times)
+    want = op2_toxicity.fit_ordinal(*np.nonzero(x[more]), grade[more], 3)
+    got = op2_toxicity.fit_ordinal(row, col, grade, 3, weight=times)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(got, want, strict=True))
+
+
+def test_severity_does_not_depend_on_the_size_of_the_sample(spark):
+    rng = random.Random(5)
+    texts = []
+    for k in range(2000):
+        w = prose(rng, 20, 30).split()
+        if rng.random() < (0.8 if k % 10 == 0 else 0.2):
+            w[rng.randrange(20)] = "vile"
+        texts.append(" ".join(w))
+    labels = spark.createDataFrame([(k, 1, int(k % 10 == 0)) for k in range(2000)], "doc_id long, quality int, toxic int")
+    df = docs(spark, texts)
+    probe = flat(["", "so vile"])
+    whole, part = (op2_toxicity.learned(df, labels, n).above(*probe)[:, 0] for n in (3000, 120))
+    assert np.abs(whole - part).max() < 0.1
+
+
 def test_held_out_accuracy_of_toxicity(spark, data):
     got = queries.op2_toxicity_severity(spark, data).toPandas()
     labels = spark.read.parquet(f"{data}/labels.parquet").toPandas()
