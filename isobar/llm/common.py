@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Groups whose shares travel in the plan; those of more groups are joined.
+GROUPS = 10_000
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -63,14 +66,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def sample(df: DataFrame, group: str, per_group: int, id_col: str = "doc_id") -> DataFrame:
-    """About ``per_group`` rows of each group, chosen by a hash of the id; all rows of small groups.
-
-    Where more than 10,000 groups exist, rows of the 10,000 largest.
-    """
+    """About ``per_group`` rows of each group, chosen by a hash of the id; all rows of small groups."""
     count = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"))
-    share = {r["_g"]: min(1.0, per_group / r["_n"]) for r in count.orderBy(F.desc("_n"), "_g").limit(10_000).collect()}
+    pick = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = {r["_g"]: min(1.0, per_group / r["_n"]) for r in count.limit(GROUPS + 1).collect()}
     if not share:
         return df.limit(0)
-    pick = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    if len(share) > GROUPS:
+        cut = count.select("_g", F.least(F.lit(1.0), F.lit(float(per_group)) / F.col("_n")).alias("_share"))
+        return df.join(cut, F.col(group) == F.col("_g")).where(pick < F.col("_share")).select(*columns(df))
     cut = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(v))])
     return df.where(pick < cut[F.col(group)])

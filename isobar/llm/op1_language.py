@@ -82,6 +82,7 @@ class Ppm:
         # Cost of each symbol in each node, one order after the other; order 0 has one node.
         cost = np.full((1, a, count), 8.0)
         node = np.zeros(1, dtype=np.int64)  # of each context code of the order before
+        self.nodes = []  # the same for each order
         for k in range(order + 1):
             has = size == k + 1
             code, lg, num = recoded(gram[has].astype(np.int64), k + 1), lang[has], n[has].astype(float)
@@ -103,11 +104,15 @@ class Ppm:
                 cost, node = np.concatenate([cost, new]), child
             else:
                 cost = new if len(new) else cost
+            self.nodes.append(node.astype(np.int32))
         self.node = node.astype(np.int32)
         self.cost = np.ascontiguousarray(cost, dtype=np.float32).reshape(-1, count)
 
-    def lengths(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Bits of each text in each language, each byte under the ``order`` bytes before it."""
+    def lengths(self, raw: np.ndarray, off: np.ndarray, short: bool = False) -> np.ndarray:
+        """Bits of each text in each language, each byte under the ``order`` bytes before it.
+
+        The first ``order`` bytes of a text are taken under order 0, or with ``short`` under the bytes that they have before them.
+        """
         rows = len(off) - 1
         out = np.zeros((rows, len(self.langs)))
         if not len(raw) or not len(self.langs):
@@ -118,6 +123,12 @@ class Ppm:
             ctx[k:] += s[k - 1 - j : len(raw) - 1 - j] * a**j
         at = self.node[ctx].astype(np.int64) * a + s
         at[T.spread(off[:-1], np.minimum(k, np.diff(off)))] = s[T.spread(off[:-1], np.minimum(k, np.diff(off)))]  # the first bytes under order 0
+        for j in range(1, k if short else 0):
+            here = off[:-1][np.diff(off) > j] + j
+            code = np.zeros(len(here), dtype=np.int64)
+            for i in range(j):
+                code += s[here - 1 - i] * a**i
+            at[here] = self.nodes[j][code].astype(np.int64) * a + s[here]
         full = np.flatnonzero(np.diff(off))
         for c0 in range(0, len(self.langs), 16):
             got = self.cost[at, c0 : c0 + 16].astype(np.float64)
@@ -126,7 +137,7 @@ class Ppm:
 
     def predict(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(number of the language, score)``."""
-        bits = self.lengths(raw, off)
+        bits = self.lengths(raw, off, short=True)
         size = np.maximum(np.diff(off), 1)
         best = bits.argmin(axis=1)
         gap = (bits - bits.min(axis=1, keepdims=True)) * np.minimum(1.0, TEMPER / size)[:, None]

@@ -61,6 +61,16 @@ def test_code_lengths_equal_a_walk_through_the_contexts():
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_first_bytes_have_shorter_contexts():
+    counts = [(0, "th", 3), (0, "ht", 1), (1, "ht", 3), (1, "th", 1)]
+    rows = [(lang, 2, ord(g[0]) << 8 | ord(g[1]), n) for lang, g, n in counts] + [(lang, 1, ord(c), 4) for lang in (0, 1) for c in "th"]
+    ppm = op1_language.Ppm(["a", "b"], *(np.array(x) for x in zip(*rows, strict=True)))
+    first = np.log2((4 + 4 + 2) / 4)  # order 0: 8 bytes of 2 kinds
+    a, b = (np.log2((n + 1) / n) for n in (3, 1))  # order 1: the only follower
+    assert np.allclose(ppm.lengths(*flat(["th"]), short=True), [[first + a, first + b]], atol=1e-3)
+    assert [int(x) for x in ppm.predict(*flat(["th", "ht", ""]))[0]] == [0, 1, 0]
+
+
 def test_language_of_held_out_documents(spark, data):
     got = queries.op1_language_id(spark, data).toPandas()
     truth = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").toPandas()
@@ -81,6 +91,13 @@ def test_language_of_awkward_texts(spark):
     assert op1_language.predict(df.limit(0), train).count() == 0
 
 
+def test_sample_reads_every_group(spark):
+    df = spark.range(30_150).selectExpr("id as doc_id", "if(id < 20100, cast(id div 2 as string), 'large') as lang")
+    n = {r["lang"]: r["count"] for r in sample(df, "lang", 300).groupBy("lang").count().collect()}
+    assert len(n) == 10_051 and 200 < n.pop("large") < 400 and set(n.values()) == {2}
+    assert sample(df, "lang", 300).columns == df.columns
+
+
 def test_sample_is_bounded_and_stable(spark):
     df = frame(spark, [(k, None, "a" if k % 10 else "b", None, None) for k in range(4000)])
     one, two = sample(df, "lang", 300), sample(df.repartition(7), "lang", 300)
