@@ -555,7 +555,7 @@ def spectrum_multitaper(s, d):
 
 @query()
 def corr_significance(s, d):
-    return regress.correlation_significance(_pair(s, d).withColumn("t", F.col("year") * 12 + F.col("month")), ["lat", "lon"], "t", surrogates=200)
+    return regress.correlation_significance(_pair(s, d).withColumn("t", F.col("year") * 12 + F.col("month")), ["lat", "lon"], "t")
 
 
 # -- columns and units ------------------------------------------------------

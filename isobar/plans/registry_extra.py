@@ -120,7 +120,7 @@ def _physical(s, d, mode: str):
     models = proxies.identity_models(at, 0.1).join(at.select("pid", "at"), "pid").withColumn("season", F.explode(F.array(*[F.lit(q) for q in range(4)])))
     due = assimilate.schedule(obs, models, None, 1996, 1997)
     x0 = backward @ assimilate.initial_from_sample(reduced, 6)
-    return assimilate.reconstruct(due, 2, x0, model, 1996, 1997, fraction=0.8, mode=mode, substeps=20, space=space)
+    return assimilate.reconstruct(due, 2, x0, model, 1996, 1997, fraction=0.8, mode=mode, space=space)
 
 
 @query()

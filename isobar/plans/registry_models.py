@@ -316,7 +316,7 @@ def lim_forecast(s, d):
 @query()
 def lim_forecast_stochastic(s, d):
     m = _lim(s, d)
-    f = m.simulate(np.ones((len(m.g), 20)), 4, 90, np.random.default_rng(1))
+    f = m.simulate(np.ones((len(m.g), 20)), 4, int(assimilate.STEPS_PER_YEAR * m.tau), np.random.default_rng(1))
     return s.createDataFrame([(i, k, float(f[i, :, k].mean()), float(f[i, :, k].std())) for i in range(len(f)) for k in range(5)], "state int, step int, mean double, std double")
 
 
@@ -356,7 +356,7 @@ def _cycle(s: SparkSession, d: str) -> tuple[Mapper, DataFrame, DataFrame]:
     seasonal = models.withColumn("season", F.explode(F.array(*[F.lit(q) for q in range(4)])))
     due = assimilate.schedule(obs, seasonal, None, 1996, 1998)
     x0 = assimilate.initial_from_sample(reduced, 6)
-    post = assimilate.reconstruct(due, 3, x0, model, 1996, 1998, fraction=0.8, substeps=20)
+    post = assimilate.reconstruct(due, 3, x0, model, 1996, 1998, fraction=0.8)
     return m, post, obs
 
 

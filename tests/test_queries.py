@@ -1,13 +1,15 @@
 """Every query with SQL gives the rows of its SQL (on the smallest tables)."""
 
+import inspect
+
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from isobar.operators import enkf
-from isobar.plans import registry
+from isobar.operators import enkf, lim, regress
+from isobar.plans import assimilate, registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -77,3 +79,31 @@ def test_linear_models_hold_the_whole_state(spark, data):
     assert np.allclose(cast, np.stack([np.linalg.matrix_power(g, k) @ np.ones(64) for k in range(5)], axis=1), rtol=0, atol=2e-6)
     drawn = registry.QUERIES["lim_forecast_stochastic"](spark, data).toPandas()
     assert len(drawn) == 64 * 5 and np.isfinite(drawn[["mean", "std"]]).all(axis=None)
+
+
+def test_significance_is_of_a_thousand_surrogates(spark, data, monkeypatch):
+    seen = []
+    usual = inspect.signature(regress.correlation_significance)
+    monkeypatch.setattr(regress, "correlation_significance", lambda *args, **more: (seen.append(bound := usual.bind(*args, **more)), bound.apply_defaults(), args[0])[2])
+    registry.QUERIES["corr_significance"](spark, data)
+    assert seen[0].arguments["surrogates"] == 1000
+
+
+def test_integration_takes_all_substeps(spark, data, monkeypatch):
+    seen = []
+    simulate = lim.Lim.simulate
+    monkeypatch.setattr(lim.Lim, "simulate", lambda self, x0, steps, substeps, *rest, **more: (seen.append(substeps), simulate(self, x0, steps, substeps, *rest, **more))[1])
+    registry.QUERIES["lim_forecast_stochastic"](spark, data)
+    assert seen == [360]
+
+    class Stop(Exception):
+        pass
+
+    def stop(*args, substeps=None, **more):
+        assert substeps is None
+        raise Stop
+
+    monkeypatch.setattr(assimilate, "reconstruct", stop)
+    for name in ("reconstruction_cycle", "reconstruction_physical_window"):
+        with pytest.raises(Stop):
+            registry.QUERIES[name](spark, data)
