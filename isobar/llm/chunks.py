@@ -69,6 +69,11 @@ class Chunk:
         got = self._rb.column(self._rb.schema.get_field_index(name))[self._k]
         return np.sort(got.values.to_numpy(zero_copy_only=False).view(np.uint64)) if got.is_valid and len(got.values) else np.zeros(0, np.uint64)
 
+    def structs(self, name: str) -> pa.Array | None:
+        """A list of structs that came back for the chunk, None where there is none."""
+        got = self._rb.column(self._rb.schema.get_field_index(name))[self._k]
+        return got.values if got.is_valid and len(got.values) else None
+
     def order(self) -> np.ndarray:
         """Rank of each document by id; equal ids in the order of rows."""
         at = np.argsort(self.ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), kind="stable")

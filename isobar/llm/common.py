@@ -18,10 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one key may have on the larger side of a join before they are joined by broadcast, without a shuffle.
+HOT_ROWS = 5_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of its own where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode one of its own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="isobar-")
         spark.sparkContext.setCheckpointDir(path)
     return str(path)
@@ -55,6 +61,21 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def joined(rows: DataFrame, once: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """Inner join of ``rows`` with ``once``, which has each key once and says in ``times`` how many rows it can meet.
+
+    Keys that may meet more than ``HOT_ROWS`` rows, of which there are at most
+    all rows over ``HOT_ROWS``, are broadcast, so that their rows stay where
+    they are; all others are joined by shuffle.
+    """
+    once = once if hasattr(once, "_saved_at") else saved(once)
+    hot = once.where(F.col(times) > HOT_ROWS)
+    if hot.isEmpty():
+        return rows.join(once, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(once.where(F.col(times) <= HOT_ROWS), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns, also those with dots in their names."""
     return [F.col(f"`{c}`") for c in df.columns]

@@ -120,15 +120,45 @@ def test_suffix_dedup_equals_brute_force(spark, options):
     assert collected(op4_suffix.digests(docs(spark, texts), **options)) == removed_bytes(texts)
 
 
-def test_longest_previous_factors():
-    raw = np.frombuffer(b"xabcabcabcy" * 3, dtype=np.uint8)
-    n, length = len(raw), 5
-    at = np.arange(n - length + 1)
-    order, rank = op4_suffix.suffix_order(raw, at, length)
-    assert [bytes(raw[i : i + length]) for i in order] == sorted(bytes(raw[i : i + length]) for i in at)
-    text = bytes(raw)
-    assert op4_suffix.longest_factors(order, rank, earlier_only=True).tolist() == [text.find(text[i : i + length]) < i for i in at]
-    assert op4_suffix.longest_factors(order, rank).tolist() == [text.find(text[i : i + length]) < i or text.find(text[i : i + length], i + 1) > 0 for i in at]
+def earlier(text, i, length):
+    """Longest match of the suffix at i that starts earlier."""
+    return max([0] + [next((k for k in range(length) if text[i + k] != text[j + k]), length) for j in range(i)])
+
+
+@pytest.mark.parametrize(("text", "length"), [(b"xabcabcabcy" * 3, 5), (b"ab" * 20 + b"aab" * 9, 8), (b"q" * 40, 16), (bytes(random.Random(3).choices(b"ab\x00", k=150)), 8)])
+def test_longest_previous_factors(text, length):
+    raw = np.frombuffer(text, dtype=np.uint8)
+    at = np.arange(len(raw) - length + 1)
+    head = op4_suffix.heads(raw, at, length)
+    assert [text[i : i + length] for i in op4_suffix.suffix_order(head)] == sorted(text[i : i + length] for i in at)
+    got, place = op4_suffix.longest_previous_factors(head)
+    assert got.tolist() == [earlier(text, i, length) for i in at]
+    for i, n, j in zip(at, got, place, strict=True):
+        assert (n == 0 or j < i) and (j < 0 or text[i : i + n] == text[j : j + n])
+    alike = [sum(text[j : j + length] == text[i : i + length] for j in at) > 1 for i in at]
+    assert op4_suffix.repeated_starts(head).tolist() == alike
+
+
+def test_second_copies_are_factors():
+    text = b"abcdefgh" + b"abcdxyzw" + b"12345678"
+    at = np.array([0, 8, 16, 1])
+    head = op4_suffix.heads(np.frombuffer(text + text, np.uint8), at, 8)
+    twice = np.array([True, False, True, False])
+    length, place = op4_suffix.longest_previous_factors(head, twice)
+    assert length.tolist() == [0, 4, 0, 0, 8, 8] and place[4:].tolist() == [0, 2]
+    assert op4_suffix.repeated_starts(head, twice).tolist() == twice.tolist()
+
+
+def test_hot_keys_join_as_others(spark, monkeypatch):
+    from isobar.llm import common
+
+    rows = spark.range(300).selectExpr("id", "if(id < 200, 7, id % 5) as k")
+    once = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    want = sorted(tuple(r) for r in common.joined(rows, once, ["k"], "n").collect())
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    out = common.joined(rows, once, ["k"], "n")
+    assert sorted(tuple(r) for r in out.collect()) == want and len(want) == 300
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().toString()
 
 
 def test_suffix_dedup_of_an_empty_table(spark):
@@ -167,6 +197,25 @@ def test_anchor_dedup_equals_brute_force(spark, chunk_bytes):
     assert collected(op8_anchors.digests(df, chunk_bytes)) == want
 
 
+def test_a_passage_in_every_chunk(spark, monkeypatch):
+    from isobar.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)  # its keys are joined by broadcast
+    rng = random.Random(6)
+    passage, texts = prose(rng, 50), []
+    for _ in range(60):
+        texts.append(prose(rng, 30) + " " + passage + " " + prose(rng, 30))
+    want = [(i, len(w), sum(g), hashlib.sha256(" ".join(x for x, y in zip(w, g, strict=True) if not y).encode()).hexdigest()) for i, w, g in kept_words(list(enumerate(texts)))]
+    assert collected(op8_anchors.digests(docs(spark, texts), 400)) == want
+    assert collected(op4_suffix.digests(docs(spark, texts), 400)) == removed_bytes(texts)
+
+
+def test_anchor_dedup_of_an_empty_table(spark):
+    df = docs(spark, ["x"]).limit(0)
+    assert op8_anchors.digests(df).count() == 0
+    assert op8_anchors.deduplicated(df).count() == 0 and op8_anchors.deduplicated(df).columns == df.columns
+
+
 def test_difference_cover_meets_every_shift():
     cover = set(op8_anchors.COVER)
     for d in range(op8_anchors.PERIOD):
