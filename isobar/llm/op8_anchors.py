@@ -8,15 +8,17 @@ shift below ``PERIOD`` takes both to covered positions.  So only windows of
 two equal runs of ``WINDOW`` words share an anchor at the same shift.
 
 1. Chunks send the hashes of their anchors, once each; those in more than one
-   place come back.
-2. Around them every run of ``WINDOW`` words that holds one is hashed and
-   sent with the smallest document that has it in the chunk; a run that is not
-   the first of all comes back.
-3. Words of such runs, and of later ones in the same chunk, are removed.
+   place, counted by key before and after the shuffle, come back.
+2. Around them every run of ``WINDOW`` words that holds one is named by the
+   hashes of its two halves (128 bits) and sent with the smallest document
+   that has it in the chunk; a run that is not the first of all comes back.
+3. Words of such runs, and of later ones around anchors that stand twice in
+   the same chunk, are removed.
 
 Results: null and empty texts have no words; of rows that repeat an id the one
 in the earlier chunk or row counts as earlier; a null id counts as smaller than
-any other.
+any other; a very long text is one chunk; an empty table gives no rows;
+``digests`` ignores other columns, ``deduplicated`` keeps them as they are.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import text as T
-from .chunks import CHUNK_BYTES, Chunk, chunked, covered, each, member
-from .common import dropped, saved
+from .chunks import CHUNK_BYTES, Chunk, chunked, covered, each, member, twice
+from .common import dropped, joined, saved
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
@@ -54,10 +56,12 @@ class _Cut:
         at = np.flatnonzero(_COVERED[self.at % PERIOD] & (self.left >= ANCHOR) & (self.words.n[self.row] >= WINDOW))
         return at, T.ranges(self.pre, at, at + ANCHOR)
 
-    def runs(self, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words of the runs, and the hashes of their halves."""
         full = self.left >= WINDOW
         at = np.flatnonzero(full if mask is None else full & mask)
-        return at, T.ranges(self.pre, at, at + WINDOW)
+        middle = at + WINDOW // 2
+        return at, T.ranges(self.pre, at, middle), T.ranges(self.pre, middle, at + WINDOW)
 
     def near(self, anchors: np.ndarray) -> np.ndarray:
         """Starts whose run can hold one of the anchors in its first ``PERIOD`` places."""
@@ -67,6 +71,11 @@ class _Cut:
         return np.cumsum(edge[:-1]) > 0
 
 
+def _named(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """One name of a run, for use inside a chunk."""
+    return T.mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+
+
 def _first(keys: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Index of the first occurrence (by rank, then place) of each distinct key."""
     order = np.lexsort((at, rank, keys))
@@ -83,22 +92,25 @@ def later_runs(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), c.id)), pa.array((n > 1).astype(np.int8))], ["key", "chunk", "more"])
 
     sent = chunks.select("chunk", "ids", "lens", "text").mapInArrow(send_anchors, "key long, chunk long, more byte")
-    by_key = Window.partitionBy("key")
-    shared = sent.withColumn("n", F.sum(F.col("more") + 1).over(by_key)).where("n > 1")
-    shared = saved(shared.groupBy("chunk").agg(F.collect_list("key").alias("anchors")))
+    again = sent.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.max("more").alias("more")).where("times > 1 or more > 0").select("key", "times")
+    again = saved(again)
+    shared = saved(joined(sent.select("key", "chunk"), again, ["key"], "times").groupBy("chunk").agg(F.collect_list("key").alias("anchors")))
+    dropped(again)
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in each(batches):
             cut = _Cut(c)
             at, key = cut.anchors()
-            at, key = cut.runs(cut.near(at[member(key, c.keys("anchors"))]))
-            own = _first(key, c.order()[cut.row[at]], at)
+            at, one, two = cut.runs(cut.near(at[member(key, c.keys("anchors"))]))
+            own = _first(_named(one, two), c.order()[cut.row[at]], at)
             docs = c.ids.take(pa.array(cut.row[at[own]]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(np.full(len(own), c.id)), docs], ["key", "chunk", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(one[own].view(np.int64)), pa.array(two[own].view(np.int64)), pa.array(np.full(len(own), c.id)), docs], ["one", "two", "chunk", "doc"])
 
-    sent = chunks.select("chunk", "ids", "lens", "text").join(shared, "chunk").mapInArrow(send_runs, "key long, chunk long, doc long")
-    later = sent.withColumn("first", F.min(F.struct("doc", "chunk")).over(by_key)).where(F.col("first.chunk") != F.col("chunk"))
-    out = saved(later.groupBy("chunk").agg(F.collect_list("key").alias("later")))
+    sent = chunks.select("chunk", "ids", "lens", "text").join(shared, "chunk").mapInArrow(send_runs, "one long, two long, chunk long, doc long")
+    first = saved(sent.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "chunk"))["chunk"].alias("home")).where("times > 1"))
+    later = joined(sent.select("one", "two", "chunk"), first, ["one", "two"], "times").where("chunk <> home")
+    out = saved(later.groupBy("chunk").agg(F.collect_list(F.struct("one", "two")).alias("later")))
+    dropped(first)
     dropped(shared)
     return out
 
@@ -106,21 +118,26 @@ def later_runs(chunks: DataFrame) -> DataFrame:
 def _removed(c: Chunk) -> tuple[_Cut, np.ndarray]:
     """The words of a chunk (with its ``later`` runs) and which of them go."""
     cut = _Cut(c)
-    at, key = cut.runs()
-    go = np.ones(len(at), dtype=bool)
-    if len(at):
-        s = np.sort(key)
-        alone = np.ones(len(at), dtype=bool)
-        again = np.unique(s[1:][s[1:] == s[:-1]])
-        alone = ~member(key, again)
-        go = ~alone
-        some = np.flatnonzero(go)
-        go[some[_first(key[some], c.order()[cut.row[at[some]]], at[some])]] = False
-        go |= member(key, c.keys("later"))
-    return cut, covered(at[go], WINDOW, len(cut.row))
-
-
-def _over(docs: DataFrame, extra: bool, schema: Callable[[DataFrame], str | StructType], make: Callable[[Chunk, _Cut, np.ndarray], pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    gone = np.zeros(len(cut.row), dtype=bool)
+    anchor, key = cut.anchors()
+    # Repeats in the chunk: around anchors that stand in it twice.
+    at, one, two = cut.runs(cut.near(anchor[member(key, twice(key))]))
+    run = _named(one, two)
+    some = np.flatnonzero(member(run, twice(run)))
+    go = np.zeros(len(at), dtype=bool)
+    go[some] = True
+    go[some[_first(run[some], c.order()[cut.row[at[some]]], at[some])]] = False
+    gone |= covered(at[go], WINDOW, len(cut.row))
+    later = c.structs("later")
+    if later is not None:
+        at, one, two = cut.runs()
+        names = np.sort(_named(*(later.field(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("one", "two"))))
+        gone |= covered(at[member(_named(one, two), names)], WINDOW, len(cut.row))
+    return cut, gone
+
+
+def _over(docs: DataFrame, extra: bool, schema: Callable[[DataFrame], str | StructType], make: Callable[[Chunk, _Cut, np.ndarray], pa.RecordBatch], chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
+    """The made rows, and the tables that they are read from."""
     chunks = chunked(docs, extra, chunk_bytes)
     later = later_runs(chunks)
 
@@ -128,7 +145,7 @@ def _over(docs: DataFrame, extra: bool, schema: Callable[[DataFrame], str | Stru
         for c in each(batches):
             yield make(c, *_removed(c))
 
-    return chunks.join(later, "chunk", "left").mapInArrow(run, schema(chunks))
+    return chunks.join(later, "chunk", "left").mapInArrow(run, schema(chunks)), [chunks, later]
 
 
 def digests(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -141,7 +158,11 @@ def digests(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         n_gone = np.diff(np.r_[0, np.cumsum(gone)][first])
         return pa.RecordBatch.from_arrays([c.ids, pa.array(cut.words.n.astype(np.int64)), pa.array(n_gone.astype(np.int64)), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return _over(docs, False, lambda _: "doc_id long, n_words long, n_removed long, kept_sha256 string", make, chunk_bytes)
+    rows, read = _over(docs, False, lambda _: "doc_id long, n_words long, n_removed long, kept_sha256 string", make, chunk_bytes)
+    out = saved(rows)
+    for table in read:
+        dropped(table)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -167,5 +188,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         out = StructType().add("doc_id", "long").add("text", "string")
         return out.add("rest", chunks.schema["rest"].dataType.elementType) if "rest" in chunks.columns else out
 
-    out = _over(docs, True, schema, make)
+    out, _ = _over(docs, True, schema, make)
     return out.select(*[F.col("rest")[c].alias(c) if c not in ("doc_id", "text") else F.col(f"`{c}`") for c in docs.columns])
