@@ -1,19 +1,32 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page.  Lines of which
-the markup around them says that they are no article text (menus, forms,
-adverts and the like) are taken out first.  Where the page marks its article,
-all lines left in it are the text.  Else a line's weight is its text length, or
-nothing where most of it is link text, and the weights are summed over sliding
-windows of ``WINDOW`` lines.  Where the sum leaves zero is a surge, where it
-falls back to zero a dive; all lines between the surge and the dive of the
-heaviest stretch are the article, with any further stretch of at least
-``SHARE`` of its weight.
+Markup is stripped into lines, one for each block of the page; tags shape them.
+A line weighs as much as its text is long (in code points), ``EMPHASIS`` times
+that inside an element that the page marks as its article, and nothing where
+most of it is link text.  Between neighbours of which one is in a marked
+article and the other not stand ``WINDOW`` blank lines.  Blocks that are menus,
+forms, adverts, comments and the like by their element, role or class give no
+lines inside a marked article; on a page that marks none their lines are blank
+where they lie between different parents, and none within one.
+
+The weights are summed over sliding windows of ``WINDOW`` lines.  Where the sum
+leaves zero is a surge, where it falls back to zero a dive.  Stretches between
+them in which some window reaches the surge level are the article: all their
+lines, light ones too, and nothing else.  The level is ``SURGE`` code points,
+``EMPHASIS`` where the page marks an article (a code point of it), and never
+above the largest sum of the page.
+
+Class words are believed only as whole names: every part of the name must be a
+known word and one of them a hint, so ``no-sidebar``, ``ad-free`` and
+``share-price`` mean nothing; nor do names on the page, the body or the article
+itself.  Where nothing else is left of a page, and without its classes a surge
+would be, they are not believed.
 
 Results: null and empty pages give an empty text; unclosed and stray tags are
 taken as browsers do (a new paragraph ends an open one, a stray end tag means
-nothing, an unended tag at the end of a page is dropped); repeated rows are
-extracted each for itself; other columns are ignored.
+nothing, an unended tag at the end of a page is dropped); very long pages are
+read in one piece; repeated rows are extracted each for itself; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +34,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +42,8 @@ from pyspark.sql import DataFrame
 
 from . import text as T
 
-#: Lines in a window; the share of the heaviest stretch that a further one needs.
-WINDOW, SHARE = 3, 0.2
+#: Lines in a window; code points of a window that make a surge; weight of a code point in a marked article.
+WINDOW, SURGE, EMPHASIS = 3, 80, 1 << 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -44,48 +58,57 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIP = frozenset("nav header footer aside form menu dialog button label fieldset search".split())
 _MAIN = frozenset("article main".split())
+_WHOLE = frozenset("html body article main".split())
+_LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre tr td th figcaption caption summary".split())
 _ROLE = re.compile(r"""\brole\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form|menu|menubar|toolbar)\b""", re.I)
 _NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+#: Words that name what is no article text, and words that may stand beside them in a name.
 _HINT = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion menu menus nav navbar navigation topbar breadcrumb breadcrumbs sidebar aside rail footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended pagination pager toolbar widget comment comments commentlist reply replies respond disqus discussion login search copyright".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored promo promotion menu menus nav navbar navigation topbar breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup share sharing social related recommended pagination pager toolbar comment comments commentlist disqus login".split()
 )
+_BESIDE = frozenset("site page main top bottom left right primary secondary global box block bar area wrap wrapper container inner outer list item items links link buttons button form section widget slot unit group panel column col notice notices message header head content text title row inline mobile desktop thread reply replies post posts article articles stories news user reader the and".split())
 _SPLIT = re.compile(r"[^a-zA-Z]+")
 
 
-def _masked(name: str, attrs: str) -> bool:
-    if name in _SKIP:
-        return True
-    if not attrs:
-        return False
-    if _ROLE.search(attrs) or _HIDDEN.search(attrs):
-        return True
+def _hinted(attrs: str) -> bool:
+    """Whether a class or id names something that is no article text."""
     for m in _NAMED.finditer(attrs):
         for word in (m[1] or m[2] or m[3] or "").split():
             parts = [p.lower() for p in _SPLIT.split(word) if p]
-            if parts and (parts[0] in _HINT or parts[-1] in _HINT):
+            if any(p in _HINT for p in parts) and all(p in _HINT or p in _BESIDE for p in parts):
                 return True
     return False
 
 
-def lines(html: str) -> tuple[list[str], np.ndarray, bool]:
-    """Texts of the page's blocks, their weights, and whether they are those of an article that the page marks."""
-    texts: list[str] = []
-    weights: list[int] = []
-    main: list[bool] = []
-    stack: list[tuple[str, bool, bool]] = []  # open blocks: name, masked, inside the main element
+class Line(NamedTuple):
+    text: str
+    #: Code points of link text; in a marked article; of a block that is no article text; the open block that holds it.
+    links: int
+    marked: bool
+    masked: bool
+    parent: int
+
+
+def lines(html: str, classes: bool = True) -> list[Line]:
+    """Texts of the page's blocks, but for masked ones inside a marked article."""
+    out: list[Line] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # open blocks: name, masked, inside the marked article, number
     buf: list[str] = []
-    links = link = 0
+    links = link = number = 0
 
     def flush() -> None:
         nonlocal links
         if buf:
             if text := " ".join(unescape("".join(buf)).split()):
-                masked, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                if not masked:
-                    texts.append(text)
-                    weights.append(0 if 2 * links > len(text) and not inside else len(text))
-                    main.append(inside)
+                _, masked, inside, parent = stack[-1] if stack else ("", False, False, 0)
+                # A paragraph or heading stands in the block around it.
+                if len(stack) > 1 and stack[-1][0] in _LEAF:
+                    parent = stack[-2][3]
+                elif stack and stack[-1][0] in _LEAF:
+                    parent = 0
+                if not (masked and inside):
+                    out.append(Line(text, links, inside, masked, parent))
             buf.clear()
         links = 0
 
@@ -127,45 +150,63 @@ def lines(html: str) -> tuple[list[str], np.ndarray, bool]:
         if name in _VOID:
             continue
         attrs = m["attrs"] or m["attrs2"] or ""
-        own = _masked(name, attrs)
-        masked, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        if name in _MAIN and not own:
-            stack.append((name, False, True))
-        else:
-            stack.append((name, masked or own, inside))
+        number += 1
+        _, masked, inside, _ = stack[-1] if stack else ("", False, False, 0)
+        # A name says nothing on the page, the body or an article, but for articles in articles, as comments may be.
+        named = classes and (name not in _WHOLE or name == "article" and inside)
+        own = name in _SKIP or bool(attrs) and bool(_ROLE.search(attrs) or _HIDDEN.search(attrs) or named and _hinted(attrs))
+        stack.append((name, masked or own, inside or name in _MAIN and not masked and not own, number))
     if at < len(html) and not html.startswith("<", at):
         buf.append(html[at:])
     flush()
-    marked = any(main)
-    if marked:  # what stands around the article is none of it
-        keep = [k for k, inside in enumerate(main) if inside]
-        texts, weights = [texts[k] for k in keep], [weights[k] for k in keep]
-    return texts, np.array(weights, dtype=np.int64), marked
-
-
-def stretches(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
-    """``[surge, dive)`` of each stretch in which no window of lines is without text."""
-    if not len(weights):
+    return out
+
+
+def weights(found: list[Line]) -> tuple[np.ndarray, np.ndarray, list[Line]]:
+    """``(weight, place, line)``: weights of lines and blank lines in page order, where among them the lines stand, and which these are."""
+    weight: list[int] = []
+    place, kept = [], []
+    marked = any(x.marked for x in found)
+    passed = 0
+    for x in found:
+        if x.masked and not marked:
+            passed += 1
+            continue
+        if kept and kept[-1].marked != x.marked:
+            weight += [0] * WINDOW
+        elif kept and kept[-1].parent != x.parent:
+            weight += [0] * passed
+        passed = 0
+        place.append(len(weight))
+        kept.append(x)
+        length = len(x.text)
+        weight.append(EMPHASIS * length if x.marked else 0 if 2 * x.links > length else length)
+    return np.array(weight, dtype=np.int64), np.array(place, dtype=np.int64), kept
+
+
+def stretches(weight: np.ndarray, level: int = 1, window: int = WINDOW) -> list[tuple[int, int]]:
+    """``[surge, dive)`` of each stretch in which no window of lines is without text and some reach ``level``."""
+    if not len(weight):
         return []
-    total = np.convolve(weights, np.ones(window, dtype=np.int64))  # total[i] sums the lines i - window + 1 .. i
+    total = np.convolve(weight, np.ones(window, dtype=np.int64))  # total[i] sums the lines i - window + 1 .. i
     live = np.r_[False, total > 0, False]
     surge, dive = np.flatnonzero(~live[:-1] & live[1:]), np.flatnonzero(live[:-1] & ~live[1:])
-    return [(int(s), int(min(d - window + 1, len(weights)))) for s, d in zip(surge, dive, strict=True)]
+    level = min(level, int(total.max()))
+    return [(int(s), int(min(d - window + 1, len(weight)))) for s, d in zip(surge, dive, strict=True) if total[s:d].max() >= level]
 
 
 def extract(html: str | None) -> str:
     """The main text of one page, blocks joined by line feeds."""
     if not html:
         return ""
-    texts, weights, marked = lines(html)
-    if marked:
-        return "\n".join(texts)
-    found = stretches(weights)
-    if not found:
-        return ""
-    mass = [int(weights[a:b].sum()) for a, b in found]
-    least = SHARE * max(mass)
-    return "\n".join(texts[k] for (a, b), w in zip(found, mass, strict=True) if w >= least for k in range(a, b))
+    found = lines(html)
+    if all(x.masked for x in found):
+        plain = lines(html, classes=False)
+        found = plain if sum(len(x.text) for x in plain if not x.masked) >= SURGE else found
+    weight, place, kept = weights(found)
+    level = EMPHASIS if any(x.marked for x in kept) else SURGE
+    chosen = [slice(*np.searchsorted(place, span)) for span in stretches(weight, level)]
+    return "\n".join(x.text for part in chosen for x in kept[part])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

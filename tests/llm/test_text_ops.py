@@ -1,4 +1,5 @@
 import hashlib
+import html as html_lib
 import math
 import random
 import re
@@ -107,19 +108,70 @@ def test_short_lines_of_the_article_are_kept(html, want):
     assert op9_html.extract(html % body) == want % body.strip()
 
 
+LONG = "Words of the article that go on for a good while, so that it is long enough to be one. " * 3
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        # No marked article, names that only look like hints, long gaps of adverts, comments, classes that cover the page.
+        ('<body class="single no-sidebar"><div class="ad-free content"><h1>T</h1><p class="share-price">%s</p></div></body>', "T\n%s"),
+        ('<article class="sponsored"><p>%s</p><div class="ad-free content"><p>x</p></div></article>', "%s\nx"),
+        ("<article><p>%s</p>" + '<div class="ad">Buy now</div>' * 5 + "<p>Short closing.</p></article><div>Else</div>", "%s\nShort closing."),
+        ("<div><h1>T</h1><p>%s</p>" + '<div class="ad-container">Buy now</div>' * 9 + "<p>Short closing.</p></div>", "T\n%s\nShort closing."),
+        ('<body><div class="comments"><article><p>first</p></article></div><article><p>%s</p><article class="comment"><p>no</p></article></article>', "%s"),
+        ('<div class="sidebar"><p>%s</p></div>', "%s"),
+        ("<div id=cookie-notice>We use cookies on this page, do you agree with them?</div><nav><p>a<p>b<p>c</nav><div><p>%s</p></div><footer><p>a<p>b<p>c</footer><div>imprint</div>", "%s"),
+        ("<article><p>x</p></article><div>%s</div>", "x"),
+        ("<article><p>one</p></article><p>%s</p><article><p>two</p></article>", "one\ntwo"),
+    ],
+)
+def test_windows_decide_on_pages_of_all_kinds(html, want):
+    text = LONG.strip()
+    assert op9_html.extract(html.replace("%s", text)) == want.replace("%s", text)
+
+
 def test_surge_and_dive():
     w = np.array([0, 0, 0, 40, 0, 60, 0, 0, 0, 0, 5, 0])
-    assert op9_html.stretches(w) == [(3, 6), (10, 11)]
-    assert op9_html.stretches(np.array([], dtype=np.int64)) == [] and op9_html.stretches(np.array([0, 0])) == [] and op9_html.stretches(np.array([3])) == [(0, 1)]
+    assert op9_html.stretches(w) == [(3, 6), (10, 11)] and op9_html.stretches(w, 50) == [(3, 6)]
+    assert op9_html.stretches(np.array([], dtype=np.int64)) == [] and op9_html.stretches(np.array([0, 0])) == [] and op9_html.stretches(np.array([3]), 80) == [(0, 1)]
+
+
+def test_stretches_equal_a_walk_over_windows():
+    rng = random.Random(4)
+    for _ in range(400):
+        w = [rng.choice([0, 0, 0, 1, 7, 90]) for _ in range(rng.randrange(1, 30))]
+        level = rng.choice([1, 8, 80])
+        windows = [sum(w[max(0, i - 2) : i + 1]) for i in range(len(w) + 2)]
+        least, want, k = min(level, max(windows)), [], 0
+        while k < len(windows):
+            end = k
+            while end < len(windows) and windows[end] > 0:
+                end += 1
+            if end > k and max(windows[k:end]) >= least:
+                want.append((k, min(end - 2, len(w))))
+            k = max(end, k + 1)
+        got = op9_html.stretches(np.array(w), level)
+        assert got == want
+        assert level > 1 or [x for a, b in got for x in w[a:b] if x] == [x for x in w if x]
+
+
+def test_awkward_tables_of_pages(spark):
+    html = "<article><p>" + "long " * 300_000 + "</p></article>"
+    df = spark.createDataFrame([(1, "u", html, "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    out = op9_html.extract_pages(df).collect()
+    assert out[0]["n_chars"] == 5 * 300_000 - 1 and out[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+    assert op9_html.extract_pages(df.limit(0)).count() == 0
 
 
 def test_page_query(spark, data):
     got = queries.op9_html_text(spark, data).toPandas()
     pages = spark.read.parquet(f"{data}/pages.parquet").toPandas().set_index("page_id")
     assert len(got) == len(pages) and (got["n_chars"] == got["text"].str.len()).all()
-    for r in got.itertuples():
+    for r in got.itertuples():  # the pages' own template, read backwards
         article = re.search(r"<article>(.*?)(?:</article>|$)", pages.loc[r.page_id, "html"], re.S)[1]
-        assert r.text.count("\n") <= article.count("<p>") + 1 and len(r.text) > 0
+        blocks = [re.sub(r"\s+", " ", html_lib.unescape(re.sub(r"<(?!br)[^>]*(?:>|$)", "", x).replace("<br>", " "))).strip() for x in re.split(r"</?(?:p|h1)>", article)]
+        assert r.text == "\n".join(x for x in blocks if x)
     rows = [(1, "u", None), (1, "u", "<p>a</p>"), (None, None, "<p>b</p>")]
     out = op9_html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(r["text"] for r in out) == ["", "a", "b"]
