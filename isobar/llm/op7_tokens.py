@@ -12,13 +12,18 @@ the new symbol can at once take part in a piece of equal or better rank.
 Those pieces are found when the model is loaded; they are joined one
 occurrence a round.
 
-Results: null counts as empty; an empty text gives only the begin and end
+A round costs as much as the word is long, and a word of n symbols may need n
+rounds.  Words of more than ``LONG`` symbols, as unspaced text or encoded data
+give, therefore take the same merges in the same order from a heap, one by one.
+
+Results: null counts as empty; words and texts of any length are encoded whole; an empty text gives only the begin and end
 ids; repeated rows are encoded each for itself; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -31,6 +36,8 @@ from . import text as T
 SPACE_MARK = "▁"
 #: A worker forgets its words when it holds so many of them, or so many of their ids.
 CACHE_WORDS, CACHE_IDS = 400_000, 8_000_000
+#: Symbols of a word that vectorised rounds are made for; longer ones use a heap.
+LONG = 1_000
 _NONE = np.int64(1 << 40)
 
 
@@ -107,7 +114,20 @@ class Model:
         length = np.array([len(w) for w in words], dtype=np.int64)
         sym = self.char_id[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         seg = np.repeat(np.arange(len(words)), length)
-        done_sym, done_seg = [], []
+        if (long := np.flatnonzero(length > LONG)).size:
+            first = np.cumsum(length) - length
+            keep = np.ones(len(sym), dtype=bool)
+            for w in long:
+                at = slice(first[w], first[w] + length[w])
+                merged = self._merge_long(sym[at])
+                sym[first[w] : first[w] + len(merged)] = merged
+                keep[first[w] + len(merged) : at.stop] = False
+            whole = np.isin(seg, long)
+            longs = sym[keep & whole], seg[keep & whole]
+            sym, seg = sym[~whole], seg[~whole]
+        else:
+            longs = sym[:0], seg[:0]
+        done_sym, done_seg = [longs[0]], [longs[1]]
         while len(sym):
             rank = np.full(len(sym), _NONE)
             inside = np.flatnonzero(seg[:-1] == seg[1:])
@@ -148,8 +168,6 @@ class Model:
             keep = np.ones(len(sym), dtype=bool)
             keep[hit + 1] = False
             sym, seg = sym[keep], seg[keep]
-        if not done_sym:
-            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
         sym, seg = np.concatenate(done_sym), np.concatenate(done_seg)
         at = np.argsort(seg, kind="stable")
         sym, seg = sym[at], seg[at]
@@ -162,6 +180,41 @@ class Model:
             sym[T.spread(where[rare], count[rare])] = self.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         return sym.astype(np.int32), np.r_[0, np.cumsum(np.bincount(seg, minlength=len(words)))]
 
+    def _merge_long(self, sym: np.ndarray) -> list[int]:
+        """The symbols of one word after all merges, best rank and leftmost first."""
+        known: dict[int, tuple[int, int] | None] = {}
+
+        def pair(a: int, b: int) -> tuple[int, int] | None:
+            key = a * self.width + b
+            if key not in known:
+                pos = min(int(np.searchsorted(self.keys, key)), len(self.keys) - 1)
+                known[key] = (int(self.ranks[pos]), int(self.joined[pos])) if self.keys[pos] == key else None
+            return known[key]
+
+        s = sym.tolist()
+        n = len(s)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+        for i in range(n - 1):
+            if got := pair(s[i], s[i + 1]):
+                heap.append((got[0], i, s[i], s[i + 1]))
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if s[i] != a or j >= n or s[j] != b:  # one of the two was joined meanwhile
+                continue
+            s[i], s[j] = pair(a, b)[1], -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if got := pair(s[i], s[k]):
+                    heapq.heappush(heap, (got[0], i, s[i], s[k]))
+            h = before[i]
+            if h >= 0 and (got := pair(s[h], s[i])):
+                heapq.heappush(heap, (got[0], h, s[h], s[i]))
+        return [x for x in s if x >= 0]
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, offsets)`` of whole texts, with begin and end ids."""
         words, per = [], np.zeros(len(texts), dtype=np.int64)

@@ -3,6 +3,7 @@ import html as html_lib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -40,6 +41,24 @@ def test_tokens_equal_the_library(both):
         assert decoded[k].decode() == lib.decode(want) == (t or "").replace("▁", " ")
 
 
+def test_long_words_equal_the_library(both, monkeypatch):
+    mine, lib = both
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(200_000)), "a" * 20_000, "ab" * 9_000, "Zm9v" + "".join(rng.choice("ABCabcxyz0189+/") for _ in range(30_000)), "日本語の" * 3_000, " " * 5_000, "x" + "=" * 7_000]
+    texts = [" ".join(words), *words]
+    began = time.time()
+    ids, edges = mine.encode(texts)
+    assert time.time() - began < 30
+    decoded = mine.decode(ids, edges)
+    for k, t in enumerate(texts):
+        want = lib.encode(t, add_bos=True, add_eos=True)
+        assert ids[edges[k] : edges[k + 1]].tolist() == want and decoded[k].decode() == lib.decode(want)
+    monkeypatch.setattr(op7_tokens, "LONG", 2)  # short words too
+    fresh = op7_tokens.Model(MODEL)
+    for t in (t for t in awkward() if t):
+        assert fresh.encode([t])[0].tolist() == lib.encode(t, add_bos=True, add_eos=True)
+
+
 def test_any_ids_decode_as_in_the_library(both):
     mine, lib = both
     rng = random.Random(2)
