@@ -1,6 +1,9 @@
 """Every query with SQL gives the rows of its SQL (on the smallest tables)."""
 
 import inspect
+import os
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -39,6 +42,13 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_entry_works_without_the_corpus_operators():
+    code = "import sys\nsys.modules['public_tokenizers'] = sys.modules['corpus_pipeline'] = None\nimport __spark_entry__ as e\nassert set(e.queries()) and not any(q.startswith('op') or q == 'pipeline' for q in e.queries())"
+    for absent in ("corpus_pipeline", "public_tokenizers"):
+        one = code.replace("sys.modules['public_tokenizers'] = sys.modules['corpus_pipeline']", f"sys.modules['{absent}']")
+        subprocess.run([sys.executable, "-W", "ignore", "-c", one], check=True, cwd=os.path.dirname(entry.__file__))
+
+
 def test_sql_is_given_for_known_queries_only():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
