@@ -20,9 +20,15 @@ if all half keys of one collection differ, with a probability of about
    are then compared with all its blocks.
 4. Components of the confirmed links are the result.
 
+Keys that very many rows have (half keys, buckets, equal sets) are counted
+before they are joined, and the largest are joined without a shuffle
+(``common.joined``).
+
 Results: a text without words or null has no shingles and is linked with
 nothing; fewer words than a shingle are one shingle; rows that repeat an id
-are one node; a null id is its own component, kept.
+are one node, also where their texts differ; a null id belongs to no component
+(null) and is kept, whatever its text; very long texts are one set like any
+other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import dropped, saved
+from .common import dropped, joined, saved
 from .graph import components
 
 HALVES, ROWS, SEED = 16, 3, 7_919
@@ -105,9 +111,10 @@ def stars(nodes: DataFrame) -> DataFrame:
     left = half.join(twice, ["c", "h"], "left_semi").groupBy("node").agg(F.collect_list(F.when(F.col("c") < HALVES, F.col("h"))).alias("x"), F.collect_list(F.when(F.col("c") >= HALVES, F.col("h"))).alias("y"))
     keys = left.where("size(x) > 0 and size(y) > 0").select("node", F.explode("x").alias("x"), "y").select("node", F.explode(F.transform("y", lambda y: F.xxhash64("x", y))).alias("key"))
     keys = saved(keys)
-    least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    star = saved(keys.join(least, "key").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    least = saved(keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count(F.lit(1)).alias("times")).where("least < most"))
+    star = saved(joined(keys, least, ["key"], "times").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
     dropped(keys)
+    dropped(least)
     # A node has a star in each table it shares, mostly with the same few nodes:
     # it keeps the smallest, and that one takes over its ties to the others.
     best = star.select("b", "a", F.min("a").over(Window.partitionBy("b")).alias("m"))
@@ -241,18 +248,21 @@ def confirmed(docs: DataFrame, nodes: DataFrame, coarse: DataFrame, k: int, perc
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; links: 100 * intersection >= percent * union."""
     sig = saved(signatures(docs, k))
-    nodes = saved(sig.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "halves")).alias("x")).select(F.col("x.doc_id").alias("node"), "s1", "s2", "n", F.col("x.halves").alias("halves")))
+    some = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    nodes = saved(sig.where(some).groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "halves")).alias("x"), F.count(F.lit(1)).alias("times")).select(F.col("x.doc_id").alias("node"), "s1", "s2", "n", F.col("x.halves").alias("halves"), "times"))
     star = stars(nodes)
     coarse = components(star)
     links = confirmed(docs, nodes, coarse, k, percent)
     # An id with several texts ties their sets together.
-    several = sig.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("doc_id")
+    several = sig.where(some).groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("doc_id")
     tied = sig.join(several, "doc_id", "left_semi").join(nodes.select("s1", "s2", "n", "node"), ["s1", "s2", "n"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     group = components(links.unionByName(tied))
-    named = nodes.select("s1", "s2", "n", "node").join(group, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
-    return (
-        sig.drop("halves")
-        .join(named, ["s1", "s2", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.least("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    named = saved(nodes.select("s1", "s2", "n", "node", "times").join(group, "node", "left").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"), "times"))
+    rows = sig.select("doc_id", "n", "s1", "s2")
+    # Rows without a set or an id meet nothing: they stay out of the join, in which they would be one hot key.
+    out = joined(rows.where(some), named, ["s1", "s2", "n"], "times").select("doc_id", F.col("n").alias("n_shingles"), F.least("component", "doc_id").alias("component_id"))
+    out = out.unionByName(rows.where(~some).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = saved(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    for table in (sig, nodes, star, coarse, group, named):
+        dropped(table)
+    return out

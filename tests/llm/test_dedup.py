@@ -75,6 +75,7 @@ def test_repeated_ids_null_ids_and_empty_tables(spark):
     rows = [(5, a), (5, a), (None, a), (None, None), (7, b), (7, c), (9, c), (11, "")]
     df = frame(spark, [(i, t, None, None, None) for i, t in rows])
     got = collected(op3_minhash.near_duplicates(df, 3, 85))
+    assert [tuple(r) for r in got if r[0] is None] == [(None, 0, None, True), (None, 38, None, True)]
     assert [(r[0], r[2], r[3]) for r in got if r[0] is not None] == [(5, 5, True), (5, 5, True), (7, 7, True), (7, 7, True), (9, 7, False), (11, 11, True)]
     assert op3_minhash.near_duplicates(df.limit(0), 3, 85).count() == 0
 
@@ -87,6 +88,29 @@ def test_stage_keeps_one_of_each_group_and_all_columns(spark, data):
     assert kept == [i for i, _, _, k in components(awkward(), 5, 80) if k]
 
 
+def test_stage_keeps_unlike_texts_of_one_id(spark, data):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = a + " more"
+    rows = [(3, a), (7, b), (7, c), (7, near), (7, b), (9, c), (9, d), (None, a), (None, a), (4, None), (4, None), (5, "")]
+    out = stages.near_dedup(spark, frame(spark, [(i, t, None, None, k) for k, (i, t) in enumerate(rows)]), data)
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    of = lambda i: [t for j, t in got if j == i]
+    assert of(3) == [a] and of(None) == [a, a] and of(4) == [None] and of(5) == [""]
+    assert sorted(t for _, t in got if t in (b, c, d)) == sorted([b, c, d])
+    assert near not in of(7) and d in of(9)
+    again = stages.near_dedup(spark, frame(spark, [(i, t, None, None, k) for k, (i, t) in enumerate(rows)], parts=1), data)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
+def test_stages_take_empty_tables(spark, data):
+    df = docs(spark, awkward()).limit(0)
+    for stage in (stages.quality, stages.near_dedup, stages.substring_dedup, stages.decontamination):
+        out = stage(spark, df, data)
+        assert out.columns == df.columns and out.count() == 0
+    assert stages.tokens(spark, df, data).count() == 0
+
+
 # -- bytes --------------------------------------------------------------------
 
 
