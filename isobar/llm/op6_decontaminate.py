@@ -10,11 +10,16 @@ hashes.  Items of fewer words are one window of their own length; winnowing
 promises nothing below 10 words, so runs of those lengths are compared
 directly.
 
-The benchmark is broadcast where it has at most ``BROADCAST_ROWS``
-fingerprints or windows (counted first), and joined by shuffle otherwise;
-documents are never broadcast.
-
-Results: null and wordless texts have no words and no hits; an item's repeated
+Words are cut once for all documents, into fingerprints that are written with
+the number of words, and once more for the documents found.  The benchmark,
+and the ids of documents found, are broadcast where they have at most
+``BROADCAST_ROWS`` rows (counted first), and joined by shuffle otherwise; texts
+are never broadcast, and shuffled only where the ids are too many.  Places and
+items of a document's windows are gathered apart, so a window of many items
+that stands in many places costs the sum, not the product.
+
+Results: an empty benchmark hits nothing, an empty table gives no rows; very
+long texts are one row like any other; null and wordless texts have no words and no hits; an item's repeated
 rows count once; repeated documents are reported each; columns other than
 ``doc_id`` and ``text`` are ignored.
 """
@@ -24,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import dropped, saved
+
 #: Words of a window, of a hashed run, and runs of a winnowing window: RUN + SPAN - 1 = WINDOW.
 WINDOW, RUN, SPAN = 10, 5, 6
 BROADCAST_ROWS = 1_000_000
@@ -54,8 +61,12 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``(doc_id, rid, spans, items)``: windows of items in documents, as sorted (first word, words)."""
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["rid"] == b["rid"])
+
+
+def hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, rid, n_words)`` of all rows, and ``(doc_id, rid, spans, items)`` of those with windows of items: sorted (first word, words)."""
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
     item = _word_hashes(items.select("item_id", "text"), "item_id").where(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(WINDOW)))
     lengths = sorted(r["len"] for r in item.select("len").distinct().collect())
@@ -63,35 +74,41 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     for k in lengths:
         own = item.where(F.col("len") == k).select("item_id", F.lit(k).alias("len"), F.explode(F.array_distinct(runs(F.col("w"), k))).alias("h"))
         windows = own if windows is None else windows.unionByName(own)
-    if windows is None:
-        return rows.limit(0).selectExpr("doc_id", "rid", "cast(null as array<struct<p:int,len:int>>) as spans", "cast(null as array<string>) as items")
-    windows = _sized(windows.distinct())
-
-    # Documents that share a fingerprint, or a run of a short item's length.
+    # Words, and what of them can meet an item: fingerprints, and runs of short items' lengths.
     prints = F.array().cast("array<bigint>")
     hashed = _word_hashes(rows, "doc_id", "rid")
     if WINDOW in lengths:
         hashed = hashed.withColumn("r", runs(F.col("w"), RUN))
         prints = winnowed(F.col("r"))
-    shared = item.where(F.col("len") == WINDOW).select(F.explode(winnowed(runs(F.col("w"), RUN))).alias("h"))
     for k in lengths:
         if k < WINDOW:
             prints = F.concat(prints, runs(F.col("w"), k))
+    cut = saved(hashed.select("doc_id", "rid", F.size("w").cast("bigint").alias("n_words"), prints.alias("prints")))
+    every = cut.select("doc_id", "rid", "n_words")
+    if windows is None:
+        return every, rows.limit(0).selectExpr("doc_id", "rid", "cast(null as array<struct<p:int,len:int>>) as spans", "cast(null as array<string>) as items")
+    windows = saved(windows.distinct())
+    shared = item.where(F.col("len") == WINDOW).select(F.explode(winnowed(runs(F.col("w"), RUN))).alias("h"))
+    for k in lengths:
+        if k < WINDOW:
             shared = shared.unionByName(item.where(F.col("len") == k).select(F.explode(runs(F.col("w"), k)).alias("h")))
-    found = hashed.select("doc_id", "rid", F.explode(prints).alias("h")).join(_sized(shared.distinct()), "h", "left_semi").select("doc_id", "rid").distinct()
+    found = saved(cut.select("doc_id", "rid", F.explode("prints").alias("h")).join(_sized(shared.distinct()), "h", "left_semi").select("doc_id", "rid").distinct())
 
     # Extension over all windows of those documents.
-    again = rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["rid"] == found["rid"]), "left_semi")
+    again = rows.join(ids := _sized(found), _same(rows, ids), "left_semi")
     once = _word_hashes(again.dropDuplicates(["doc_id", "rid"]), "doc_id", "rid")
     spans = None
     for k in lengths:
         own = once.select("doc_id", "rid", F.lit(k).alias("len"), F.posexplode(runs(F.col("w"), k)).alias("p", "h"))
         spans = own if spans is None else spans.unionByName(own)
-    return (
-        spans.join(windows, ["len", "h"])
-        .groupBy("doc_id", "rid")
-        .agg(F.array_sort(F.collect_set(F.struct("p", "len"))).alias("spans"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    )
+    stands = saved(spans.join(_sized(windows.select("len", "h").distinct()), ["len", "h"], "left_semi"))
+    dropped(found)
+    places = stands.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("p", "len"))).alias("spans"))
+    named = stands.select("doc_id", "rid", "len", "h").distinct().join(_sized(windows), ["len", "h"])
+    named = named.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), "item_id").distinct().groupBy("d", "r").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    both = saved(places.join(named, places["doc_id"].eqNullSafe(named["d"]) & (places["rid"] == named["r"])).select("doc_id", "rid", "spans", "items"))
+    dropped(stands)
+    return every, both
 
 
 def covered(spans: Column) -> Column:
@@ -107,8 +124,8 @@ def covered(spans: Column) -> Column:
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document; see the contract of the query."""
-    found = hits(docs, items).select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), covered(F.col("spans")).alias("hit"), "items")
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    rows, found = hits(docs, items)
+    found = _sized(found.select(F.col("doc_id").alias("d"), F.col("rid").alias("r"), covered(F.col("spans")).alias("hit"), "items"))
     none = F.array().cast("array<string>")
     return rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["rid"] == found["r"]), "left").select(
         "doc_id",
@@ -122,7 +139,7 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit, all columns."""
-    found = hits(docs, items).select(F.col("doc_id").alias("d"), F.col("rid").alias("r"))
+    found = _sized(hits(docs, items)[1].select(F.col("doc_id").alias("d"), F.col("rid").alias("r")))
     return docs.join(found, docs["doc_id"].eqNullSafe(found["d"]) & (F.xxhash64(docs["doc_id"], docs["text"]) == found["r"]), "left_anti")
 
 
