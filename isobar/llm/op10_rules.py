@@ -11,9 +11,10 @@ documents here" is tested by the exact binomial tail
 documents above the cutoff, and the tightest cutoff before the first test that
 fails is taken (fixed-sequence testing, so the cutoffs themselves cost no
 correction; Bonferroni over rules and strata).  Where already the loosest
-cutoff fails, as with few labels, the rule rejects nothing in that stratum.
+cutoff fails, as with few labels, the rule rejects nothing in that stratum: with
+these parameters a stratum needs 237 good documents for a first cutoff.
 
-Results: null and empty texts have no words, statistics of 0 and fail the base
+Results: an empty table gives no rows; very long texts are one row like any other; null and empty texts have no words, statistics of 0 and fail the base
 rule; labels that are null or other than 1 are not good documents; a document
 with several good labels counts once; repeated rows are judged each; columns
 other than ``doc_id`` and ``text`` are ignored.
@@ -28,7 +29,7 @@ from .common import saved
 from .op6_decontaminate import runs
 
 #: Share of good documents a rule may reject in a stratum; probability that any rule does worse.
-RISK, DELTA = 0.01, 0.05
+RISK, DELTA = 0.02, 0.1
 #: First number of words of each stratum.
 BANDS = (0, 100, 1000)
 _SPACE = r"[\x20\x09-\x0D]+"
