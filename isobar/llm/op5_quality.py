@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import text as T
-from .common import columns, held_out, sample, saved
+from .common import columns, dropped, held_out, sample, saved
 
 #: Random features; width of the kernel (standard deviations); ridge penalty a row; labelled rows a label; seed.
 FEATURES, WIDTH, RIDGE, SAMPLE, SEED = 256, 3.0, 1e-4, 6000, 20_240_607
@@ -175,6 +175,7 @@ def fit(labelled: DataFrame, rate: dict[float, int], features: int = FEATURES) -
     rest = stats.where("fold = 0").select("y", "x").toPandas()
     if rest.empty:
         rest = stats.select("y", "x").toPandas()
+    dropped(stats)
     out = Scorer(phi, weights, None)
     # The sample may hold other shares of the labels than the corpus: rows count so that shares agree.
     have = {r["y"]: r["n"] for r in moments}
