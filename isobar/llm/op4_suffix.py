@@ -240,9 +240,9 @@ def repeated(chunks: DataFrame, hot_kinds: int = HOT) -> DataFrame:
     read = chunks.select("chunk", "ids", "lens", "text")
     sent = read.mapInArrow(send, "key long, piece long, chunk long, again boolean, more boolean")
     pieces = sent.groupBy("key", "piece").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"), F.max("again").alias("again"), F.max("more").alias("more"), F.count(F.lit(1)).alias("times"))
-    keys = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("lo").alias("a"), F.max("hi").alias("z"), F.max("again").alias("b")).where("a < z or b").select("key", "kinds")
-    # One job, so that both sides read the same shuffle; a join splits skewed keys at run time.
-    known = saved(pieces.join(keys, "key").select("key", "piece", F.col("lo").alias("chunk"), (F.col("more") | (F.col("lo") < F.col("hi"))).alias("twice"), (F.col("kinds") > hot_kinds).alias("hot"), "times"))
+    keys = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.sum("times").alias("mass"), F.min("lo").alias("a"), F.max("hi").alias("z"), F.max(F.col("again") | F.col("more")).alias("b")).where("a < z or b").select("key", "kinds", "mass")
+    # Both sides take the same columns, so that they read one shuffle; a join splits skewed keys at run time.
+    known = saved(pieces.join(keys, "key").select("key", "piece", F.col("lo").alias("chunk"), (F.col("more") | (F.col("lo") < F.col("hi"))).alias("twice"), (F.col("kinds") > hot_kinds).alias("hot"), "times", "again", "mass"))
     asked = known.groupBy("chunk").agg(F.collect_list(F.struct("key", "piece", "twice", "hot", "times")).alias("asked"))
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
