@@ -7,11 +7,14 @@ shift below ``PERIOD`` takes both to covered positions.  So only windows of
 ``ANCHOR = WINDOW - PERIOD + 1`` words at covered positions are hashed, and
 two equal runs of ``WINDOW`` words share an anchor at the same shift.
 
-1. Chunks send the hashes of their anchors, once each; those in more than one
-   place, counted by key before and after the shuffle, come back.
+1. Chunks send the hashes of their anchors, once each; those of more than one
+   chunk, counted by key before and after the shuffle, come back.
 2. Around them every run of ``WINDOW`` words that holds one is named by the
    hashes of its two halves (128 bits) and sent with the smallest document
    that has it in the chunk; a run that is not the first of all comes back.
+   Runs that hold eight words of an anchor of very many chunks (which depends
+   on the run alone) are counted before the shuffle and joined back; all
+   others meet by one shuffle.
 3. Words of such runs, and of later ones around anchors that stand twice in
    the same chunk, are removed.
 
@@ -29,10 +32,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import common
 from . import text as T
 from .chunks import CHUNK_BYTES, Chunk, chunked, covered, each, member, twice
 from .common import dropped, joined, saved
@@ -63,6 +67,14 @@ class _Cut:
         middle = at + WINDOW // 2
         return at, T.ranges(self.pre, at, middle), T.ranges(self.pre, middle, at + WINDOW)
 
+    def holds(self, at: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+        """Which runs hold the words of one of ``anchors``, at any place."""
+        if not len(anchors) or not len(at):
+            return np.zeros(len(at), dtype=bool)
+        places = np.arange(max(0, len(self.row) - ANCHOR + 1))
+        n = np.r_[0, np.cumsum(member(T.ranges(self.pre, places, places + ANCHOR), anchors))]
+        return n[at + WINDOW - ANCHOR + 1] > n[at]
+
     def near(self, anchors: np.ndarray) -> np.ndarray:
         """Starts whose run can hold one of the anchors in its first ``PERIOD`` places."""
         edge = np.zeros(len(self.row) + 1, dtype=np.int64)
@@ -88,13 +100,14 @@ def later_runs(chunks: DataFrame) -> DataFrame:
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in each(batches):
-            key, n = np.unique(_Cut(c).anchors()[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), c.id)), pa.array((n > 1).astype(np.int8))], ["key", "chunk", "more"])
-
-    sent = chunks.select("chunk", "ids", "lens", "text").mapInArrow(send_anchors, "key long, chunk long, more byte")
-    again = sent.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.max("more").alias("more")).where("times > 1 or more > 0").select("key", "times")
-    again = saved(again)
-    shared = saved(joined(sent.select("key", "chunk"), again, ["key"], "times").groupBy("chunk").agg(F.collect_list("key").alias("anchors")))
+            key = np.unique(_Cut(c).anchors()[1])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), c.id))], ["key", "chunk"])
+
+    sent = chunks.select("chunk", "ids", "lens", "text").mapInArrow(send_anchors, "key long, chunk long")
+    again = saved(sent.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    shared = saved(joined(sent, again, ["key"], "times").groupBy("chunk").agg(F.collect_list("key").alias("anchors")))
+    # At most all anchors over HOT_ROWS.
+    hot = np.sort(np.array([r["key"] for r in again.where(F.col("times") > common.HOT_ROWS).select("key").collect()], dtype=np.int64).view(np.uint64))
     dropped(again)
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,15 +115,17 @@ def later_runs(chunks: DataFrame) -> DataFrame:
             cut = _Cut(c)
             at, key = cut.anchors()
             at, one, two = cut.runs(cut.near(at[member(key, c.keys("anchors"))]))
-            own = _first(_named(one, two), c.order()[cut.row[at]], at)
+            own = np.sort(_first(_named(one, two), c.order()[cut.row[at]], at))
             docs = c.ids.take(pa.array(cut.row[at[own]]))
-            yield pa.RecordBatch.from_arrays([pa.array(one[own].view(np.int64)), pa.array(two[own].view(np.int64)), pa.array(np.full(len(own), c.id)), docs], ["one", "two", "chunk", "doc"])
-
-    sent = chunks.select("chunk", "ids", "lens", "text").join(shared, "chunk").mapInArrow(send_runs, "one long, two long, chunk long, doc long")
-    first = saved(sent.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "chunk"))["chunk"].alias("home")).where("times > 1"))
-    later = joined(sent.select("one", "two", "chunk"), first, ["one", "two"], "times").where("chunk <> home")
+            yield pa.RecordBatch.from_arrays([pa.array(one[own].view(np.int64)), pa.array(two[own].view(np.int64)), pa.array(np.full(len(own), c.id)), docs, pa.array(cut.holds(at[own], hot))], ["one", "two", "chunk", "doc", "hot"])
+
+    sent = chunks.select("chunk", "ids", "lens", "text").join(shared, "chunk").mapInArrow(send_runs, "one long, two long, chunk long, doc long, hot boolean")
+    first = F.min(F.struct("doc", "chunk"))
+    later = sent.where("not hot").withColumn("first", first.over(Window.partitionBy("one", "two"))).where("chunk <> first.chunk").select("chunk", "one", "two")
+    if len(hot):
+        homes = saved(sent.where("hot").groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), first["chunk"].alias("home")).where("times > 1"))
+        later = later.unionByName(joined(sent.where("hot"), homes, ["one", "two"], "times").where("chunk <> home").select("chunk", "one", "two"))
     out = saved(later.groupBy("chunk").agg(F.collect_list(F.struct("one", "two")).alias("later")))
-    dropped(first)
     dropped(shared)
     return out
 
