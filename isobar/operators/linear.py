@@ -2,7 +2,9 @@
 
 A matrix is a long table of state columns, sample columns and ``x``.  Products
 over samples are summed inside partitions and then by row, so only matrices of
-the smaller side's size (at most ``SIDE`` squared) reach the driver.
+the smaller side's size (at most ``SIDE`` squared) reach the driver.  States
+may be more than that where samples are not: they are numbered without a
+window, and the driver holds their labels and modes (``CELLS`` numbers at most).
 """
 
 from __future__ import annotations
@@ -12,11 +14,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Largest side of a matrix that is solved on the driver (0.5 GB of doubles at 8192).
 SIDE = 8192
+#: Largest number of entries of the modes of a fit (0.5 GB of doubles).
+CELLS = 1 << 26
+#: Rows of a table that are sent to every task.
+BROADCAST_ROWS = 1 << 20
 
 
 def stack_state(df: DataFrame, state: list[str], sample: list[str], value: str = "value") -> DataFrame:
@@ -40,17 +46,23 @@ def nan_mask(df: DataFrame, state: list[str], value: str = "value") -> DataFrame
     return df.join(complete_rows(df, state, value).where("complete").select(*state), state, "left_semi")
 
 
-def indexed(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[tuple]]:
-    """Distinct labels in order with their number; at most ``SIDE`` of them reach the driver."""
-    rows = df.select(*names).distinct().orderBy(*names).limit(SIDE + 1).collect()
-    if len(rows) > SIDE:
-        raise ValueError(f"more than {SIDE} distinct {names}")
+def indexed(df: DataFrame, names: list[str], most: int | None = None) -> tuple[DataFrame, list[tuple]]:
+    """Distinct labels in order with their number; at most ``most`` (``SIDE``) of them reach the driver."""
+    most = SIDE if most is None else most
+    rows = df.select(*names).distinct().orderBy(*names).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} distinct {names}")
     labels = [tuple(r) for r in rows]
     spark = df.sparkSession
     schema = ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
     return spark.createDataFrame([(*r, k) for k, r in enumerate(labels)], f"{schema}, _i int"), labels
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """``table`` to be broadcast where it is small (counted first)."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _products(vectors: DataFrame, n: int) -> np.ndarray:
     """Sum of ``v v'`` over rows ``(i array<int>, x array<double>)``."""
 
@@ -74,7 +86,7 @@ def _products(vectors: DataFrame, n: int) -> np.ndarray:
 
 
 def _vectors(df: DataFrame, by: list[str], index: DataFrame, names: list[str], x: str) -> DataFrame:
-    return df.where(F.col(x).isNotNull()).join(F.broadcast(index), names).groupBy(*by).agg(F.collect_list(F.struct("_i", F.col(x).alias("x"))).alias("_v")).select(*by, F.col("_v._i").alias("i"), F.col("_v.x").alias("x"))
+    return df.where(F.col(x).isNotNull()).join(sized(index), names).groupBy(*by).agg(F.collect_list(F.struct("_i", F.col(x).alias("x"))).alias("_v")).select(*by, F.col("_v._i").alias("i"), F.col("_v.x").alias("x"))
 
 
 @dataclass
@@ -120,12 +132,17 @@ def _signed(u: np.ndarray) -> np.ndarray:
 
 
 def eof_fit(df: DataFrame, state: list[str], sample: list[str], rank: int | None = None, x: str = "x", with_dof: bool = False) -> EofFit:
-    """Leading singular vectors of the matrix as it is (not centred), from the Gram matrix of its smaller side."""
-    st, states = indexed(df, state)
-    n_samples = df.select(*sample).distinct().count()
-    top = min(len(states), n_samples)
+    """Leading singular vectors of the matrix as it is (not centred), from the Gram matrix of its smaller side.
+
+    The smaller side may have ``SIDE`` elements; the modes ``CELLS`` entries.
+    """
+    n_states, n_samples = (df.select(*c).distinct().count() for c in (state, sample))
+    top = min(n_states, n_samples)
     rank = top if rank is None else min(rank, top)
-    if len(states) <= n_samples or n_samples > SIDE:
+    if top > SIDE or n_states * max(rank, 1) > CELLS:
+        raise ValueError(f"{n_states} states and {n_samples} samples for {rank} modes: the smaller side may have {SIDE}, the modes {CELLS} entries")
+    st, states = indexed(df, state, n_states)
+    if n_states <= n_samples:
         g = _products(_vectors(df, sample, st, state, x), len(states))
         value, vec = np.linalg.eigh(g)
         order = np.argsort(value)[::-1][:rank]
@@ -142,7 +159,7 @@ def eof_fit(df: DataFrame, state: list[str], sample: list[str], rank: int | None
                 rows = [np.asarray(xx) @ v[i] for i, xx in zip(b["i"], b["x"], strict=True)]
                 yield pd.DataFrame({"k": b["_i"], "u": [r / np.where(s > 0, s, 1) for r in rows]})
 
-        rows = _vectors(df, state, sa, sample, x).join(F.broadcast(st), state).select("_i", "i", "x").mapInPandas(project, "k int, u array<double>").toPandas()
+        rows = _vectors(df, state, sa, sample, x).join(sized(st), state).select("_i", "i", "x").mapInPandas(project, "k int, u array<double>").toPandas()
         u = np.zeros((len(states), rank))
         u[rows["k"]] = np.vstack(rows["u"]) if len(rows) else u
     var = df.groupBy(*state).agg(F.var_samp(x).alias("v")).agg(F.sum("v")).first()[0]
@@ -183,22 +200,35 @@ def rotate(fit: EofFit, scale: bool = True, normalize: bool = True) -> EofFit:
 
 
 def basis(spark, fit: EofFit) -> DataFrame:
-    """State columns and their row of the modes; at most ``SIDE`` rows."""
+    """State columns and their row of the modes."""
     kinds = ["double" if isinstance(v, float) else "string" if isinstance(v, str) else "bigint" for v in fit.states[0]]
     schema = ", ".join(f"`{n}` {k}" for n, k in zip(fit.names, kinds, strict=True))
     return spark.createDataFrame([(*st, [float(v) for v in fit.u[i]]) for i, st in enumerate(fit.states)], f"{schema}, u array<double>")
 
 
 def project(rows: DataFrame, modes: DataFrame, state: list[str], sample: list[str], x: str = "x") -> DataFrame:
-    """``sample, mode, score``: ``U' x``; ``modes`` are (state, u array), a bounded table."""
-    each = rows.where(F.col(x).isNotNull()).join(F.broadcast(modes), state).select(*sample, F.col(x).alias("_x"), F.posexplode("u").alias("mode", "_u"))
+    """``sample, mode, score``: ``U' x``; ``modes`` are (state, u array), with a column ``first`` the number of the first mode in ``u``."""
+    each = rows.where(F.col(x).isNotNull()).join(sized(modes), state).select(*sample, F.col(x).alias("_x"), *([F.col("first").alias("_f")] if "first" in modes.columns else []), F.posexplode("u").alias("mode", "_u"))
+    if "first" in modes.columns:
+        each = each.withColumn("mode", F.col("mode") + F.col("_f"))
     return each.groupBy(*sample, "mode").agg(F.sum(F.col("_x") * F.col("_u")).alias("score"))
 
 
+def product(u: Column, scores: Column) -> Column:
+    """Sum of ``u[m] * scores[m]``; ``scores`` maps modes to numbers, missing ones count as 0."""
+    parts = F.transform(u, lambda x, m: F.coalesce(x * F.try_element_at(scores, m), F.lit(0.0)))
+    return F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
+
+
+def by_mode(scores: DataFrame, sample: list[str], mode: str = "mode", score: str = "score") -> DataFrame:
+    """``sample, _s``: a row for each sample with its scores as a map."""
+    return scores.groupBy(*sample).agg(F.map_from_entries(F.collect_list(F.struct(F.col(mode), F.col(score)))).alias("_s"))
+
+
 def reconstruct(scores: DataFrame, modes: DataFrame, state: list[str], sample: list[str]) -> DataFrame:
-    """``state, sample, x``: ``U score``."""
-    each = modes.select(*state, F.posexplode("u").alias("mode", "_u"))
-    return scores.join(F.broadcast(each), "mode").groupBy(*state, *sample).agg(F.sum(F.col("score") * F.col("_u")).alias("x"))
+    """``state, sample, x``: ``U score``; a row of scores for each sample meets each state once."""
+    # Every state at every sample is the result itself: nothing is multiplied beyond it.
+    return by_mode(scores, sample).crossJoin(sized(modes.select(*state, "u"))).select(*state, *sample, product(F.col("u"), F.col("_s")).alias("x"))
 
 
 def eof_project(rows: DataFrame, fit: EofFit, sample: list[str], x: str = "x") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import area_weight
-from .linear import EofFit, eof_fit, nan_mask, project, reconstruct
+from .linear import EofFit, by_mode, eof_fit, nan_mask, product, project, reconstruct, sized
 from .reduce import area_weighted_mean, field_std
 
 #: Fields whose global mean stays in their modes.
@@ -94,16 +94,13 @@ class Mapper:
 
     # -- tables ---------------------------------------------------------
     def _modes(self, spark: SparkSession) -> DataFrame:
-        """(field, lat, lon, u): modes over the root of the retained variance, at their place in the stacked vector."""
-        n, starts, rows = self._sizes(self.fields), self._starts(), []
+        """(field, lat, lon, first, u): a field's modes over the root of the retained variance, and their place in the stacked vector."""
+        starts, rows = self._starts(), []
         for f in self.fields:
             e = self.eofs[f]
             at = starts[f] + self._has_mean(f)
-            for (lat, lon), u in zip(e.states, e.u / np.sqrt(e.retained), strict=True):
-                v = np.zeros(n)
-                v[at : at + len(u)] = u
-                rows.append((f, float(lat), float(lon), v.tolist()))
-        return spark.createDataFrame(rows, "field string, lat double, lon double, u array<double>")
+            rows += [(f, float(lat), float(lon), at, u) for (lat, lon), u in zip(e.states, (e.u / np.sqrt(e.retained)).tolist(), strict=True)]
+        return spark.createDataFrame(rows, "field string, lat double, lon double, first int, u array<double>")
 
     def _individual(self, df: DataFrame, time: list[str]) -> DataFrame:
         """``time, part, score`` of the first step."""
@@ -162,9 +159,8 @@ class Mapper:
         if places is not None:
             m = m.join(F.broadcast(places.select("field", "lat", "lon").distinct()), ["field", "lat", "lon"], "left_semi")  # rows of the matrix bound it
         if self.by_season:
-            each = m.select("field", "lat", "lon", "season", F.posexplode("u").alias("state", "_u"))
-            joined = reduced.join(F.broadcast(each), ["season", "state"])
-            return joined.groupBy("field", "lat", "lon", *time).agg(F.sum(F.col("x") * F.col("_u")).alias("value"))
+            each = by_mode(reduced, time, "state", "x").join(sized(m), "season")
+            return each.select("field", "lat", "lon", *time, product(F.col("u"), F.col("_s")).alias("value"))
         scores = reduced.select(*time, F.col("state").alias("mode"), F.col("x").alias("score"))
         return reconstruct(scores, m.drop("season"), ["field", "lat", "lon"], time).withColumnRenamed("x", "value")
 

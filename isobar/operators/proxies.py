@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis as ta
 from ..functions.scalar import haversine_km
-from .resample import annualize
 
 #: Least common samples, least correlation, largest autocorrelation of the residuals.
 MIN_OVERLAP, MIN_CORR, MAX_ACOR = 25, 0.05, 0.9
@@ -175,18 +174,34 @@ def calibrate_seasonal(sites: DataFrame, obs: DataFrame, cells: DataFrame, neare
     return best(passing(models, **gates), ["pid", "season"], ["candidate"])
 
 
-def calibrate_annual(sites: DataFrame, obs: DataFrame, cells: DataFrame, nearest: DataFrame, seasonalities=SEASONALITIES, **gates) -> DataFrame:
+def seasonality_means(cells: DataFrame, seasonalities=None, by: tuple[str, ...] = ("field", "lat", "lon")) -> DataFrame:
+    """``seasonality, <by>, year, value``: what ``annualize`` gives for each list of seasons, from one aggregation.
+
+    A season may belong to several lists, so rows are multiplied by the small
+    table of memberships; the first and last year of a list go where not all of
+    its seasons are there.
+    """
+    rows = []
+    for k, q in enumerate(SEASONALITIES if seasonalities is None else seasonalities):
+        before, _ = ta.split_seasonality(list(q))
+        rows += [(k, int(s), int(s in before), len(q)) for s in q]
+    member = cells.sparkSession.createDataFrame(rows, "seasonality int, season int, _shift int, _size int")
+    # A few rows for each list of seasons.
+    each = cells.join(F.broadcast(member), "season").withColumn("_y", (F.col("year") + F.col("_shift")).cast("int"))
+    years = each.select("seasonality", "_size", "_y", "season").distinct().groupBy("seasonality", "_size", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    ends = years.groupBy("seasonality").agg(F.min("_y").alias("_lo"), F.max("_y").alias("_hi"))
+    drop = years.join(ends, "seasonality").where((F.col("_n") < F.col("_size")) & ((F.col("_y") == F.col("_lo")) | (F.col("_y") == F.col("_hi")))).select("seasonality", "_y")
+    # At most two rows for each list of seasons.
+    return each.join(F.broadcast(drop), ["seasonality", "_y"], "left_anti").groupBy("seasonality", *by, F.col("_y").alias("year")).agg(F.avg("value").alias("value"))
+
+
+def calibrate_annual(sites: DataFrame, obs: DataFrame, cells: DataFrame, nearest: DataFrame, seasonalities=None, **gates) -> DataFrame:
     """A model for each annual record: candidate fields and seasonalities, gates, smallest BIC.
 
     All seasonalities are computed as one table, so the records are joined once.
     """
     at = candidate_fields(sites).join(nearest, ["pid", "field"])
-    cand = at.select("field", "lat", "lon").distinct()
-    used = cells.join(cand, ["field", "lat", "lon"], "left_semi")
-    means = None
-    for k, s in enumerate(seasonalities):
-        m = annualize(used, list(s)).withColumn("seasonality", F.lit(k))
-        means = m if means is None else means.unionByName(m)
+    means = seasonality_means(cells, seasonalities)
     pairs = at.join(means.withColumnRenamed("value", "x"), ["field", "lat", "lon"]).join(obs, ["pid", "year"])
     models = calibrate(pairs, ["pid", "field", "candidate", "seasonality", "lat", "lon"], ["year"])
     return best(passing(models, **gates), ["pid"], ["candidate", "seasonality"])

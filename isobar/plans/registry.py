@@ -439,7 +439,13 @@ def detrend_by_season(s, d):
     return regress.detrend(_st(s, d), "t", [*CELL, "season"]).drop("t")
 
 
-@query()
+# Normal equations of a parabola in u by Cramer's rule.
+@query(
+    "SELECT field, lat, lon, year, season, r{CASE WHEN n > 2 THEN value - (c0 + c1 * u + c2 * u * u) / det ELSE value END} AS value FROM pu LEFT JOIN cf USING (field, lat, lon)",
+    pu="SELECT field, lat, lon, year, season, value, year + (season * 3 + 0.5e0) / 12 - 1998 AS u FROM seas",
+    mo="SELECT field, lat, lon, count(value) AS n, sum(u) AS s1, sum(u ** 2) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(value) AS v0, sum(u * value) AS v1, sum(u * u * value) AS v2 FROM pu WHERE value IS NOT NULL GROUP BY 1, 2, 3",
+    cf="SELECT field, lat, lon, n, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det, v0 * (s2 * s4 - s3 * s3) - s1 * (v1 * s4 - s3 * v2) + s2 * (v1 * s3 - s2 * v2) AS c0, n * (v1 * s4 - s3 * v2) - v0 * (s1 * s4 - s3 * s2) + s2 * (s1 * v2 - v1 * s2) AS c1, n * (s2 * v2 - v1 * s3) - s1 * (s1 * v2 - v1 * s2) + v0 * (s1 * s3 - s2 * s2) AS c2 FROM mo",
+)
 def detrend_quadratic(s, d):
     return regress.detrend(_st(s, d), "t", CELL, degree=2).drop("t")
 
@@ -662,3 +668,4 @@ def pdo(s, d):
 
 from . import registry_models  # noqa: E402, F401
 from . import registry_extra  # noqa: E402, F401
+from . import registry_checked  # noqa: E402, F401

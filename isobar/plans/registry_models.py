@@ -128,16 +128,7 @@ def _means_sql() -> str:
     cal=_calibrated("pid, field, candidate, seasonality", "year", "pairs"),
 )
 def psm_calibrate_annual(s, d):
-    nearest = _nearest(s, d)
-    own = v.site_cells(s, d)
-    at = proxies.candidate_fields(v.sites(s, d)).join(nearest, ["pid", "field"])
-    means = None
-    for k, q in enumerate(proxies.SEASONALITIES):
-        m = resample.annualize(own, list(q)).withColumn("seasonality", F.lit(k))
-        means = m if means is None else means.unionByName(m)
-    pairs = at.join(means.withColumnRenamed("value", "x"), ["field", "lat", "lon"]).join(proxies.annual(v.samples(s, d)), ["pid", "year"])
-    models = proxies.calibrate(pairs, ["pid", "field", "candidate", "seasonality"], ["year"])
-    return proxies.best(proxies.passing(models), ["pid"], ["candidate", "seasonality"]).drop("candidate")
+    return proxies.calibrate_annual(v.sites(s, d), proxies.annual(v.samples(s, d)), v.site_cells(s, d), _nearest(s, d)).drop("candidate", "lat", "lon")
 
 
 @query(f"SELECT pid, season, field, r{{bic}} AS bic FROM (SELECT *, row_number() OVER (PARTITION BY pid, season ORDER BY round(bic, 9), candidate) AS k FROM cal) WHERE k = 1", pairs=_CANDS, cal=_calibrated("pid, season, field, candidate", "year", "pairs"))
@@ -160,7 +151,17 @@ def verification_proxies(s, d):
     return proxies.verification(models, p.select("pid", "year", "season", "x"), v.site_obs(s, d), ["pid"], ["year", "season"])
 
 
-@query()
+def _shuffled(n: int) -> str:
+    """Ranks of the records that a seeded shuffle of ``n`` puts first, as SQL rows."""
+    order = np.arange(n)
+    np.random.RandomState(544_502).shuffle(order)
+    return ", ".join(f"({n}, {k})" for k in sorted(order[: int(n * 0.8)].tolist()))
+
+
+# The shuffle depends on the number of records alone; these are the tables' numbers.
+@query(
+    "SELECT pid, k IS NOT NULL AS assimilated FROM (SELECT pid, count(*) OVER () AS n, row_number() OVER (ORDER BY pid) - 1 AS place FROM sites) s LEFT JOIN (VALUES " + ", ".join(map(_shuffled, (15, 150, 1500))) + ") c(m, k) ON m = n AND k = place"
+)
 def split_proxies(s, d):
     return proxies.split_sites(v.sites(s, d), 0.8).select("pid", "assimilated")
 
@@ -326,7 +327,26 @@ def forecast_verification(s, d):
     return lim.verify(_lim(s, d), v.state_matrix(s, d), "state_idx", "sample_idx", 4)
 
 
-@query()
+def _averaged(at: str, weights: dict[int, float], obs: float, error: float, before: str) -> dict[str, str]:
+    """SQL of one observation of the mean over the steps ``at``: views of the mean, the estimate and the updated members."""
+    seen = " + ".join(f"{w}e0 * sum(CASE state WHEN {i} THEN m END)" for i, w in weights.items())
+    r = error**2
+    return {
+        f"{before}_m": f"SELECT state, ens, avg(x) AS m FROM {before} WHERE step IN ({at}) GROUP BY 1, 2",
+        f"{before}_y": f"SELECT ens, {seen} AS y FROM {before}_m GROUP BY 1",
+        f"{before}_s": f"SELECT avg(y) AS ym, var_samp(y) + {r!r}::DOUBLE AS iv FROM {before}_y",
+        f"{before}_k": f"SELECT state, covar_samp(m, y) AS k FROM {before}_m JOIN {before}_y USING (ens) GROUP BY 1",
+        f"{before}_d": f"SELECT state, ens, k / iv * ({obs}e0 - ym - (y - ym) / (1 + sqrt({r!r}::DOUBLE / iv))) AS move FROM {before}_k CROSS JOIN {before}_y CROSS JOIN {before}_s",
+        f"{before}_new": f"SELECT state, ens, step, x + CASE WHEN step IN ({at}) THEN move ELSE 0 END AS x FROM {before} JOIN {before}_d USING (state, ens)",
+    }
+
+
+@query(
+    "SELECT state, ens, step, r{x} AS x FROM tx_new_new",
+    tx="SELECT state_idx AS state, sample_idx // 4 AS ens, (sample_idx % 4)::INT AS step, x FROM sm WHERE sample_idx // 4 IN (SELECT sample_idx // 4 FROM sm GROUP BY 1 HAVING count(DISTINCT sample_idx) = 4)",
+    **_averaged("0, 1, 2, 3", {0: 1.0}, 0.5, 0.3, "tx"),
+    **_averaged("3", {1: 1.0, 2: 1.0}, -0.2, 0.4, "tx_new"),
+)
 def enkf_time_average(s, d):
     """Four samples in a row are the time steps of a member; a last member without all of them has no estimates and stays out."""
     m = v.state_matrix(s, d).groupBy(F.col("state_idx").alias("state"), F.floor(F.col("sample_idx") / 4).alias("ens"))

@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from isobar.operators import harmonics
+from isobar.operators import harmonics, linear
 from isobar.operators.lim import Lim
 from isobar.operators.mapper import Mapper
 from isobar.plans import assimilate
@@ -77,3 +78,25 @@ def test_streamed_means_equal_batch(spark, data, tmp_path):
     got = {(r["event_type"], r["year"], r["season"]): (round(r["value"], 6), r["n"]) for r in seasonal.means(spark.table("sums"), ["event_type"]).collect()}
     want = {(r["event_type"], 2024, 0): (round(r["v"], 6), r["n"]) for r in events.groupBy("event_type").agg(F.avg("value").alias("v"), F.count("value").alias("n")).collect()}
     assert got == want
+
+
+def test_states_may_be_many_where_samples_are_few(spark):
+    """A grid of two degrees and 40 samples: modes, scores and the way back, against NumPy."""
+    rng = np.random.default_rng(2)
+    lat, lon, t = np.meshgrid(np.arange(-89.0, 90, 2), np.arange(0.0, 360, 2), np.arange(40), indexing="ij")
+    x = (rng.normal(size=(90 * 180, 3)) @ rng.normal(size=(3, 40))).reshape(lat.shape) + 0.01 * rng.normal(size=lat.shape)
+    x -= x.mean(2, keepdims=True)
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    try:
+        df = spark.createDataFrame(pd.DataFrame({"lat": lat.ravel(), "lon": lon.ravel(), "year": t.ravel(), "value": x.ravel()})).repartition(8).persist()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.pyspark.enabled")
+    fit = linear.eof_fit(df, ["lat", "lon"], ["year"], 3, "value")
+    u, s, _ = np.linalg.svd(x.reshape(-1, 40), full_matrices=False)
+    assert fit.u.shape == (16_200, 3) and np.allclose(fit.s, s[:3]) and np.allclose(np.abs((fit.u * u[:, :3]).sum(0)), 1)
+    cells = df.withColumn("field", F.lit("tas")).withColumn("season", F.lit(0))
+    m = Mapper(k=3, l=3, by_season=True).fit(cells, ["year", "season"])
+    back = m.backward(m.forward(cells, ["year", "season"]), ["year", "season"]).join(cells.withColumnRenamed("value", "truth"), ["field", "lat", "lon", "year", "season"])
+    r = back.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("value") - F.col("truth"))).alias("e")).first()
+    assert r["n"] == 16_200 * 40 and r["e"] < 0.2
+    df.unpersist()
