@@ -10,13 +10,14 @@ two equal runs of ``WINDOW`` words share an anchor at the same shift.
 1. Chunks send the hashes of their anchors, once each; those of more than one
    chunk, counted by key before and after the shuffle, come back.
 2. Around them every run of ``WINDOW`` words that holds one is named by the
-   hashes of its two halves (128 bits) and sent with the smallest document
-   that has it in the chunk; a run that is not the first of all comes back.
+   hashes of its two halves (128 bits) and sent once a chunk, with the first
+   document and place that it has there; of a run that is not the first of all
+   that place comes back.
    Runs that hold eight words of an anchor of very many chunks (which depends
    on the run alone) are counted before the shuffle and joined back; all
    others meet by one shuffle.
-3. Words of such runs, and of later ones around anchors that stand twice in
-   the same chunk, are removed.
+3. Words of the runs at such places, and of later ones around anchors that
+   stand twice in the same chunk, are removed.
 
 Results: null and empty texts have no words; of rows that repeat an id the one
 in the earlier chunk or row counts as earlier; a null id counts as smaller than
@@ -96,7 +97,7 @@ def _first(keys: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def later_runs(chunks: DataFrame) -> DataFrame:
-    """``chunk, later``: hashes of runs in the chunk whose first occurrence is in another."""
+    """``chunk, later``: first places in the chunk (numbers of words) of runs whose first occurrence is in another."""
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in each(batches):
@@ -117,15 +118,15 @@ def later_runs(chunks: DataFrame) -> DataFrame:
             at, one, two = cut.runs(cut.near(at[member(key, c.keys("anchors"))]))
             own = np.sort(_first(_named(one, two), c.order()[cut.row[at]], at))
             docs = c.ids.take(pa.array(cut.row[at[own]]))
-            yield pa.RecordBatch.from_arrays([pa.array(one[own].view(np.int64)), pa.array(two[own].view(np.int64)), pa.array(np.full(len(own), c.id)), docs, pa.array(cut.holds(at[own], hot))], ["one", "two", "chunk", "doc", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(one[own].view(np.int64)), pa.array(two[own].view(np.int64)), pa.array(np.full(len(own), c.id)), docs, pa.array(at[own].astype(np.int32)), pa.array(cut.holds(at[own], hot))], ["one", "two", "chunk", "doc", "place", "hot"])
 
-    sent = chunks.select("chunk", "ids", "lens", "text").join(shared, "chunk").mapInArrow(send_runs, "one long, two long, chunk long, doc long, hot boolean")
+    sent = chunks.select("chunk", "ids", "lens", "text").join(shared, "chunk").mapInArrow(send_runs, "one long, two long, chunk long, doc long, place int, hot boolean")
     first = F.min(F.struct("doc", "chunk"))
-    later = sent.where("not hot").withColumn("first", first.over(Window.partitionBy("one", "two"))).where("chunk <> first.chunk").select("chunk", "one", "two")
+    later = sent.where("not hot").withColumn("first", first.over(Window.partitionBy("one", "two"))).where("chunk <> first.chunk").select("chunk", "place")
     if len(hot):
         homes = saved(sent.where("hot").groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), first["chunk"].alias("home")).where("times > 1"))
-        later = later.unionByName(joined(sent.where("hot"), homes, ["one", "two"], "times").where("chunk <> home").select("chunk", "one", "two"))
-    out = saved(later.groupBy("chunk").agg(F.collect_list(F.struct("one", "two")).alias("later")))
+        later = later.unionByName(joined(sent.where("hot"), homes, ["one", "two"], "times").where("chunk <> home").select("chunk", "place"))
+    out = saved(later.groupBy("chunk").agg(F.collect_list("place").alias("later")))
     dropped(shared)
     return out
 
@@ -143,11 +144,9 @@ def _removed(c: Chunk) -> tuple[_Cut, np.ndarray]:
     go[some] = True
     go[some[_first(run[some], c.order()[cut.row[at[some]]], at[some])]] = False
     gone |= covered(at[go], WINDOW, len(cut.row))
-    later = c.structs("later")
-    if later is not None:
-        at, one, two = cut.runs()
-        names = np.sort(_named(*(later.field(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in ("one", "two"))))
-        gone |= covered(at[member(_named(one, two), names)], WINDOW, len(cut.row))
+    # Repeats of other chunks: later copies of the same run are among those above.
+    if (later := c.structs("later")) is not None:
+        gone |= covered(later.to_numpy(zero_copy_only=False), WINDOW, len(cut.row))
     return cut, gone
 
 
