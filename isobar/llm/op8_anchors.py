@@ -120,14 +120,18 @@ def later_runs(chunks: DataFrame) -> DataFrame:
             docs = c.ids.take(pa.array(cut.row[at[own]]))
             yield pa.RecordBatch.from_arrays([pa.array(one[own].view(np.int64)), pa.array(two[own].view(np.int64)), pa.array(np.full(len(own), c.id)), docs, pa.array(at[own].astype(np.int32)), pa.array(cut.holds(at[own], hot))], ["one", "two", "chunk", "doc", "place", "hot"])
 
-    sent = chunks.select("chunk", "ids", "lens", "text").join(shared, "chunk").mapInArrow(send_runs, "one long, two long, chunk long, doc long, place int, hot boolean")
+    # Written, so that the shuffle of texts is gone before the runs are shuffled.
+    sent = saved(chunks.select("chunk", "ids", "lens", "text").join(shared, "chunk").mapInArrow(send_runs, "one long, two long, chunk long, doc long, place int, hot boolean"))
+    dropped(shared)
     first = F.min(F.struct("doc", "chunk"))
     later = sent.where("not hot").withColumn("first", first.over(Window.partitionBy("one", "two"))).where("chunk <> first.chunk").select("chunk", "place")
+    homes = None
     if len(hot):
         homes = saved(sent.where("hot").groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), first["chunk"].alias("home")).where("times > 1"))
         later = later.unionByName(joined(sent.where("hot"), homes, ["one", "two"], "times").where("chunk <> home").select("chunk", "place"))
     out = saved(later.groupBy("chunk").agg(F.collect_list("place").alias("later")))
-    dropped(shared)
+    for table in (sent, homes):
+        dropped(table)
     return out
 
 
