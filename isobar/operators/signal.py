@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -94,17 +95,32 @@ def butterworth(order: int, cutoff: float | tuple[float, float], fs: float, kind
     return sections
 
 
+#: Samples that a filter section takes as one block.
+BLOCK = 64
+
+
 def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: list[float]) -> np.ndarray:
-    out = np.empty_like(x)
-    z1, z2 = z
-    b0, b1, b2 = map(float, b)
-    a1, a2 = float(a[1]), float(a[2])
-    for k, v in enumerate(x.tolist()):
-        y = b0 * v + z1
-        z1 = b1 * v - a1 * y + z2
-        z2 = b2 * v - a2 * y
-        out[k] = y
-    return out
+    """One section over ``x`` from the state ``z``: whole blocks by matrix products, the state from block to block."""
+    short = max(1, min(BLOCK, len(x)))
+    step = np.array([[-a[1], 1.0], [-a[2], 0.0]])
+    push = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+    # Rows of ``see``: what the state at the block's start gives to each output; ``kick``: what each input gives to the next state.
+    see, kick = np.empty((short, 2)), np.empty((short, 2))
+    row, col = np.array([1.0, 0.0]), push
+    for k in range(short):
+        see[k], kick[short - 1 - k] = row, col
+        row, col = row @ step, step @ col
+    impulse = np.concatenate([[b[0]], see[:-1] @ push])
+    lag = np.subtract.outer(np.arange(short), np.arange(short))
+    own = np.where(lag >= 0, impulse[lag], 0.0)
+    blocks = np.pad(x.astype(float), (0, -len(x) % short)).reshape(-1, short)
+    gain, over = blocks @ kick, np.linalg.matrix_power(step, short)
+    states = np.empty((len(blocks), 2))
+    now = np.array(z, dtype=float)
+    for k in range(len(blocks)):
+        states[k] = now
+        now = over @ now + gain[k]
+    return (blocks @ own.T + states @ see.T).ravel()[: len(x)]
 
 
 def _pass(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
@@ -130,32 +146,111 @@ def zero_phase(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) ->
     return y[pad:-pad]
 
 
+def _largest_of_tridiagonal(diag: np.ndarray, off: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` largest eigenvalues, the largest first, by multisection on counts of negative pivots."""
+    reach = np.abs(np.concatenate([[0.0], off])) + np.abs(np.concatenate([off, [0.0]]))
+    lo, hi = np.full(count, (diag - reach).min()), np.full(count, (diag + reach).max())
+    below = len(diag) - np.arange(count)  # eigenvalues up to the wanted one
+    square = off**2
+    share = np.arange(1, 64) / 64
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for _ in range(10):
+            x = lo[:, None] + (hi - lo)[:, None] * share
+            pivot = diag[0] - x
+            negative = (pivot < 0).astype(np.int64)
+            for d, q in zip(diag[1:].tolist(), square.tolist(), strict=True):
+                pivot = d - x - q / pivot
+                negative += pivot < 0
+            at = (negative < below[:, None]).sum(axis=1)
+            edge = np.concatenate([lo[:, None], x, hi[:, None]], axis=1)
+            lo, hi = edge[np.arange(count), at], edge[np.arange(count), at + 1]
+    return (lo + hi) / 2
+
+
+def _vector_of_tridiagonal(diag: np.ndarray, off: np.ndarray, value: float) -> np.ndarray:
+    """Unit eigenvector: pivots from both ends meet where their sum is least."""
+    n = len(diag)
+    least = np.finfo(float).eps ** 2 * max(np.abs(diag).max(), np.abs(off).max(), 1e-300)
+    shifted = (diag - value).tolist()
+    square = (off**2).tolist()
+    down, up = [0.0] * n, [0.0] * n
+    down[0], up[-1] = shifted[0], shifted[-1]
+    for k in range(1, n):
+        down[k] = shifted[k] - square[k - 1] / (down[k - 1] if abs(down[k - 1]) > least else least)
+        up[n - 1 - k] = shifted[n - 1 - k] - square[n - 1 - k] / (up[n - k] if abs(up[n - k]) > least else least)
+    front, back = np.array(down), np.array(up)
+    front[np.abs(front) <= least], back[np.abs(back) <= least] = least, least
+    meet = int(np.abs(front + back - np.array(shifted)).argmin())
+    left = np.cumprod((-off[:meet] / front[:meet])[::-1])[::-1]
+    right = np.cumprod(-off[meet:] / back[meet + 1 :])
+    vec = np.concatenate([left, [1.0], right])
+    return vec / np.linalg.norm(vec)
+
+
+@lru_cache(maxsize=16)
 def slepian_tapers(n: int, nw: float, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Discrete prolate spheroidal sequences and their concentration, from the commuting tridiagonal matrix."""
+    """Discrete prolate spheroidal sequences and their concentration, from the commuting tridiagonal matrix.
+
+    Kept for each length, as all series of a field have the same one; memory is ``n`` times ``count``.
+    """
     k = np.arange(n)
     w = nw / n
+    count = min(count, n)
     diag = ((n - 1 - 2 * k) / 2.0) ** 2 * math.cos(2 * math.pi * w)
     off = k[1:] * (n - k[1:]) / 2.0
-    value, vec = np.linalg.eigh(np.diag(diag) + np.diag(off, 1) + np.diag(off, -1))
-    tapers = vec[:, np.argsort(value)[::-1][:count]].T
+    tapers = np.stack([_vector_of_tridiagonal(diag, off, v) for v in _largest_of_tridiagonal(diag, off, count)])
     for i, t in enumerate(tapers):
         if (i % 2 == 0 and t.sum() < 0) or (i % 2 == 1 and t[np.argmax(np.abs(t) > 1e-7)] < 0):
             tapers[i] = -t
     lag = np.arange(n)
     kernel = np.where(lag == 0, 2 * w, np.sin(2 * math.pi * w * lag) / np.where(lag == 0, 1, math.pi * lag))
-    concentration = np.array([(np.correlate(t, t, "full")[n - 1 :] * kernel * np.where(lag == 0, 1, 2)).sum() for t in tapers])
+    spread = np.fft.irfft(np.abs(np.fft.rfft(tapers, 2 * n, axis=1)) ** 2, 2 * n, axis=1)[:, :n]
+    concentration = (spread * kernel * np.where(lag == 0, 1, 2)).sum(axis=1)
+    tapers.flags.writeable = concentration.flags.writeable = False
     return tapers, concentration
 
 
-def multitaper(x: np.ndarray, dt: float, nw: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """One-sided power spectral density from 2 nw - 1 tapers, weighted by concentration."""
+def multitaper(x: np.ndarray, dt: float, nw: float = 4.0, adaptive: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """One-sided power spectral density from 2 nw - 1 tapers.
+
+    ``adaptive``: the eigenspectra of a frequency are weighed by how much of them is signal and not leakage (Thomson's
+    fixed point, at most 150 rounds); else by concentration.
+    """
     tapers, weight = slepian_tapers(len(x), nw, max(1, int(2 * nw - 1)))
-    spec = np.abs(np.fft.rfft(tapers * (x - x.mean()), axis=1)) ** 2 * dt
-    psd = (weight[:, None] * spec).sum(0) / weight.sum()
+    centred = x - x.mean()
+    spec = np.abs(np.fft.rfft(tapers * centred, axis=1)) ** 2 * dt
+    share = weight[:, None]
+    psd = (share * spec).sum(0) / weight.sum()
+    if adaptive and len(weight) > 1:
+        leak = np.maximum(1 - share, 0.0) * np.mean(centred**2) * dt
+        level = spec[:2].mean(axis=0)
+        for _ in range(150):
+            d = np.sqrt(share) * level / np.maximum(share * level + leak, np.finfo(float).tiny)
+            new = (d**2 * spec).sum(0) / np.maximum((d**2).sum(0), np.finfo(float).tiny)
+            done = np.abs(new - level).max() <= 1e-10 * max(level.max(), np.finfo(float).tiny)
+            level = new
+            if done:
+                break
+        psd = level
+    psd = psd.copy()
     psd[1 : len(psd) - (len(x) % 2 == 0)] *= 2
     return np.fft.rfftfreq(len(x), dt), psd
 
 
+def lanczos(x: np.ndarray, cutoff: float) -> np.ndarray:
+    """Low-pass by a sinc damped by Lanczos factors; ``cutoff`` in cycles a sample, two periods to each side.
+
+    Beyond its ends the series goes on mirrored in its end points.
+    """
+    half = min(len(x) - 1, math.ceil(2 / cutoff))
+    if half < 1:
+        return x.astype(float)
+    k = np.arange(-half, half + 1)
+    weight = 2 * cutoff * np.sinc(2 * cutoff * k) * np.sinc(k / (half + 1))
+    ext = np.concatenate([2 * x[0] - x[half:0:-1], x, 2 * x[-1] - x[-2 : -half - 2 : -1]]).astype(float)
+    return np.convolve(ext, weight / weight.sum(), "valid")
+
+
 def f_quantile_2(p: float, d2: float) -> float:
     """Quantile of the F distribution with 2 and ``d2`` degrees of freedom."""
     return d2 / 2 * ((1 - p) ** (-2 / d2) - 1)
@@ -193,11 +288,18 @@ def _per_series(df: DataFrame, by: list[str], t: str, value: str, fn: Callable[[
     return base.groupBy(*by).applyInPandas(run, base.schema)
 
 
-def lowpass_filter(df: DataFrame, by: list[str], t: str, years: float | None, order: int = 3, value: str = "value") -> DataFrame:
-    """Zero-phase Butterworth low-pass at a period of ``years``; none: values as they are. Missing times are passed over."""
+def lowpass_filter(df: DataFrame, by: list[str], t: str, years: float | None, order: int = 3, value: str = "value", method: str = "butterworth") -> DataFrame:
+    """Zero-phase low-pass at a period of ``years`` by ``butterworth`` or ``lanczos``; none: values as they are. Missing times are passed over."""
+    if method not in ("butterworth", "lanczos"):
+        raise ValueError(f"no low-pass filter is named {method}")
     if not years:
         return df.select(*by, t, value)
-    return _per_series(df, by, t, value, lambda x, v: zero_phase(butterworth(order, 1 / years, 1 / float(np.median(np.diff(x))), "low"), v))
+
+    def run(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        step = float(np.median(np.diff(x)))
+        return lanczos(v, step / years) if method == "lanczos" else zero_phase(butterworth(order, 1 / years, 1 / step, "low"), v)
+
+    return _per_series(df, by, t, value, run)
 
 
 def highpass_filter(df: DataFrame, by: list[str], t: str, years: float, order: int = 3, value: str = "value") -> DataFrame:
@@ -209,7 +311,7 @@ def bandpass_filter(df: DataFrame, by: list[str], t: str, lower: float, upper: f
     return _per_series(df, by, t, value, lambda x, v: zero_phase(butterworth(order, (1 / upper, 1 / lower), 1 / float(np.median(np.diff(x))), "band"), v))
 
 
-def spectrum_multitaper(df: DataFrame, by: list[str], t: str, nw: float = 4.0, significance: float | None = None, value: str = "value") -> DataFrame:
+def spectrum_multitaper(df: DataFrame, by: list[str], t: str, nw: float = 4.0, significance: float | None = None, value: str = "value", adaptive: bool = True) -> DataFrame:
     """``frequency, power[, threshold]`` of each series; times are spaced evenly, gaps interpolated."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
@@ -220,7 +322,7 @@ def spectrum_multitaper(df: DataFrame, by: list[str], t: str, nw: float = 4.0, s
         if len(v) > 8:
             dt = float(np.median(np.diff(x)))
             even = np.linspace(x[0], x[-1], round((x[-1] - x[0]) / dt) + 1)
-            f, p = multitaper(np.interp(even, x, v), dt, nw)
+            f, p = multitaper(np.interp(even, x, v), dt, nw, adaptive)
             out = {"frequency": f, "power": p, "threshold": red_noise_threshold(f, p, dt, nw, significance) if significance else np.full(len(f), np.nan)}
         frame = pd.DataFrame(out)
         for k, c in enumerate(by):

@@ -190,6 +190,53 @@ def test_multitaper_finds_the_peak_and_keeps_the_variance():
     assert np.allclose(tapers @ tapers.T, np.eye(7), atol=1e-8) and lam[0] > 0.999 and (np.diff(lam) < 0).all()
 
 
+@pytest.mark.parametrize("n", [16, 127, 400])
+def test_tapers_are_the_eigenvectors(n):
+    k = np.arange(n)
+    off = k[1:] * (n - k[1:]) / 2.0
+    value, vec = np.linalg.eigh(np.diag(((n - 1 - 2 * k) / 2.0) ** 2 * math.cos(8 * math.pi / n)) + np.diag(off, 1) + np.diag(off, -1))
+    tapers, _ = signal.slepian_tapers(n, 4.0, 7)
+    assert np.allclose(np.abs(tapers), np.abs(vec[:, ::-1][:, :7].T), atol=1e-9)
+
+
+def test_tapers_of_a_long_series():
+    tapers, lam = signal.slepian_tapers(13_944, 4.0, 7)
+    assert np.allclose(tapers @ tapers.T, np.eye(7), atol=1e-7) and (np.diff(lam) < 1e-9).all()
+    assert signal.slepian_tapers(13_944, 4.0, 7)[0] is tapers
+
+
+def test_adaptive_weights_keep_leakage_out():
+    t = np.arange(512)
+    x = 1e3 * np.sin(2 * np.pi * 0.1 * t) + np.random.default_rng(0).normal(size=512)
+    f, even = signal.multitaper(x, 1.0, adaptive=False)
+    far = (f > 0.3) & (f < 0.5)
+    truth = 2.0
+    assert abs(np.median(signal.multitaper(x, 1.0)[1][far]) - truth) < abs(np.median(even[far]) - truth)
+    assert np.allclose(signal.multitaper(np.full(64, 2.0), 1.0)[1], 0)
+
+
+@pytest.mark.parametrize("n", [1, 5, 64, 65, 300])
+def test_filter_blocks_equal_the_recurrence(n):
+    x = np.random.default_rng(n).normal(size=n)
+    for b, a in signal.butterworth(3, (0.05, 0.2), 1.0, "band"):
+        z1, z2, out = 0.3, -0.2, []
+        for v in x:
+            y = b[0] * v + z1
+            z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
+            out.append(y)
+        assert np.allclose(signal._run(b, a, x, [0.3, -0.2]), out, atol=1e-12)
+
+
+def test_lanczos_filter(spark):
+    t = np.arange(400)
+    slow = np.sin(2 * np.pi * t / 80)
+    assert np.abs(signal.lanczos(slow + np.sin(2 * np.pi * t / 4), 1 / 20) - slow)[60:-60].max() < 1e-3
+    df = spark.createDataFrame([(1, float(k), 3.0) for k in range(50)], "k int, t double, value double")
+    assert {round(r["value"], 9) for r in signal.lowpass_filter(df, ["k"], "t", 10.0, method="lanczos").collect()} == {3.0}
+    with pytest.raises(ValueError, match="named"):
+        signal.lowpass_filter(df, ["k"], "t", 10.0, method="other")
+
+
 def test_f_quantile():
     x = signal.f_quantile_2(0.95, 14)
     assert 1 - (1 + 2 * x / 14) ** -7 == pytest.approx(0.95)
