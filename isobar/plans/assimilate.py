@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -121,7 +122,8 @@ def reconstruct(due: DataFrame, iterations: int, initial: np.ndarray, lim: Lim,
     """``iteration, year, season, state, ens, prior, posterior`` of all iterations.
 
     Each iteration assimilates a seeded share of the records.  Model and
-    initial ensemble (a few MB) go out as broadcast variables.
+    initial ensemble (a few MB) go out as broadcast variables.  A step's rows
+    leave the task when it is final, so a task holds a window and no history.
     """
     spark = due.sparkSession
     shared = spark.sparkContext.broadcast((initial, lim.to_json(), space))
@@ -133,17 +135,16 @@ def reconstruct(due: DataFrame, iterations: int, initial: np.ndarray, lim: Lim,
     # An iteration without records still runs.
     rows = runs.join(rows, "iteration", "left")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x0, text, physical = shared.value
+        pdf = pd.concat(batches)
         by_step: dict[int, list] = {}
         for r in pdf.dropna(subset=["step"]).sort_values(["step", "pid"]).to_dict("records"):
             by_step.setdefault(int(r["step"]), []).append(r)
         rng = np.random.default_rng([seed, key[0]])
         n, m = x0.shape
-        out = []
         for step, before, after in run_cycle(x0, by_step, Lim.from_json(text), steps, mode, rng, inflation, sub, physical):
-            out.append(pd.DataFrame({"iteration": key[0], "year": year_start + step // 4, "season": step % 4, "state": np.repeat(np.arange(n), m), "ens": np.tile(np.arange(m), n), "prior": before.ravel(), "posterior": after.ravel()}))
-        return pd.concat(out)
+            yield pd.DataFrame({"iteration": key[0], "year": year_start + step // 4, "season": step % 4, "state": np.repeat(np.arange(n), m), "ens": np.tile(np.arange(m), n), "prior": before.ravel(), "posterior": after.ravel()})
 
     return rows.groupBy("iteration").applyInPandas(run, "iteration int, year int, season int, state int, ens int, prior double, posterior double")
 
