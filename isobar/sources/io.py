@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as ta
-from ..functions.scalar import si_unit, to_si
-from ..operators import resample, vertical
+from ..functions.scalar import DAYS_PER_YEAR, SECONDS_PER_DAY, si_unit, to_si
+from ..operators import regress, resample, vertical
+
+SECONDS_A_YEAR = DAYS_PER_YEAR * SECONDS_PER_DAY
 
 # Field -> (variable, table) of the common catalogue.
 VARIABLES: dict[str, tuple[str, str]] = {
@@ -281,68 +283,203 @@ def load_fixed_text(spark: SparkSession, path: str, names: list[str], skip: int
 
 @dataclass(frozen=True)
 class DatasetSpec:
-    """How a product becomes a field table: names, scale, derived columns, averaging, anomalies."""
+    """How a product becomes a field table.
+
+    ``path`` lies below a root; braces in it are filled from ``versions`` or by the caller.  A CSV holds one row a step.
+    ``members`` are (label, path) of parts that are put together along ``member``.  Fields are the columns named; without
+    names all columns but the coordinates.  ``rates``: time derivative of a field, a second.  Fields in ``anomalies`` (all,
+    if none are named) become anomalies of ``anomaly_period``, which holds its first year and not its last.
+    """
 
     path: str
     renames: dict[str, str] = field(default_factory=dict)
     scale: dict[str, float] = field(default_factory=dict)
     derived: dict[str, str] = field(default_factory=dict)
-    fields: tuple[str, ...] = ("tas",)
+    fields: tuple[str, ...] = ()
     year_offset: int = 0
     wrap_lon: bool = False
     seasonal: bool = False
     anomaly_period: tuple[int, int] | None = None
+    anomalies: tuple[str, ...] = ()
     stack: tuple[str, ...] = ()
     keep_years: tuple[int, int] | None = None
-
-
-#: Products by name; paths are below a root given to ``load_dataset``.
+    drop: tuple[str, ...] = ()
+    rates: dict[str, str] = field(default_factory=dict)
+    sea_ice: tuple[str, ...] = ()
+    melt: tuple[str, str] | None = None
+    member: str | None = None
+    members: tuple[tuple[str, str], ...] = ()
+    versions: dict[str, str] = field(default_factory=dict)
+    separator: str = ","
+
+
+# Names and units of the products, and the years that they are related to.
+_BASE = (1961, 1991)
+_OUTGOING = "-(rsut + rlut)"
+_LMR = "production_ccsm4_pagesv2_wCoral_gis_seaslinobj_online_20m20sOHC_past1000"
+_LMR_FIELDS = ("tas", "tos", "rsut", "rlut", "ohc700", "eei", "ddtohc700")
+_LMR_NAMES = {"tas_sfc": "tas", "tos_sfc": "tos", "rlut_toa": "rlut", "rsut_toa": "rsut", "ohc_0-700m": "ohc700"}
+_ERBE = DatasetSpec("", {"TOA_SW_FLUX": "rsut", "TOA_LW_FLUX": "rlut", "TOA_INCOMING_SOLAR": "rsdt", "TOA_NET_FLUX": "eei"}, fields=("rsut", "rlut", "rsdt", "eei"), anomaly_period=(1985, 1999))
+_CERES = ("eei", "rsut", "rlut", "rsdt", "clt")
+_ICE = ("siarean", "siareas", "siextentn", "siextents")
+
+#: Products by name. Two more are tables of events: ``load_evolv2k`` and ``load_combined_eruptions``.
 DATASETS: dict[str, DatasetSpec] = {
-    **{n: DatasetSpec(f"{n}.parquet", fields=("tas",), anomaly_period=(1961, 1991)) for n in ("anna", "era5", "gistemp", "modera", "moderac", "brennan22", "dalaiden2023", "haden4")},
-    **{n: DatasetSpec(f"{n}.parquet", fields=("tos",), anomaly_period=(1961, 1991)) for n in ("ersst", "cobesst", "hadisst", "cmip6_amip_bcs")},
-    **{n: DatasetSpec(f"{n}.parquet", fields=("ohc700",)) for n in ("wu2025", "gebbie2019", "cheng2017", "iapv4")},
-    **{n: DatasetSpec(f"{n}.parquet", fields=("siconc",), scale={"siconc": 0.01}) for n in ("cooper25", "cdr_sic", "walsh19")},
-    **{n: DatasetSpec(f"{n}.parquet", fields=("eei",), derived={"eei": "rsdt - rsut - rlut"}) for n in ("erbe_wfov", "erbe_wfov_global_mean", "deepc", "ceres", "ceresgm")},
-    **{n: DatasetSpec(f"{n}.parquet", fields=("value",)) for n in ("siindex", "smith2025_eei", "ps2004", "satire_solar", "meng25", "evolv2k", "ar6_erf", "andrews2022_feedbacks")},
-    "lmronline": DatasetSpec("lmronline.parquet", fields=("tas", "eei"), derived={"eei": "-(rsut + rlut)"}),
-    "lmronline_global_mean": DatasetSpec("lmronline_global_mean.parquet", stack=("mc", "ens")),
-    "hadcrut": DatasetSpec("hadcrut.parquet", wrap_lon=True, seasonal=True, anomaly_period=(1961, 1991)),
-    "zanna": DatasetSpec("zanna.parquet", fields=("ohc",), scale={"ohc": 1e21}, year_offset=1870),
-    "pages19": DatasetSpec("pages19.parquet", stack=("method", "ens")),
+    "lmronline": DatasetSpec("lmronline/{version}/spatial_ens_mean", _LMR_NAMES, derived={"eei": _OUTGOING}, fields=_LMR_FIELDS, rates={"ohc700": "ddtohc700"}, anomaly_period=_BASE, versions={"version": _LMR}),
+    "lmronline_global_mean": DatasetSpec("lmronline/{version}/indices", _LMR_NAMES, derived={"eei": _OUTGOING}, fields=_LMR_FIELDS, rates={"ohc700": "ddtohc700"}, anomaly_period=_BASE, stack=("mc_iteration", "ensemble_member"), versions={"version": _LMR}),
+    "anna": DatasetSpec("anna.parquet", derived={"eei": _OUTGOING}, fields=("rlut", "rsut", "eei"), anomaly_period=_BASE),
+    "era5": DatasetSpec("era5.parquet", fields=("tas",), anomaly_period=_BASE),
+    "gistemp": DatasetSpec("gistemp.parquet", fields=("tas",), anomaly_period=_BASE),
+    "ersst": DatasetSpec("ersst.parquet", fields=("tos",), anomaly_period=_BASE),
+    "cobesst": DatasetSpec("cobesst.parquet", fields=("tos",), anomaly_period=_BASE),
+    "hadisst": DatasetSpec("hadisst.parquet", fields=("tos",), anomaly_period=_BASE),
+    "hadcrut": DatasetSpec("hadcrut.parquet", {"tas_mean": "tas"}, fields=("tas",), wrap_lon=True, seasonal=True, anomaly_period=_BASE, drop=("realization",)),
+    "zanna": DatasetSpec("zanna.parquet", {"time (starting 1870)": "year", "OHC_300m": "ohc300", "OHC_700m": "ohc700", "OHC_2000m": "ohc2000", "OHC_full_depth": "ohc"}, {f: 1e21 for f in ("ohc300", "ohc700", "ohc2000", "ohc")}, fields=("ohc300", "ohc700", "ohc2000", "ohc"), year_offset=1870, anomaly_period=(1961, 1990)),
+    "wu2025": DatasetSpec("wu2025.parquet", fields=("ohc300", "ohc2000", "ddtohc2000", "eei", "eei_stde"), anomaly_period=(1961, 1990), anomalies=("ohc300", "ohc2000")),
+    "gebbie2019": DatasetSpec("gebbie2019.parquet", fields=("tos", "ohc300", "ohc700", "ohc")),
+    "cheng2017": DatasetSpec("cheng2017.parquet", fields=("ohc300", "ohc2000"), anomaly_period=_BASE),
+    "iapv4": DatasetSpec("iapv4.parquet", fields=("ohc300", "ohc2000", "ohc6000"), anomaly_period=_BASE),
+    "smith2025_eei": DatasetSpec("earth_energy_imbalance.csv", {"time": "year", "ocean_0-700m": "ohc700", "ocean_full-depth": "ohc", "total": "ehc"}, {f: 1e21 for f in ("ohc700", "ohc2000", "ohc", "ehc")}, {"ohc2000": "ohc700 + `ocean_700-2000m`"}, ("ohc700", "ohc2000", "ohc", "ehc")),
+    "modera": DatasetSpec("modera.parquet", {"temp2": "tas"}, fields=("tas",), seasonal=True, anomaly_period=_BASE),
+    "moderac": DatasetSpec("moderac.parquet", {"temp2": "tas"}, fields=("tas",), seasonal=True, anomaly_period=_BASE),
+    "pages19": DatasetSpec("pages19.parquet", fields=("tas",), keep_years=(850, 2000), drop=("LMRv2.1",), melt=("method", "tas"), stack=("ens", "method"), anomaly_period=_BASE),
+    "brennan22": DatasetSpec("brennan22_{prior}.parquet", {"sic_lalo_ensemble_mean": "siconc", "si_extent_anomalies": "siextentn", "si_area_anomalies": "siarean"}, {"siconc": 0.01, "siarean": 1e6, "siextentn": 1e6}, fields=("siconc", "siextentn", "siarean"), anomaly_period=_BASE, anomalies=("siarean", "siextentn"), stack=("nens", "nit"), versions={"prior": "CCSM4"}),
+    "cooper25": DatasetSpec("cooper25.parquet", fields=("tas", "tos", "siconc"), anomaly_period=_BASE, anomalies=("tas", "tos"), sea_ice=_ICE),
+    "siindex": DatasetSpec("siindex/{hemisphere}/{month:02}.csv", fields=("siextentn", "siarean", "siextents", "siareas"), seasonal=True, anomaly_period=(1979, 2001)),
+    "cdr_sic": DatasetSpec("cdr_sic.parquet", fields=("siconc",), sea_ice=_ICE),
+    "walsh19": DatasetSpec("walsh19.parquet", fields=("siconc",), sea_ice=("siarean", "siextentn")),
+    "erbe_wfov": replace(_ERBE, path="erbe_wfov.parquet"),
+    "erbe_wfov_global_mean": replace(_ERBE, path="erbe_wfov_global_mean.parquet"),
+    "deepc": DatasetSpec("deepc.parquet", fields=("eei", "rsut", "rlut"), seasonal=True, anomaly_period=(1985, 1999)),
+    "ceres": DatasetSpec("ceres.parquet", {"toa_sw_all_mon": "rsut", "toa_lw_all_mon": "rlut", "toa_net_all_mon": "eei", "solar_mon": "rsdt", "cldarea_total_daynight_mon": "clt"}, fields=_CERES),
+    "ceresgm": DatasetSpec("ceresgm.parquet", {"gtoa_sw_all_mon": "rsut", "gtoa_lw_all_mon": "rlut", "gtoa_net_all_mon": "eei", "gsolar_mon": "rsdt", "gcldarea_total_daynight_mon": "clt"}, fields=_CERES),
+    "haden4": DatasetSpec("haden4.parquet", fields=("ohc300", "ohc700"), anomaly_period=_BASE),
+    "ps2004": DatasetSpec("ps2004.parquet", fields=("tas",), anomaly_period=_BASE),
+    "satire_solar": DatasetSpec("satire_solar.parquet", fields=("tsi",)),
+    "meng25": DatasetSpec("meng25_{prior}.parquet", {"Nino34": "nino34", "SIE": "siextentn"}, {"siextentn": 1e-6}, keep_years=(850, 9999), drop=("Nino1+2", "Nino3", "Nino4", "IOD", "IOBW", "GMOHC", "GMT", "NH-Temp", "SH-Temp"), anomaly_period=_BASE, versions={"prior": "CCSM4"}),
+    "ar6_erf": DatasetSpec("", member="stat", members=(("mean", "AR6_ERF_1750-2019.csv"), ("p05", "AR6_ERF_1750-2019_pc05.csv"), ("p95", "AR6_ERF_1750-2019_pc95.csv"))),
+    "andrews2022_feedbacks": DatasetSpec("", {"dt": "tas", "dn": "eei"}, fields=("tas", "eei"), member="model", members=tuple((m, f"amip-piForcing_{m}.parquet") for m in ("CESM2", "CanESM5", "CNRM-CM6-1", "HadGEM3-GC31-LL", "IPSL-CM6A-LR", "MIROC6", "MRI-ESM2-0"))),
+    "cmip6_amip_bcs": DatasetSpec("amip_seasonal.parquet", fields=("tos", "siconc"), anomaly_period=_BASE),
+    "dalaiden2023": DatasetSpec("dalaiden2023.parquet", {"SIC": "siconc"}, {"siconc": 0.01}, fields=("siconc",), sea_ice=_ICE),
 }
 
+COORDS = ("ens", "stat", "model", "year", "season", "month", "lat", "lon", "lev")
+
+
+def _table(spark: SparkSession, path: str, spec: DatasetSpec) -> DataFrame:
+    if not path.endswith(".csv"):
+        return spark.read.parquet(path)
+    df = spark.read.option("header", "true").option("sep", spec.separator).csv(path)
+    return df.select(*[F.col(f"`{c}`").try_cast("double").alias(c.strip()) for c in df.columns])
+
+
+def _monthly_index(spark: SparkSession, root: str, spec: DatasetSpec) -> DataFrame:
+    """``field, year, month, value``: extent and area of both hemispheres from files by calendar month."""
+    out = None
+    for hemisphere in ("north", "south"):
+        paths = [f"{root}/{spec.path.format(hemisphere=hemisphere, month=m)}" for m in range(1, 13)]
+        for column in ("extent", "area"):
+            part = load_monthly_csv(spark, paths, column).select(F.lit(f"si{column}{hemisphere[0]}").alias("field"), "year", "month", "value")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _ice_totals(long: DataFrame, names: tuple[str, ...], over: list[str]) -> DataFrame:
+    """Rows of sea-ice area and extent (km2) of the field ``siconc``; the grid's steps are those of its coordinates."""
+    ice = long.where("field = 'siconc'")
+    steps = []
+    for axis in ("lat", "lon"):
+        # Distinct coordinates are as many as the grid has rows or columns.
+        first, second = ([*(r[0] for r in ice.select(axis).distinct().orderBy(axis).limit(2).collect()), None, None])[:2]
+        if second is None:
+            raise ValueError(f"sea-ice totals need a grid of more than one {axis}")
+        steps.append(second - first)
+    total = vertical.sea_ice(ice, over, *steps).withColumnsRenamed({f"{a}_{h}": f"si{a}{h}" for a in ("area", "extent") for h in "ns"})
+    return total.unpivot(over, list(names), "field", "value")
+
+
+def load_dataset(spark: SparkSession, root: str, name: str, spec: DatasetSpec | None = None, anomalies: bool = True, **versions: str) -> DataFrame:
+    """Long table of a product: ``field``, its coordinates and ``value``.
 
-def load_dataset(spark: SparkSession, root: str, name: str, spec: DatasetSpec | None = None) -> DataFrame:
-    """Long table of a product: ``field``, its coordinates and ``value``."""
+    ``anomalies`` false leaves absolute values; ``versions`` fill the names in a path (``prior="MPI"``).  Totals (sea ice) have
+    null coordinates where the fields have a place.  NaN is null.
+    """
     spec = spec or DATASETS[name]
-    df = standard_names(spark.read.parquet(f"{root}/{spec.path}").withColumnsRenamed(spec.renames))
-    for c, e in spec.derived.items():
-        if c not in df.columns:
-            df = df.withColumn(c, F.expr(e))
-    for c, k in spec.scale.items():
-        df = df.withColumn(c, F.col(c) * k)
-    if spec.year_offset:
-        df = df.withColumn("year", F.col("year") + spec.year_offset)
-    if spec.wrap_lon:
-        df = df.withColumn("lon", F.pmod("lon", F.lit(360.0)))
-    if spec.stack:
-        a, b = spec.stack
-        width = df.agg(F.max(b)).first()[0] + 1 if df.schema[b].dataType.simpleString() != "string" else None
-        df = df.withColumn("ens", F.col(a) * width + F.col(b) if width and df.schema[a].dataType.simpleString() != "string" else F.xxhash64(a, b)).drop(a)
-    if spec.keep_years:
-        df = df.where(F.col("year").between(*spec.keep_years))
-    coords = [c for c in ("ens", "year", "season", "month", "lat", "lon", "lev") if c in df.columns]
-    long = df.select(*coords, *[F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias(f) for f in spec.fields]).unpivot(coords, list(spec.fields), "field", "value")
+    if name == "siindex":
+        long, coords = _monthly_index(spark, root, spec), ["year", "month"]
+    else:
+        path = spec.path.format(**{**spec.versions, **versions})
+        parts = [_table(spark, f"{root}/{p}", spec).withColumn(spec.member, F.lit(label)) for label, p in spec.members] or [_table(spark, f"{root}/{path}", spec)]
+        df = parts[0]
+        for part in parts[1:]:
+            df = df.unionByName(part, allowMissingColumns=True)
+        df = standard_names(df.withColumnsRenamed(spec.renames)).drop(*[c for c in spec.drop if c in df.columns])
+        for c, e in spec.derived.items():
+            if c not in df.columns:
+                df = df.withColumn(c, F.expr(e))
+        for c, k in spec.scale.items():
+            if c in df.columns:
+                df = df.withColumn(c, F.col(c) * k)
+        if "year" in df.columns and df.schema["year"].dataType.simpleString() in ("double", "float"):
+            df = df.withColumn("year", F.floor("year").cast("int"))
+        if spec.year_offset:
+            df = df.withColumn("year", F.col("year") + spec.year_offset)
+        if spec.wrap_lon:
+            df = df.withColumn("lon", F.pmod("lon", F.lit(360.0)))
+        if spec.melt:
+            label, value = spec.melt
+            keep = [c for c in df.columns if c in COORDS]
+            df = df.unpivot(keep, [f"`{c}`" for c in df.columns if c not in keep], label, value)
+        if spec.stack:
+            a, b = spec.stack
+            if any(df.schema[c].dataType.simpleString() == "string" for c in spec.stack):
+                member = F.xxhash64(a, b)
+            else:
+                # A single number, the largest of the inner coordinate, comes back.
+                member = F.col(a) * (df.agg(F.max(b)).first()[0] or 0) + F.col(a) + F.col(b)
+            df = df.withColumn("_ens", member).drop(a, b).withColumnRenamed("_ens", "ens")
+        if spec.keep_years:
+            df = df.where(F.col("year").between(*spec.keep_years))
+        coords = [c for c in COORDS if c in df.columns]
+        fields = list(spec.fields) or [c for c in df.columns if c not in coords]
+        fields = [c for c in fields if c not in spec.rates.values()]
+        long = df.select(*coords, *[F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")).alias(f) for f in fields]).unpivot(coords, [f"`{f}`" for f in fields], "field", "value")
     by = ["field", *[c for c in coords if c not in ("year", "month", "season")]]
-    if spec.seasonal and "month" in coords:
-        long = resample.average_seasonally(long, by)
-    if spec.anomaly_period:
-        step = next((c for c in ("season", "month") if c in long.columns), None)
-        t = ta.season_to_decimal(F.col("year"), F.col("season")) if step == "season" else F.col("year")
-        long = resample.anomalize(long, step, by, period=spec.anomaly_period, t=t)
+    step = next((c for c in ("season", "month") if c in coords), None)
+    if spec.seasonal and step == "month":
+        long, step = resample.average_seasonally(long, by), "season"
+    t = {"season": ta.season_to_decimal(F.col("year"), F.col("season")), "month": F.col("year") + (F.col("month") - 0.5) / 12}.get(step, F.col("year"))
+    for c, rate in spec.rates.items():
+        here = regress.time_derivative(long.where(F.col("field") == c).withColumn("_t", t.cast("double")), "_t", by)
+        long = long.unionByName(here.select(*[F.lit(rate).alias("field") if x == "field" else (F.col("derivative") / SECONDS_A_YEAR).alias("value") if x == "value" else F.col(x) for x in long.columns]))
+    if spec.sea_ice:
+        over = [c for c in long.columns if c not in ("field", "value", "lat", "lon")]
+        long = long.unionByName(_ice_totals(long, spec.sea_ice, over), allowMissingColumns=True)
+    if spec.anomaly_period and anomalies:
+        chosen = F.col("field").isin(*spec.anomalies) if spec.anomalies else F.lit(True)
+        change = resample.anomalize(long.where(chosen), step, by, period=spec.anomaly_period, t=t)
+        long = change.unionByName(long.where(~chosen)) if spec.anomalies else change
     return long
 
 
+def load_evolv2k(spark: SparkSession, path: str, skip: int = 48) -> DataFrame:
+    """Eruptions of year 1 and later: ``year, month, day, lat, vssi, sigma_vssi, asy, loc`` of a tab-separated text with ``skip`` lines and one of names before its rows."""
+    names = ["year", "yearCE", "month", "day", "lat", "so4Greenland", "so4Antarctic", "vssi", "sigma_vssi", "asy", "loc", "tephra", "ref"]
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("k", "line"))
+    cells = F.split("line", "\t")
+    kinds = {"year": "int", "month": "int", "day": "int", "loc": "string"}
+    keep = [n for n in names if n not in ("yearCE", "so4Greenland", "so4Antarctic", "tephra", "ref")]
+    rows = lines.where((F.col("k") > skip) & (F.trim("line") != ""))
+    return rows.select(*[F.trim(F.try_element_at(cells, F.lit(names.index(n) + 1))).try_cast(kinds.get(n, "double")).alias(n) for n in keep]).where("year >= 1")
+
+
+def load_combined_eruptions(spark: SparkSession, early: str, late: str, vssi_min: float = 0.5) -> DataFrame:
+    """Large eruptions since 850 of the text ``early`` and since 1900 of the table ``late`` (``utsvolcemis`` in kg of SO2, taken as Tg of sulphur)."""
+    first = load_evolv2k(spark, early).drop("sigma_vssi", "asy").where("year >= 850")
+    second = spark.read.parquet(late).withColumn("vssi", F.col("utsvolcemis") * 32.065 / 64.066 / 1e9).drop("utsvolcemis", "time_bnds", "depth", "height", "eruption_number")
+    return combined_eruptions(first, second, vssi_min, 1900)
+
+
 def combined_eruptions(early: DataFrame, late: DataFrame, threshold: float, late_from: int, column: str = "vssi") -> DataFrame:
     """Large eruptions of two catalogues, the later one from a year on."""
     return early.where((F.col(column) >= threshold) & (F.col("year") < late_from)).unionByName(late.where((F.col(column) >= threshold) & (F.col("year") >= late_from)), allowMissingColumns=True)

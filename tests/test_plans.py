@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from isobar.functions.scalar import EARTH_RADIUS_M
 from isobar.operators import proxies, reduce
 from isobar.operators.lim import Lim
 from isobar.plans import assimilate, postprocess
@@ -122,15 +123,64 @@ def test_catalog(spark, tmp_path):
 
 
 def test_datasets(spark, tmp_path):
-    spark.createDataFrame([(0, 1.0, 2.0), (1, 1.0, None)], "year int, ohc double, x double").write.parquet(str(tmp_path / "zanna.parquet"))
-    got = io.load_dataset(spark, str(tmp_path), "zanna").orderBy("year").collect()
-    assert [(r["year"], r["value"]) for r in got] == [(1870, 1e21), (1871, 1e21)] and len(io.DATASETS) == 37  # the 38th product combines two: combined_eruptions
+    depths = "OHC_300m double, OHC_700m double, OHC_2000m double, OHC_full_depth double"
+    spark.createDataFrame([(k, 1.0, 2.0, 3.0, float(k) if k else None) for k in range(130)], f"`time (starting 1870)` int, {depths}").write.parquet(str(tmp_path / "zanna.parquet"))
+    whole = {r["year"]: r["value"] for r in io.load_dataset(spark, str(tmp_path), "zanna", anomalies=False).where("field = 'ohc'").collect()}
+    assert whole[1870] is None and whole[1871] == 1e21 and max(whole) == 1999
+    mean = np.mean([(y - 1870) * 1e21 for y in range(1961, 1990)])
+    got = {(r["field"], r["year"]): r["value"] for r in io.load_dataset(spark, str(tmp_path), "zanna").collect()}
+    assert got["ohc", 1990] == pytest.approx(120e21 - mean) and got["ohc300", 1900] == pytest.approx(0, abs=1e9) and len(got) == 4 * 130
+    assert len(io.DATASETS) == 36  # two more are tables of events
     rows = [(y, m, 0.0, -90.0, float(m)) for y in range(1960, 1965) for m in range(1, 13)]
     spark.createDataFrame(rows, "year int, month int, lat double, lon double, tas double").write.parquet(str(tmp_path / "hadcrut.parquet"))
     h = io.load_dataset(spark, str(tmp_path), "hadcrut")
     assert h.select("lon").distinct().first()[0] == 270.0 and abs(h.where("year > 1961").agg(F.avg("value")).first()[0]) < 1.0
 
 
+def test_sea_ice_products(spark, tmp_path):
+    grid = [(y, lat, lon, 100.0 if lat > 0 else 10.0) for y in (1700, 1701) for lat in (-45.0, 45.0) for lon in (0.0, 180.0)]
+    spark.createDataFrame(grid, "year int, lat double, lon double, SIC double").write.parquet(str(tmp_path / "dalaiden2023.parquet"))
+    got = io.load_dataset(spark, str(tmp_path), "dalaiden2023")
+    half = 2 * np.pi * EARTH_RADIUS_M**2 / 1e6
+    totals = {r["field"]: r["value"] for r in got.where("year = 1701 and lat is null").collect()}
+    assert got.where("lat is not null").agg(F.max("value")).first()[0] == 1.0 and set(totals) == {"siarean", "siareas", "siextentn", "siextents"}
+    assert totals["siarean"] == pytest.approx(half) and totals["siareas"] == pytest.approx(half / 10) and totals["siextentn"] == pytest.approx(half) and totals["siextents"] == 0
+    for hemisphere, factor in (("north", 1), ("south", 2)):
+        (tmp_path / "siindex" / hemisphere).mkdir(parents=True)
+        for m in range(1, 13):
+            (tmp_path / "siindex" / hemisphere / f"{m:02}.csv").write_text("year, mo, extent, area\n" + "".join(f"{y}, {m}, {factor * (y - 1978)}, -9999\n" for y in range(1979, 2003)))
+    index = {(r["field"], r["year"], r["season"]): r["value"] for r in io.load_dataset(spark, str(tmp_path), "siindex").collect()}
+    assert index["siextentn", 2000, 2] == pytest.approx(22 - 11.5) and index["siextents", 2000, 2] == pytest.approx(21) and index["siarean", 2000, 2] is None
+
+
+def test_products_of_members_methods_and_versions(spark, tmp_path):
+    spark.createDataFrame([(y, e, float(y), 2.0, 0.0) for y in range(1960, 1992) for e in (1, 2)], "year int, ens int, CPS double, PCR double, `LMRv2.1` double").write.parquet(str(tmp_path / "pages19.parquet"))
+    pages = io.load_dataset(spark, str(tmp_path), "pages19")
+    assert pages.select("ens").distinct().count() == 4 and pages.count() == 32 * 4 and pages.where("year = 1991").agg(F.max("value")).first()[0] == pytest.approx(1991 - 1975.5)
+    for name, k in (("AR6_ERF_1750-2019", 2), ("AR6_ERF_1750-2019_pc05", 1), ("AR6_ERF_1750-2019_pc95", 3)):
+        (tmp_path / f"{name}.csv").write_text(f"year,co2,total\n1750,{k}.5,0\n1751,x,1\n")
+    erf = {(r["stat"], r["field"], r["year"]): r["value"] for r in io.load_dataset(spark, str(tmp_path), "ar6_erf").collect()}
+    assert erf["p05", "co2", 1750] == 1.5 and erf["p95", "co2", 1751] is None and len(erf) == 12
+    spark.createDataFrame([(y, 0, n, 50.0, 1.0, float(n)) for y in (1970, 1971) for n in (0, 1)], "year int, nens int, nit int, sic_lalo_ensemble_mean double, si_extent_anomalies double, si_area_anomalies double").write.parquet(str(tmp_path / "brennan22_MPI.parquet"))
+    b = io.load_dataset(spark, str(tmp_path), "brennan22", prior="MPI")
+    assert b.where("field = 'siconc'").agg(F.avg("value")).first()[0] == pytest.approx(0.5) and b.where("field = 'siarean'").agg(F.max("value")).first()[0] == 0.0
+    names = "tas_sfc double, tos_sfc double, rlut_toa double, rsut_toa double, `ohc_0-700m` double"
+    spark.createDataFrame([(y, 0.0, 0.0, 1.0, 1.0, 2.0, 1.0, y * 3.0) for y in range(1960, 1992)], f"year int, lat double, lon double, {names}").write.parquet(str(tmp_path / "lmronline/x/spatial_ens_mean"))
+    lmr = {r["field"]: r["value"] for r in io.load_dataset(spark, str(tmp_path), "lmronline", anomalies=False, version="x").where("year = 1970").collect()}
+    assert lmr["eei"] == -3.0 and lmr["ddtohc700"] == pytest.approx(3.0 / io.SECONDS_A_YEAR) and set(lmr) == set(io.DATASETS["lmronline"].fields)
+
+
+def test_eruptions(spark, tmp_path):
+    head = "".join(f"# {k}\n" for k in range(48)) + "names\n"
+    row = lambda y, v: f"{y}\t{y}\t3\t1\t10.5\t1\t1\t{v}\t0.1\t0.5\tX\tno\tr\n"
+    (tmp_path / "e.tab").write_text(head + row(1815, 28.1) + row(900, 0.4) + row(536, 18.0) + row(-426, 50.0))
+    assert [r["year"] for r in io.load_evolv2k(spark, str(tmp_path / "e.tab")).orderBy("year").collect()] == [536, 900, 1815]
+    late = [(1991, 6, 15, 15.0, 17e9 * 64.066 / 32.065), (1850, 1, 1, 0.0, 90e9), (1950, 1, 1, 0.0, 1e8)]
+    spark.createDataFrame(late, "year int, month int, day int, lat double, utsvolcemis double").write.parquet(str(tmp_path / "late"))
+    both = io.load_combined_eruptions(spark, str(tmp_path / "e.tab"), str(tmp_path / "late")).orderBy("year").collect()
+    assert [(r["year"], round(r["vssi"], 6)) for r in both] == [(1815, 28.1), (1991, 17.0)]
+
+
 def test_names_merge_and_stamp(spark):
     assert io.map_names(["TREFHT", ["SST", "other"]], io.CESM_TO_CF) == ["tas", ["tos", "other"]] and io.map_names("tas", io.CF_TO_CESM) == "TREFHT"
     a, b = spark.createDataFrame([(1, 2.0)], "k int, a double"), spark.createDataFrame([(1, 3.0)], "k int, b double")
