@@ -11,9 +11,12 @@ exact sum over its bytes; the shortest code names the language, and ``score``
 is its share of ``2 ** -length`` over the languages, with lengths a byte
 tempered by ``TEMPER`` bytes.
 
-The counts depend on (context, byte) alone, so each worker turns them into one
-table ``[context node, byte symbol, language]`` and a text is scored by adding
-up table rows.  Bytes that no training text has share a symbol.
+The counts depend on (context, byte) alone, so each worker turns them into
+tables ``[context node, byte symbol, language]`` and a text is scored by adding
+up table rows.  Bytes that no training text has share a symbol.  A table holds
+at most ``BLOCK`` languages, with the contexts and bytes of these alone, so the
+tables grow with the languages and not with their square; a context that is
+unknown to a language costs nothing, so the blocks do not change a code length.
 
 Training reads whole texts of at most about ``SAMPLE`` documents a language
 (by a hash of the id, so the same ones each time), counted where they lie and
@@ -38,8 +41,8 @@ from pyspark.sql import functions as F
 from . import text as T
 from .common import sample
 
-#: Bytes of context; training documents a language; bytes over which code lengths are tempered.
-ORDER, SAMPLE, TEMPER = 3, 1500, 256
+#: Bytes of context; training documents a language; bytes over which code lengths are tempered; languages of one table.
+ORDER, SAMPLE, TEMPER, BLOCK = 3, 1500, 256, 8
 
 
 def grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -63,11 +66,16 @@ def grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
 class Ppm:
     """Code lengths of texts in each language, from (language, size, gram, count)."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, size: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER):
-        self.langs, self.order = langs, order
+    def __init__(self, langs: list[str], lang: np.ndarray, size: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int = ORDER, block: int = BLOCK):
+        self.langs, self.order, self.parts = langs, order, []
         count = len(langs)
         if not count:
             return
+        if count > block:
+            for c in range(0, count, block):
+                here = (lang >= c) & (lang < c + block)
+                self.parts.append(Ppm(langs[c : c + block], lang[here] - c, size[here], gram[here], n[here], order, block))
+            return
         seen = np.unique(gram[size == 1]).astype(np.int64)
         self.symbol = np.zeros(256, dtype=np.int64)
         self.symbol[seen] = np.arange(1, len(seen) + 1)
@@ -113,6 +121,8 @@ class Ppm:
 
         The first ``order`` bytes of a text are taken under order 0, or with ``short`` under the bytes that they have before them.
         """
+        if self.parts:
+            return np.concatenate([p.lengths(raw, off, short) for p in self.parts], axis=1)
         rows = len(off) - 1
         out = np.zeros((rows, len(self.langs)))
         if not len(raw) or not len(self.langs):
@@ -130,9 +140,7 @@ class Ppm:
                 code += s[here - 1 - i] * a**i
             at[here] = self.nodes[j][code].astype(np.int64) * a + s[here]
         full = np.flatnonzero(np.diff(off))
-        for c0 in range(0, len(self.langs), 16):
-            got = self.cost[at, c0 : c0 + 16].astype(np.float64)
-            out[full, c0 : c0 + 16] = np.add.reduceat(got, off[full], axis=0)
+        out[full] = np.add.reduceat(self.cost[at].astype(np.float64), off[full], axis=0)
         return out
 
     def predict(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

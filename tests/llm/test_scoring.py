@@ -60,6 +60,28 @@ def test_code_lengths_equal_a_walk_through_the_contexts():
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_tables_of_few_languages_give_the_same_code_lengths():
+    rng = np.random.default_rng(3)
+    letters = ["abcd", "bcde", "xyzé", "aéz", "cdx"]
+    rows = set()
+    for k, own in enumerate(letters):
+        raw = "".join(rng.choice(list(own), 300)).encode()
+        for size in range(1, 5):
+            rows |= {(k, size, int.from_bytes(raw[i : i + size], "big")) for i in range(len(raw) - size + 1)}
+    lang, size, gram = (np.array(x) for x in zip(*sorted(rows), strict=True))
+    n = rng.integers(1, 9, len(lang))
+    texts = ["abcabc", "", "zéz q", "xyzzy", "a", "dcba" * 50]
+    raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    one = op1_language.Ppm(letters, lang, size, gram, n, block=5)
+    for block in (1, 2):
+        many = op1_language.Ppm(letters, lang, size, gram, n, block=block)
+        assert len(many.parts) == -(-5 // block)
+        for short in (False, True):
+            assert np.allclose(many.lengths(raw, off, short), one.lengths(raw, off, short), rtol=1e-5)
+        assert (many.predict(raw, off)[0] == one.predict(raw, off)[0]).all()
+
+
 def test_first_bytes_have_shorter_contexts():
     counts = [(0, "th", 3), (0, "ht", 1), (1, "ht", 3), (1, "th", 1)]
     rows = [(lang, 2, ord(g[0]) << 8 | ord(g[1]), n) for lang, g, n in counts] + [(lang, 1, ord(c), 4) for lang in (0, 1) for c in "th"]
