@@ -61,6 +61,17 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+#: Bytes that a table may have in memory to be broadcast.
+LIGHT_BYTES = 64 << 20
+
+
+def light(df: DataFrame, more: Column | None = None) -> bool:
+    """Whether a table is small enough to broadcast: its rows are counted at their fixed width, plus ``more`` bytes of each."""
+    width = 16 + 8 * len(df.columns)
+    total = df.agg((F.count(F.lit(1)) * width + (F.coalesce(F.sum(more.cast("bigint")), F.lit(0)) if more is not None else 0)).alias("b")).first()["b"]
+    return total <= LIGHT_BYTES
+
+
 def joined(rows: DataFrame, once: DataFrame, keys: list[str], times: str) -> DataFrame:
     """Inner join of ``rows`` with ``once``, which has each key once and says in ``times`` how many rows it can meet.
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_language, op2_toxicity, op3_minhash, op4_suffix, op5_quality, op6_decontaminate, op7_tokens, op8_anchors, op9_html, op10_rules, sql
+from . import op1_language, op2_toxicity, op3_minhash, op4_suffix, op5_quality, op6_decontaminate, op7_tokens, op8_anchors, op9_html, op10_rules, op11_lines, op12_negatives, op13_clusters, sql
 from .common import held_out, table
 
 
@@ -56,11 +56,26 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity_severity, op3_near_duplicates, op4_suffix_dedup, op5_quality_score, op6_decontaminate_report, op7_sentencepiece, op8_substring_dedup, op9_html_text, op10_quality_rules)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_lines.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity_severity, op3_near_duplicates, op4_suffix_dedup, op5_quality_score, op6_decontaminate_report, op7_sentencepiece, op8_substring_dedup, op9_html_text, op10_quality_rules, op11_line_dedup, op12_hard_negatives, op13_centroid_clusters)}
 ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": sql.NEAR_DUPLICATES,
     "op4_suffix_dedup": sql.SUFFIX_DEDUP,
     "op6_decontaminate_report": op6_decontaminate.SQL,
     "op8_substring_dedup": sql.SUBSTRING_DEDUP,
     "op10_quality_rules": sql.quality_rules(op10_rules.CUTOFFS, op10_rules.BANDS, op10_rules.RISK, op10_rules.DELTA),
+    "op11_line_dedup": op11_lines.SQL,
+    "op12_hard_negatives": op12_negatives.SQL,
+    "op13_centroid_clusters": op13_clusters.sql(),
 }
