@@ -669,3 +669,4 @@ def pdo(s, d):
 from . import registry_models  # noqa: E402, F401
 from . import registry_extra  # noqa: E402, F401
 from . import registry_checked  # noqa: E402, F401
+from . import registry_blocks  # noqa: E402, F401
