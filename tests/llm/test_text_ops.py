@@ -1,5 +1,6 @@
 import hashlib
 import html as html_lib
+import html.parser as html_parser
 import math
 import random
 import re
@@ -105,7 +106,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         (PAGE % "", ""),
         ("<div id=menu><ul><li><a>Home</a><li><a>About</a></ul></div><div><h1>T</h1><p>Long text of the page.<p>More of it</div><div class=sidebar>s</div>", "T\nLong text of the page.\nMore of it"),
         ("<article><p>cut off in the mid", "cut off in the mid"), ("<article><p>whole</p><p>a <b", "whole\na"), ("<p>1 < 2 & 3</p>", "1 < 2 & 3"),
-        ("<article><header><h1>H</h1></header><p>text</p></article></div></div>", "text"),
+        ("<article><header><h1>H</h1></header><p>text</p></article></div></div>", "H\ntext"),
         ("<noscript><p>no</p></noscript><p>yes</p><select><option>o</select><textarea>t</textarea>", "yes"),
     ],
 )
@@ -142,8 +143,17 @@ LONG = "Words of the article that go on for a good while, so that it is long eno
         ('<body><div class="comments"><article><p>first</p></article></div><article><p>%s</p><article class="comment"><p>no</p></article></article>', "%s"),
         ('<div class="sidebar"><p>%s</p></div>', "%s"),
         ("<div id=cookie-notice>We use cookies on this page, do you agree with them?</div><nav><p>a<p>b<p>c</nav><div><p>%s</p></div><footer><p>a<p>b<p>c</footer><div>imprint</div>", "%s"),
-        ("<article><p>x</p></article><div>%s</div>", "x"),
-        ("<article><p>one</p></article><p>%s</p><article><p>two</p></article>", "one\ntwo"),
+        # Sums decide: a tag's weight is a small factor, and what lies between two stretches of text is text.
+        ("<article><p>x</p></article><div>%s</div>", "%s"),
+        ("<article><p>%s</p></article><div>An unmarked aside of some words, not a third of it.</div>", "%s"),
+        ("<article><p>%s</p></article><p>between</p><article><p>%s</p></article><div>after</div>", "%s\nbetween\n%s"),
+        ("<main><ul><li><a href=x>Teaser one</a> more<li><a href=x>Teaser two</a> more</ul></main><div><h1>T</h1><p>%s</p></div>", "T\n%s"),
+        ("<div><h1>T</h1><div><div><p>%s</p></div><p>deep</p></div></div><div>Imprint</div>", "T\n%s\ndeep"),
+        ("<div><div>T</div><div>%s</div><div>end</div></div><div>x</div>", "T\n%s\nend"),
+        # Names that may be an article's: by heading, length and links.
+        ('<article><div class="article-header banner"><h1>T</h1></div><p>%s</p><section class="related"><h2>Related literature</h2><p>A.</p></section></article>', "T\n%s\nRelated literature\nA."),
+        ('<article><p>%s</p><section class="related"><p>Other stories</p><p><a href=x>One of them</a></p></section><div class="notice">Sale</div></article>', "%s"),
+        ('<article><p>%s</p><p>x <math><mi>a</mi></math> y</p></article><section id="discussion"><p>First!</p></section><div class="outbrain">More</div>', "%s\nx a y"),
     ],
 )
 def test_windows_decide_on_pages_of_all_kinds(html, want):
@@ -153,27 +163,105 @@ def test_windows_decide_on_pages_of_all_kinds(html, want):
 
 def test_surge_and_dive():
     w = np.array([0, 0, 0, 40, 0, 60, 0, 0, 0, 0, 5, 0])
-    assert op9_html.stretches(w) == [(3, 6), (10, 11)] and op9_html.stretches(w, 50) == [(3, 6)]
-    assert op9_html.stretches(np.array([], dtype=np.int64)) == [] and op9_html.stretches(np.array([0, 0])) == [] and op9_html.stretches(np.array([3]), 80) == [(0, 1)]
+    assert op9_html.span(w) == (3, 6) and op9_html.span(w, 0.05) == (3, 11)
+    assert op9_html.span(np.array([], dtype=np.int64)) == op9_html.span(np.array([0, 0])) == (0, 0) and op9_html.span(np.array([3])) == (0, 1)
 
 
-def test_stretches_equal_a_walk_over_windows():
+def windows_by_hand(w: list[int], share: float) -> tuple[int, int]:
+    """First and last line of text by sums of three lines, walked one by one."""
+    sums = [sum(w[max(0, i - 2) : i + 1]) for i in range(len(w) + 2)]
+    found, k = [], 0
+    while k < len(sums):
+        end = k
+        while end < len(sums) and sums[end] > 0:
+            end += 1
+        if end > k and max(sums[k:end]) >= share * max(sums):
+            found.append((k, min(end - 2, len(w))))
+        k = max(end, k + 1)
+    return (found[0][0], found[-1][1]) if found else (0, 0)
+
+
+def test_spans_equal_a_walk_over_windows():
     rng = random.Random(4)
     for _ in range(400):
         w = [rng.choice([0, 0, 0, 1, 7, 90]) for _ in range(rng.randrange(1, 30))]
-        level = rng.choice([1, 8, 80])
-        windows = [sum(w[max(0, i - 2) : i + 1]) for i in range(len(w) + 2)]
-        least, want, k = min(level, max(windows)), [], 0
-        while k < len(windows):
-            end = k
-            while end < len(windows) and windows[end] > 0:
-                end += 1
-            if end > k and max(windows[k:end]) >= least:
-                want.append((k, min(end - 2, len(w))))
-            k = max(end, k + 1)
-        got = op9_html.stretches(np.array(w), level)
-        assert got == want
-        assert level > 1 or [x for a, b in got for x in w[a:b] if x] == [x for x in w if x]
+        share = rng.choice([0.001, 0.1, 1 / 3, 1])
+        assert op9_html.span(np.array(w), share) == windows_by_hand(w, share)
+
+
+class Slots(html_parser.HTMLParser):
+    """Lines of the fixtures' template with neutral names: text, code points of links, blocks around it."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.buf, self.links, self.link, self.open, self.number, self.children = [], "", 0, 0, [0], 0, [0]
+
+    def flush(self):
+        if text := " ".join(self.buf.split()):
+            self.out.append((text, self.links, tuple(self.open)))
+        self.buf, self.links = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link = 1
+        if tag == "br":
+            self.buf += " "
+        if tag in ("p", "h1", "li", "div", "ul", "body"):
+            self.flush()
+        if tag in ("div", "ul"):
+            self.number += 1
+            self.children.append(0)
+            self.children[self.open[-1]] += 1
+            self.open.append(self.number)
+        elif tag in ("p", "h1", "li"):
+            self.children[self.open[-1]] += 1
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link = 0
+        if tag in ("p", "h1", "li", "div", "ul", "body"):
+            self.flush()
+        if tag in ("div", "ul"):
+            self.open.pop()
+
+    def handle_data(self, data):
+        self.buf += data
+        self.links += len(data) * self.link
+
+
+def by_windows(page: str) -> str:
+    p = Slots()
+    p.feed(re.sub(r"<(style|script|title)>.*?</\1>|<[^>]*$", "", page, flags=re.S))
+    p.flush()
+    homes = [c[:-1] if len(c) > 1 and not p.children[c[-1]] else c for _, _, c in p.out]
+    w, at = [], []
+    for k, (text, links, _) in enumerate(p.out):
+        if k:
+            a, b = homes[k - 1], homes[k]
+            inner = (a[: len(b)] == b and len(b) > 1) or (b[: len(a)] == a and len(a) > 1)
+            w += [] if a == b or inner else [0, 0, 0]
+        at.append(len(w))
+        w.append(0 if 2 * links > len(text) else len(text) - links)
+    first, last = windows_by_hand(w, 1 / 3)
+    return "\n".join(t for (t, _, _), k in zip(p.out, at, strict=True) if first <= k < last)
+
+
+def test_windows_decide_without_any_name(spark, data):
+    """Element and class names made neutral: the query is the walk over windows, and that finds nearly all articles."""
+    pages = spark.read.parquet(f"{data.replace('0.001', '0.01')}/pages.parquet").toPandas()
+    right = 0
+    for html in pages["html"]:
+        bare = re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", re.sub(r' class="[^"]*"', "", html))
+        assert op9_html.extract(bare) == by_windows(bare)
+        right += op9_html.extract(bare) == op9_html.extract(html) == op9_html.extract(re.sub(r"<(/?)article\b", r"<\1div", html))
+    assert right >= 0.9 * len(pages)
+
+
+def test_stray_and_deep_tags_take_no_time():
+    began = time.time()
+    for html in ("<div>" * 100_000 + "</p>" * 100_000 + "x", "</p></div>" * 100_000, "<div>" * 50_000 + "</section><p>x</p>" * 50_000, "<div>a<p>b</i></span></section>" * 30_000):
+        op9_html.extract(html)
+    assert time.time() - began < 20
 
 
 def test_awkward_tables_of_pages(spark):
