@@ -9,11 +9,15 @@ regression (pool adjacent violators) turns the fitted values into calibrated
 probabilities.
 
 Training uses about ``SAMPLE`` labelled rows for each label (by a hash of the
-id, so the same ones each time); a row's fold decides whether it goes into the
+id, so the same ones each time), and weighs in the calibration as many rows as
+it stands for; a row's fold decides whether it goes into the
 normal equations (three quarters) or the calibration (one quarter).  Scoring
 reads every text.
 
-Results: an empty or null text has the statistics of an empty text and a score
+Results: an empty table gives no rows; very long texts are one row like any
+other; repeated rows are scored each, and learned from each; columns other than
+those named are ignored (``kept`` passes them through); rows of one fitted value
+have one score.  An empty or null text has the statistics of an empty text and a score
 like any other; with no labelled rows every score is 0.5, with one label only
 it is that label; labels that are null or neither 0 nor 1 are passed over; a
 document with several labels counts with each.
@@ -99,12 +103,13 @@ class Features:
         return np.column_stack([np.ones(len(x)), z, np.sqrt(2.0 / len(self.phase)) * np.cos(z @ self.omega + self.phase)])
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing least-squares fit of y on x."""
+def isotonic(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing least-squares fit of y on x; ``rows`` says how many rows each one stands for."""
+    rows = np.ones(len(x)) if rows is None else rows
     order = np.argsort(x, kind="stable")
     at, inverse = np.unique(x[order], return_inverse=True)
-    weight = np.bincount(inverse).astype(float)
-    value = np.bincount(inverse, weights=y[order]) / weight
+    weight = np.bincount(inverse, weights=rows[order])
+    value = np.bincount(inverse, weights=(rows * y)[order]) / weight
     blocks: list[list[float]] = []  # value, weight, first, last
     for k, (v, w) in enumerate(zip(value, weight, strict=True)):
         blocks.append([v, w, k, k])
@@ -180,8 +185,7 @@ def fit(labelled: DataFrame, rate: dict[float, int], features: int = FEATURES) -
     # The sample may hold other shares of the labels than the corpus: rows count so that shares agree.
     have = {r["y"]: r["n"] for r in moments}
     v, y = out.raw(np.array(rest["x"].tolist())), rest["y"].to_numpy()
-    times = np.array([max(1, round(8 * (rate[k] / have[k]) / min(rate[j] / have[j] for j in have))) for k in y])
-    out.knots = isotonic(np.repeat(v, times), np.repeat(y, times))
+    out.knots = isotonic(v, y, np.array([rate[k] / have[k] for k in y]))
     return out
 
 

@@ -33,7 +33,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -124,7 +124,10 @@ def later_runs(chunks: DataFrame) -> DataFrame:
     sent = saved(chunks.select("chunk", "ids", "lens", "text").join(shared, "chunk").mapInArrow(send_runs, "one long, two long, chunk long, doc long, place int, hot boolean"))
     dropped(shared)
     first = F.min(F.struct("doc", "chunk"))
-    later = sent.where("not hot").withColumn("first", first.over(Window.partitionBy("one", "two"))).where("chunk <> first.chunk").select("chunk", "place")
+    # First copies are found by an aggregate and met by a join, both over one shuffle: no run is gathered in a group.
+    dealt = sent.where("not hot").select("one", "two", "chunk", "doc", "place").repartition("one", "two")
+    found = dealt.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), first["chunk"].alias("home")).where("times > 1")
+    later = dealt.join(found, ["one", "two"]).where("chunk <> home").select("chunk", "place")
     homes = None
     if len(hot):
         homes = saved(sent.where("hot").groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), first["chunk"].alias("home")).where("times > 1"))

@@ -143,6 +143,17 @@ def test_isotonic_is_the_least_squares_monotone_fit():
                 assert r <= 1e-9 if part[x >= cut].all() and (part == (x >= cut)).all() else r >= -1e-9
 
 
+def test_isotonic_rows_weigh_as_many_as_they_stand_for():
+    rng = np.random.default_rng(1)
+    x, y, times = rng.integers(0, 30, 200).astype(float), rng.random(200), rng.integers(1, 9, 200)
+    for a, b in zip(op5_quality.isotonic(x, y, times.astype(float)), op5_quality.isotonic(np.repeat(x, times), np.repeat(y, times)), strict=True):
+        np.testing.assert_allclose(a, b)
+    # One kind is a millionth of the other: no row is copied for it.
+    y = (np.arange(2000) % 2).astype(float)
+    knots, value = op5_quality.isotonic(rng.random(2000), y, np.where(y == 1, 1e-3, 1e3))
+    assert len(knots) <= 4000 and value[0] < 1e-5
+
+
 def test_features_approximate_the_kernel():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6, 4))
