@@ -124,10 +124,12 @@ def later_runs(chunks: DataFrame) -> DataFrame:
     sent = saved(chunks.select("chunk", "ids", "lens", "text").join(shared, "chunk").mapInArrow(send_runs, "one long, two long, chunk long, doc long, place int, hot boolean"))
     dropped(shared)
     first = F.min(F.struct("doc", "chunk"))
-    # First copies are found by an aggregate and met by a join, both over one shuffle: no run is gathered in a group.
+    # First copies are found by an aggregate and met by a join: no run is gathered in a group.  Both sides take the
+    # same columns, so that they read one shuffle; the last two conditions hold for every row.
     dealt = sent.where("not hot").select("one", "two", "chunk", "doc", "place").repartition("one", "two")
-    found = dealt.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), first["chunk"].alias("home")).where("times > 1")
-    later = dealt.join(found, ["one", "two"]).where("chunk <> home").select("chunk", "place")
+    found = dealt.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), first.alias("first"), F.max("place").alias("last")).where("times > 1")
+    always = F.col("place") <= F.col("last"), F.coalesce(F.col("doc") >= F.col("first.doc"), F.lit(True))
+    later = dealt.join(found, ["one", "two"]).where((F.col("chunk") != F.col("first.chunk")) & always[0] & always[1]).select("chunk", "place")
     homes = None
     if len(hot):
         homes = saved(sent.where("hot").groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), first["chunk"].alias("home")).where("times > 1"))
