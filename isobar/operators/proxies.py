@@ -88,26 +88,25 @@ def at_step(sites: DataFrame, obs: DataFrame, year: int, season: int) -> DataFra
     return obs.join(sites.select("pid", "dt"), "pid").where(own & F.col("value").isNotNull()).select("pid", "year", "season", "value")
 
 
-def split(pids: list, fraction: float, seed_offset: int = 0) -> tuple[list, list]:
-    """(assimilated, left out) by a seeded shuffle of the sorted ids; a catalogue of sites, not of samples."""
-    order = np.array(sorted(pids), dtype=object)
-    np.random.RandomState(544_502 + seed_offset).shuffle(order)
-    k = int(len(order) * fraction)
-    return list(order[:k]), list(order[k:])
+def drawn(key: Column, seed: int) -> Column:
+    """A number that depends on key and seed alone: rows in its order are a random draw that anything with md5 can repeat."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
 def split_sites(sites: DataFrame, fraction: float, seed_offset: int = 0) -> DataFrame:
-    """``sites`` with ``assimilated``."""
-    kept, _ = split([r[0] for r in sites.select("pid").distinct().collect()], fraction, seed_offset)
-    spark = sites.sparkSession
-    kind = sites.schema["pid"].dataType.simpleString()
-    chosen = spark.createDataFrame([(p,) for p in kept], f"pid {kind}").withColumn("assimilated", F.lit(True))
-    return sites.join(chosen, "pid", "left").withColumn("assimilated", F.coalesce("assimilated", F.lit(False)))
+    """``sites`` with ``assimilated``: a share of the records, drawn by a hash of their ids."""
+    pids = sites.select("pid").distinct()
+    # The records whose hash is among the first: one border, found by a sort, decides for each row apart.
+    keep = int(pids.count() * fraction)
+    h = drawn(F.col("pid"), 544_502 + seed_offset)
+    border = pids.select(h.alias("h")).orderBy("h").limit(keep).agg(F.max("h")).first()[0]
+    return sites.withColumn("assimilated", (h <= border) if border is not None else F.lit(False))
 
 
-def subsample(n: int, size: int, seed_offset: int = 0) -> list[int]:
-    """``size`` of ``n`` members without replacement, in order."""
-    return sorted(np.random.default_rng(42_324_235 + seed_offset).choice(n, size, replace=False).tolist())
+def subsample(members: DataFrame, size: int, seed_offset: int = 0, ens: str = "ens") -> DataFrame:
+    """The rows of ``size`` members, drawn without replacement by a hash of their number."""
+    some = members.select(ens).distinct().orderBy(drawn(F.col(ens), 42_324_235 + seed_offset)).limit(size)
+    return members.join(F.broadcast(some), ens, "left_semi")  # ``size`` numbers
 
 
 # -- linear observation models ----------------------------------------------
@@ -234,6 +233,50 @@ def pseudo_obs_from_models(truth: DataFrame, models: DataFrame, on: list[str], s
     return est.withColumn("value", F.col("estimated") + std / F.col("snr") / snr_scale * noise(F.col("pid"), F.col("year"), seed=seed))
 
 
+def pseudo_network(sites_obs: DataFrame, seasonal: DataFrame | None, annual: DataFrame | None, cells: DataFrame, seasonalities=None, snr_scale: float = 1.0, seed: int = 52_565_641) -> tuple[DataFrame, DataFrame]:
+    """Pseudo-records of a real network, with its seasonality, gaps and signal-to-noise ratios, from a known truth.
+
+    ``sites_obs(pid, year[, season], value)``: where a record has a value, its
+    pseudo-record has one (if the truth has).  ``seasonal`` models are
+    ``pid, season, field, lat, lon, slope, intercept, snr``, a model for each
+    season of a record; ``annual`` models have ``seasonality`` (a number in
+    ``seasonalities``) in place of the season, and see the truth averaged over
+    its seasons.  ``cells(field, lat, lon, year, season, value)`` is the truth.
+
+    Returns ``pid, year, season (null for annual records), estimated,
+    noise_std, value`` and the models under the pseudo-records' names: the
+    models of the network are those of its copy.  The noise is that of the
+    model: the standard deviation of its estimates (of each season apart) over
+    its ``snr`` and over ``snr_scale``, drawn by record, year and season.
+    """
+    out, kept = None, None
+    name = F.concat(F.lit("pseudo_"), F.col("pid").cast("string"))
+    obs = sites_obs.where(F.col("value").isNotNull())
+    for models, step in ((seasonal, "season"), (annual, "seasonality")):
+        if models is None:
+            continue
+        m = models.select("pid", step, "field", "lat", "lon", "slope", "intercept", "snr")
+        if step == "season":
+            truth, times = cells.withColumnRenamed("value", "x"), obs.select("pid", "year", "season").distinct()
+        else:
+            truth, times = seasonality_means(cells, seasonalities).withColumnRenamed("value", "x"), obs.select("pid", "year").distinct()
+        seen = m.join(truth, ["field", "lat", "lon", step]).where(F.col("x").isNotNull())
+        seen = seen.join(times, ["pid", "year", *(["season"] if step == "season" else [])], "left_semi")
+        own = seen.withColumn("estimated", F.col("intercept") + F.col("slope") * F.col("x"))
+        group = ["pid", "season"] if step == "season" else ["pid"]
+        std = own.groupBy(*group).agg(F.stddev_pop("estimated").alias("_std"))
+        own = own.join(std, group).withColumn("noise_std", F.col("_std") / F.col("snr") / snr_scale)
+        season = F.col("season").cast("int") if step == "season" else F.lit(None).cast("int")
+        at = F.coalesce(season, F.lit(-1))
+        rows = own.select(name.alias("pid"), "year", season.alias("season"), "estimated", "noise_std", (F.col("estimated") + F.col("noise_std") * noise(F.col("pid"), F.col("year"), at, seed=seed)).alias("value"))
+        names = m.withColumn("pid", name)
+        out, kept = (rows, names) if out is None else (out.unionByName(rows), kept.unionByName(names, allowMissingColumns=True))
+    if out is None:
+        raise ValueError("a network needs seasonal or annual models")
+    # A model without any pseudo-observation is left out.
+    return out, kept.join(out.select("pid").distinct(), "pid", "left_semi")
+
+
 def verification(models: DataFrame, estimates: DataFrame, obs: DataFrame, on: list[str], time: list[str]) -> DataFrame:
     """``pid, time, true, estimated``: models of the ensemble mean next to what was observed."""
     est = forward(models, estimates, on)

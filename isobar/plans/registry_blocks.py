@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EARTH_RADIUS_M
-from ..operators import enkf_blocks, eof_large, linear
+from ..operators import enkf_blocks, eof_large, linear, verification
 from ..operators.lim import Lim
 from ..sources import storage, zarr
 from . import cycle
@@ -141,3 +141,38 @@ def eof_large_first_mode(s, d):
     """The same from a random frame, with modes that stay on executors."""
     fit = eof_large.eof_fit_large(v.state_matrix(s, d), ["state_idx"], ["sample_idx"], 3, oversample=40, tolerance=1e-14)
     return fit.modes.select("state_idx", (F.col("u")[0] * F.col("u")[0]).alias("loading"))
+
+
+# -- verification of forecasts --------------------------------------------------
+
+#: Damping a year of an element of the state, substeps of a quarter, steps ahead.
+_DAMPING, _SUBSTEPS, _AHEAD = "(0.5e0 + state_idx / 32e0)", 90, 4
+
+
+@query(
+    "SELECT lead, state_idx, r{sqrt(avg(power(mean - x, 2)))} AS rmse, r{sqrt(avg(variance))} AS spread, count(*) AS cases FROM fc JOIN sm USING (state_idx) WHERE sm.sample_idx = fc.case_idx + lead GROUP BY 1, 2",
+    whole=f"SELECT a.sample_idx AS case_idx FROM (SELECT DISTINCT sample_idx FROM sm) a JOIN (SELECT DISTINCT sample_idx FROM sm) b ON b.sample_idx BETWEEN a.sample_idx AND a.sample_idx + {_AHEAD} GROUP BY 1 HAVING count(*) = {_AHEAD + 1}",
+    fc=f"SELECT case_idx, lead::INT AS lead, state_idx, x * CASE WHEN lead = 0 THEN 1 ELSE power(1 - {_DAMPING} * {0.25 / _SUBSTEPS!r}, lead * {_SUBSTEPS}) * (1 - {_DAMPING} * {0.25 / _SUBSTEPS / 2!r}) END AS mean, 0e0 AS variance FROM sm JOIN whole ON case_idx = sample_idx CROSS JOIN range({_AHEAD + 1}) l(lead)",
+)
+def verification_without_noise(s, d):
+    """Forecasts of a damped state from every start; without noise all members are the damped start."""
+    model = _damped(np.zeros(64))
+    x = v.state_matrix(s, d)
+    fc = verification.stochastic_forecasts(model, x, "sample_idx", _AHEAD, 2, _SUBSTEPS, state="state_idx")
+    return verification.scores(verification.by_case(fc, ["state_idx"]), x, "sample_idx", ["state_idx"])
+
+
+@query()
+def verification_stochastic(s, d):
+    """The same with noise that keeps the variance of the state, 50 members a start."""
+    x = v.state_matrix(s, d)
+    var = {r["state_idx"]: r["v"] for r in x.groupBy("state_idx").agg(F.var_pop("x").alias("v")).collect()}
+    rate = 0.5 + np.arange(64) / 32
+    model = _damped(2 * rate * np.array([var[k] for k in range(64)]))
+    fc = verification.stochastic_forecasts(model, x, "sample_idx", _AHEAD, 50, _SUBSTEPS, state="state_idx")
+    return verification.scores(verification.by_case(fc, ["state_idx"]), x, "sample_idx", ["state_idx"])
+
+
+def _damped(noise: np.ndarray) -> Lim:
+    rate = 0.5 + np.arange(64) / 32
+    return Lim(0.25, np.diag(np.exp(-0.25 * rate)), np.diag(-rate).astype(complex), noise, np.eye(64), 1.0)

@@ -164,9 +164,26 @@ def _archive(s: SparkSession, d: str) -> str:
     return root
 
 
-@query("SELECT 'M' AS source_id, 'historical' AS experiment_id, 'r1' AS member_id, 'gn' AS grid_label, 'v1' AS version, * FROM (VALUES ('Amon', 'tas'), ('Omon', 'tos')) t(table_id, variable_id)")
+@query(
+    "SELECT replace(r_name, ' ', '-') AS source_id, 'historical' AS experiment_id, 'r' || (n_nationkey % 3 + 1) || 'i1p1f1' AS member_id, CASE WHEN n_nationkey % 2 = 0 THEN 'Amon' ELSE 'Omon' END AS table_id, CASE WHEN n_nationkey % 2 = 0 THEN 'tas' ELSE 'tos' END AS variable_id, 'gn' AS grid_label, 'v' || (20190000 + n_nationkey) AS version, count(*) AS customers FROM nation JOIN region ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL"
+)
 def source_catalog(s, d):
-    return io.build_catalog(s, _archive(s, d)).select("source_id", "experiment_id", "member_id", "grid_label", "version", "table_id", "variable_id")
+    """An archive with a dataset for every nation that has customers: which there are, and what they hold, follows from the tables."""
+    root = _folder(s)
+    n, r = v.read(s, d, "nation"), v.read(s, d, "region")
+    k = F.col("n_nationkey")
+    path = F.concat_ws("/", F.translate("r_name", " ", "-"), F.lit("historical"), F.concat(F.lit("r"), k % 3 + 1, F.lit("i1p1f1")), F.when(k % 2 == 0, "Amon/tas").otherwise("Omon/tos"), F.lit("gn"), F.concat(F.lit("v"), k + 20_190_000))
+    rows = v.read(s, d, "customer").join(F.broadcast(n.join(r, F.col("r_regionkey") == F.col("n_regionkey"))), F.col("c_nationkey") == k)  # 25 nations
+    keys = [x["p"] for x in rows.select(path.alias("p")).distinct().collect()]
+    kept = rows.select(path.alias("p"), "c_acctbal").persist()
+    for p in keys:
+        kept.where(F.col("p") == p).select("c_acctbal").coalesce(1).write.parquet(f"{root}/{p}")
+    kept.unpersist()
+    found = io.build_catalog(s, root)
+    held = s.read.parquet(*[r["path"] for r in found.select("path").collect()]).groupBy(F.input_file_name().alias("file")).count()
+    names = ["source_id", "experiment_id", "member_id", "table_id", "variable_id", "grid_label", "version"]
+    tail = lambda c: F.element_at(F.split(c, "/"), -1)
+    return found.join(held, tail(F.col("path")) == tail(F.col("file"))).groupBy(*names).agg(F.sum("count").alias("customers"))
 
 
 @query("SELECT field, lat, lon, year, month, r{value + 273.15e0} AS value, 'K' AS units FROM cells WHERE year BETWEEN 1996 AND 1999")

@@ -151,17 +151,7 @@ def verification_proxies(s, d):
     return proxies.verification(models, p.select("pid", "year", "season", "x"), v.site_obs(s, d), ["pid"], ["year", "season"])
 
 
-def _shuffled(n: int) -> str:
-    """Ranks of the records that a seeded shuffle of ``n`` puts first, as SQL rows."""
-    order = np.arange(n)
-    np.random.RandomState(544_502).shuffle(order)
-    return ", ".join(f"({n}, {k})" for k in sorted(order[: int(n * 0.8)].tolist()))
-
-
-# The shuffle depends on the number of records alone; these are the tables' numbers.
-@query(
-    "SELECT pid, k IS NOT NULL AS assimilated FROM (SELECT pid, count(*) OVER () AS n, row_number() OVER (ORDER BY pid) - 1 AS place FROM sites) s LEFT JOIN (VALUES " + ", ".join(map(_shuffled, (15, 150, 1500))) + ") c(m, k) ON m = n AND k = place"
-)
+@query("SELECT pid, row_number() OVER (ORDER BY md5('544502:' || pid)) <= floor(0.8e0 * count(*) OVER ()) AS assimilated FROM sites")
 def split_proxies(s, d):
     return proxies.split_sites(v.sites(s, d), 0.8).select("pid", "assimilated")
 
@@ -178,6 +168,34 @@ def pseudo_obs_from_models(s, d):
     return proxies.pseudo_obs_from_models(p.select("pid", "year", "season", "x"), models, ["pid"]).select("pid", "year", "season", "value")
 
 
+_SEASON_MODELS = f"SELECT pid, season, field, lat, lon, slope, intercept, snr FROM (SELECT *, row_number() OVER (PARTITION BY pid, season ORDER BY round(bic, 9), candidate) AS k FROM scal WHERE {_GATE.format(n=8)}) WHERE k = 1"
+_YEAR_MODELS = f"SELECT pid, seasonality, field, lat, lon, slope, intercept, snr FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(bic, 9), candidate, seasonality) AS k FROM acal WHERE {_GATE.format(n=25)}) WHERE k = 1"
+
+
+@query(
+    "SELECT 'pseudo_' || pid AS pid, year, season, r{estimated} AS estimated, r{noise_std} AS noise_std FROM (SELECT *, stddev_pop(estimated) OVER (PARTITION BY pid, season) / snr / 2 AS noise_std FROM (SELECT m.pid, c.year, c.season, intercept + slope * c.value AS estimated, snr FROM smod m JOIN site_cells c USING (field, lat, lon, season) SEMI JOIN sobs o ON o.pid = m.pid AND o.year = c.year AND o.season = c.season)) UNION ALL SELECT 'pseudo_' || pid, year, -1, r{estimated}, r{noise_std} FROM (SELECT *, stddev_pop(estimated) OVER (PARTITION BY pid) / snr / 2 AS noise_std FROM (SELECT m.pid, c.year, intercept + slope * c.x AS estimated, snr FROM amod m JOIN means c USING (field, lat, lon, seasonality) SEMI JOIN aobs o ON o.pid = m.pid AND o.year = c.year))",
+    sobs="SELECT * FROM site_obs WHERE pid % 2 = 1 AND value IS NOT NULL",
+    aobs=f"SELECT pid, d::INT AS year, avg(value) AS y, {_OWN} FROM samples WHERE pid % 2 = 0 GROUP BY 1, 2",
+    means=_means_sql(),
+    spairs=f"SELECT o.pid, o.year, o.season, o.value AS y, c.value AS x, c.field, c.lat, c.lon, (c.field = 'tos')::INT AS candidate FROM (SELECT *, {_OWN} FROM sobs) o JOIN site_cells c ON c.lat = o.lat AND c.lon = o.lon AND c.year = o.year AND c.season = o.season WHERE c.field = 'tas' OR pid % 3 = 0",
+    scal=_calibrated("pid, season, field, candidate, lat, lon", "year", "spairs"),
+    smod=_SEASON_MODELS,
+    apairs="SELECT a.pid, a.year, a.y, m.x, m.field, m.seasonality, lat, lon, (m.field = 'tos')::INT AS candidate FROM aobs a JOIN means m USING (lat, lon, year) WHERE m.field = 'tas' OR a.pid % 3 = 0",
+    acal=_calibrated("pid, field, candidate, seasonality, lat, lon", "year", "apairs"),
+    amod=_YEAR_MODELS,
+)
+def pseudo_obs_network(s, d):
+    """A network of seasonal (odd) and annual (even) records copied with its seasonality; the noise is left to its tests."""
+    sites, cells, near = v.sites(s, d), v.site_cells(s, d), _nearest(s, d)
+    odd = v.site_obs(s, d).where("pid % 2 = 1")
+    even = proxies.annual(v.samples(s, d).where("pid % 2 = 0"))
+    seasonal = proxies.calibrate_seasonal(sites, odd, cells, near, min_overlap=8)
+    annual = proxies.calibrate_annual(sites, even, cells, near)
+    obs = odd.select("pid", "year", "season", "value").unionByName(even.select("pid", "year", F.lit(None).cast("int").alias("season"), "value"))
+    rows, _ = proxies.pseudo_network(obs, seasonal, annual, cells, snr_scale=2.0)
+    return rows.select("pid", "year", F.coalesce("season", F.lit(-1)).alias("season"), "estimated", "noise_std")
+
+
 @query()
 def pseudo_obs_lattice(s, d):
     sites = spatial.lattice(s, 20.0, 30.0, 2)

@@ -290,9 +290,15 @@ def test_forward_model_values(spark):
     assert np.allclose(got, 3 + 5 * np.linspace(0, 10, 20))
 
 
-def test_split_is_seeded_and_whole():
-    a, b = proxies.split([f"p{k}" for k in range(50)], 0.8)
-    assert len(a) == 40 and sorted(a + b) == sorted(f"p{k}" for k in range(50)) and proxies.split([f"p{k}" for k in range(50)], 0.8) == (a, b) != proxies.split([f"p{k}" for k in range(50)], 0.8, 1)
+def test_split_is_seeded_and_whole(spark):
+    sites = spark.createDataFrame([(f"p{k}", k) for k in range(50)], "pid string, n int").repartition(4)
+    draw = lambda seed=0: {r["pid"] for r in proxies.split_sites(sites, 0.8, seed).where("assimilated").collect()}
+    assert proxies.split_sites(sites, 0.8).count() == 50
+    assert len(draw()) == 40 and draw() == draw() != draw(1)
+    assert proxies.split_sites(sites, 0.0).where("assimilated").count() == 0 and proxies.split_sites(sites, 1.0).where("assimilated").count() == 50
+    members = spark.createDataFrame([(e, k) for e in range(9) for k in range(3)], "ens int, k int")
+    some = [sorted({r["ens"] for r in proxies.subsample(members, 4, seed).collect()}) for seed in (0, 0, 1)]
+    assert len(some[0]) == 4 and some[0] == some[1] != some[2] and proxies.subsample(members, 4).count() == 12
 
 
 # -- linear models ----------------------------------------------------------
