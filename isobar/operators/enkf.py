@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .linear import sized
+
 
 def update(prior: DataFrame, estimate: DataFrame, obs: float, error_std: float, state: list[str], ens: str = "ens", value: str = "value", localization: DataFrame | None = None) -> DataFrame:
     """Posterior of ``prior(state, ens, value)`` after one observation.
@@ -21,7 +23,7 @@ def update(prior: DataFrame, estimate: DataFrame, obs: float, error_std: float,
     a member); ``localization(state, loc)`` scales the gain of state rows.
     """
     stats = estimate.agg(F.avg("y").alias("ym"), (F.var_samp("y") + error_std**2).alias("iv"))
-    y = F.broadcast(estimate.crossJoin(F.broadcast(stats)))  # one row a member
+    y = sized(estimate.crossJoin(F.broadcast(stats)))  # one row a member, and one in all
     rows = prior.join(y, ens)
     w = Window.partitionBy(*state)
     gain = F.covar_samp(F.col(value), F.col("y")).over(w) / F.col("iv")

@@ -1,8 +1,8 @@
 """Matrix views of field tables: state vectors, EOFs, covariances.
 
 A matrix is a long table of state columns, sample columns and ``x``.  Products
-over samples are summed inside partitions and then by row, so only matrices of
-the smaller side's size (at most ``SIDE`` squared) reach the driver.  States
+over samples are summed inside partitions and then in a tree (``sums``), so only
+matrices of the smaller side's size (at most ``SIDE`` squared) reach the driver.  States
 may be more than that where samples are not: they are numbered without a
 window, and the driver holds their labels and modes (``CELLS`` numbers at most).
 """
@@ -14,15 +14,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from .sums import STRIP, panels, salted, strips, summed
 
 #: Largest side of a matrix that is solved on the driver (0.5 GB of doubles at 8192).
 SIDE = 8192
 #: Largest number of entries of the modes of a fit (0.5 GB of doubles).
 CELLS = 1 << 26
-#: Rows of a table that are sent to every task.
-BROADCAST_ROWS = 1 << 20
+#: Bytes of a table that is sent to every task.
+BROADCAST_BYTES = 64 << 20
 
 
 def stack_state(df: DataFrame, state: list[str], sample: list[str], value: str = "value") -> DataFrame:
@@ -59,29 +63,29 @@ def indexed(df: DataFrame, names: list[str], most: int | None = None) -> tuple[D
 
 
 def sized(table: DataFrame) -> DataFrame:
-    """``table`` to be broadcast where it is small (counted first)."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """``table`` to be broadcast where it is small: its rows are counted, with the entries of their arrays."""
+    arrays = [f.name for f in table.schema if isinstance(f.dataType, ArrayType)]
+    entries = F.coalesce(F.sum(sum((F.size(F.col(f"`{c}`")) for c in arrays), F.lit(0)).cast("bigint")), F.lit(0))
+    held = table.agg(F.count(F.lit(1)).alias("n"), entries.alias("m")).first()
+    return F.broadcast(table) if 8 * (held["n"] * (2 + len(table.columns)) + held["m"]) <= BROADCAST_BYTES else table
 
 
 def _products(vectors: DataFrame, n: int) -> np.ndarray:
     """Sum of ``v v'`` over rows ``(i array<int>, x array<double>)``."""
+    height = max(1, STRIP // max(n, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for _, m in panels(batches, n):
+            total = m.T @ m if total is None else np.add(total, m.T @ m, out=total)
+        if total is not None:
+            for s, v in strips(total, height):
+                yield pa.record_batch([pa.array([s], pa.int32()), pa.array([v], pa.binary())], names=["strip", "v"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, any_rows = np.zeros((n, n)), False
-        for b in batches:
-            for s in range(0, len(b), 1024):
-                part = b.iloc[s : s + 1024]
-                m = np.zeros((len(part), n))
-                for k, (i, x) in enumerate(zip(part["i"], part["x"], strict=True)):
-                    m[k, i] = x
-                total += m.T @ m
-                any_rows = True
-        if any_rows:
-            yield pd.DataFrame({"r": np.arange(n, dtype=np.int32), "v": list(total)})
-
-    rows = vectors.mapInPandas(run, "r int, v array<double>").selectExpr("r", "posexplode(v) as (c, v)").groupBy("r", "c").agg(F.sum("v").alias("v")).toPandas()
     out = np.zeros((n, n))
-    out[rows["r"], rows["c"]] = rows["v"]
+    for r in summed(salted(vectors.select("i", "x").mapInArrow(run, "strip int, v binary"))).toLocalIterator():
+        part = np.frombuffer(r["v"]).reshape(-1, n)
+        out[r["strip"] * height : r["strip"] * height + len(part)] = part
     return out
 
 
@@ -244,17 +248,27 @@ def lag_covariance(df: DataFrame, state: str, sample: str, lag: int = 1, x: str
     order = vec.select(F.col(sample).alias("k"), "a")
     pairs = order.select("k", F.col("a").alias("x0")).join(order.select((F.col("k") - lag).alias("k"), F.col("a").alias("x1")), "k")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c0, ct, m = np.zeros((n, n)), np.zeros((n, n)), 0
-        for b in batches:
-            if len(b):
-                x0, x1 = np.vstack(b["x0"]), np.vstack(b["x1"])
-                c0 += x0.T @ x0
-                ct += x1.T @ x0
-                m += len(b)
-        if m:
-            i, j = np.divmod(np.arange(n * n), n)
-            yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "c0": c0.ravel(), "ct": ct.ravel(), "m": m})
-
-    sums = pairs.mapInPandas(run, "i int, j int, c0 double, ct double, m long").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("c0", "ct", "m")])
-    return sums.select("i", "j", (F.col("c0") / (F.col("m") - 1)).alias("c0"), (F.col("ct") / (F.col("m") - 1)).alias("ct"))
+    height = max(1, STRIP // max(2 * n, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, m = np.zeros((n, 2, n)), 0
+        for rb in batches:
+            if rb.num_rows:
+                x0, x1 = (rb.column(k).flatten().to_numpy(zero_copy_only=False).reshape(rb.num_rows, n) for k in (0, 1))
+                both[:, 0] += x0.T @ x0
+                both[:, 1] += x1.T @ x0
+                m += rb.num_rows
+        if m:  # the number of pairs goes with each strip
+            for k in range(0, n, height):
+                yield pa.record_batch([pa.array([k // height], pa.int32()), pa.array([np.r_[m, both[k : k + height].ravel()].tobytes()], pa.binary())], names=["strip", "v"])
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for s, v in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(v)
+                both = x[1:].reshape(-1, 2, n) / (x[0] - 1)
+                i, j = np.divmod(np.arange(len(both) * n), n)
+                yield pa.record_batch([pa.array((i + s * height).astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(both[:, 0].ravel()), pa.array(both[:, 1].ravel())], names=["i", "j", "c0", "ct"])
+
+    sums = summed(salted(pairs.select("x0", "x1").mapInArrow(run, "strip int, v binary")))
+    return sums.mapInArrow(entries, "i int, j int, c0 double, ct double")

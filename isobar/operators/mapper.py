@@ -185,8 +185,11 @@ class Mapper:
             w = np.sqrt(np.cos(np.radians([s[0] for s in e.states])))
             n, k = len(w), starts[f] + self._has_mean(f)
             step = np.zeros((reduce_.shape[1], n))
-            centre = np.eye(n) - np.tile(w**2 / (w**2).sum(), (n, 1)) if self._has_mean(f) else np.eye(n)
-            step[k : k + e.u.shape[1]] = (e.u.T / np.sqrt(e.retained)) @ (centre * w[:, None]) / self.std[(f, None)]
+            # Weighted modes; of the centred field, so their sum times the mean's weights goes off, without a matrix of cells by cells.
+            own = e.u.T / np.sqrt(e.retained) * w
+            if self._has_mean(f):
+                own = own - np.outer(own.sum(axis=1), w**2 / (w**2).sum())
+            step[k : k + e.u.shape[1]] = own / self.std[(f, None)]
             if self._has_mean(f):
                 step[starts[f]] = w**2 / (w**2).sum() / self.mean_std[(f, None)]
             forward[:, at : at + n] = reduce_ @ step

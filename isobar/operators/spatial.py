@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import haversine_km
 
-#: Rows of a grid or weight table that may be broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a grid or weight table that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows."""
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, of plain columns, marked for broadcast if its rows are few enough."""
+    limit = BROADCAST_BYTES // (8 * (2 + len(df.columns)))
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 

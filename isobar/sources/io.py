@@ -508,7 +508,14 @@ def save_once(df: DataFrame, path: str) -> bool:
 
 
 def save_states(df: DataFrame, path: str) -> None:
-    """State rows by iteration and century, appended."""
+    """State rows by iteration and century, appended; states that are there already are refused."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p):
+        keys = [c for c in ("iteration", "year", "season", "month") if c in df.columns]
+        again = spark.read.parquet(path).select(*keys).distinct().join(df.select(*keys).distinct(), keys, "left_semi").limit(1).collect()
+        if again:
+            raise ValueError(f"state {again[0].asDict()} is in {path} already")
     df.withColumn("century", F.floor(F.col("year") / 100).cast("int")).write.mode("append").partitionBy("iteration", "century").parquet(path)
 
 

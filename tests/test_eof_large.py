@@ -83,3 +83,30 @@ def test_twenty_thousand_squared(spark):
     np.testing.assert_allclose(fit.s, size, rtol=1e-4)
     first = fit.modes.select("k", F.col("u")[0].alias("u")).toPandas().set_index("k")["u"].sort_index().to_numpy()
     assert abs(first @ left[:, 0]) > 1 - 1e-5
+
+
+def test_products_meet_in_strips(spark, monkeypatch):
+    """Gram matrices and lagged covariances from strips of few rows are those of NumPy."""
+    from isobar.operators import sums
+
+    monkeypatch.setattr(linear, "STRIP", 40)
+    monkeypatch.setattr(sums, "FAN", 2)
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(9, 30))
+    df = spark.createDataFrame([(i, t, float(a[i, t])) for i in range(9) for t in range(30)], "state int, t bigint, x double").repartition(9)
+    fit = linear.eof_fit(df, ["state"], ["t"], 3)
+    np.testing.assert_allclose(fit.s, np.linalg.svd(a, compute_uv=False)[:3], rtol=1e-9)
+    cov = linear.lag_covariance(df, "state", "t", 2).toPandas().sort_values(["i", "j"])
+    np.testing.assert_allclose(cov["c0"].to_numpy().reshape(9, 9), a[:, :-2] @ a[:, :-2].T / 27, atol=1e-12)
+    np.testing.assert_allclose(cov["ct"].to_numpy().reshape(9, 9), a[:, 2:] @ a[:, :-2].T / 27, atol=1e-12)
+
+
+def test_states_that_exist_are_refused(spark, tmp_path):
+    from isobar.sources import io
+
+    rows = spark.createDataFrame([(0, y, q, 1.5) for y in (1, 2) for q in range(4)], "iteration int, year int, season int, x double")
+    io.save_states(rows, str(tmp_path / "s"))
+    io.save_states(rows.withColumn("year", F.col("year") + 2), str(tmp_path / "s"))
+    with pytest.raises(ValueError, match="already"):
+        io.save_states(rows.where("year = 2").withColumn("x", F.lit(0.0)), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 16
