@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import EARTH_RADIUS_M
-from ..operators import enkf_blocks, eof_large, linear, verification
+from ..operators import curvilinear, enkf_blocks, eof_large, linear, resample, spatial, verification
 from ..operators.lim import Lim
 from ..sources import storage, zarr
 from . import cycle
@@ -115,6 +115,92 @@ def reconstruction_blocks(s, d):
     return run.posterior().join(space.select("key", "lat", "lon"), "key").select("step", "lat", "lon", mean.alias("posterior"))
 
 
+# -- curvilinear grids ------------------------------------------------------------
+
+#: North pole of the rotated source grid.
+_POLE = (50.0, 20.0)
+
+
+def _rotation() -> dict[str, str]:
+    """Views: the rotated cells, their quadrilaterals, and the place of every target in every one of them."""
+    p, q = (math.radians(x) for x in _POLE)
+    xyz = "cos(radians({0})) * cos(radians({1})) AS {2}1, cos(radians({0})) * sin(radians({1})) AS {2}2, sin(radians({0})) AS {2}3".format
+    corner = {"p": "a", "q": "b", "s": "c", "r": "d"}
+    front = ", ".join(f"{k}1 * n1 + {k}2 * n2 + {k}3 * n3 AS {k}f" for k in "abcd")
+    flat = ", ".join(f"({k}2 * cos(o) - {k}1 * sin(o)) / nullif({k}f, 0) AS {k}u, ({k}3 * cos(l) - {k}1 * sin(l) * cos(o) - {k}2 * sin(l) * sin(o)) / nullif({k}f, 0) AS {k}v" for k in "abcd")
+    place = lambda n: f"-((au + t{n} * cu) * (bu + t{n} * du) + (av + t{n} * cv) * (bv + t{n} * dv)) / nullif(power(bu + t{n} * du, 2) + power(bv + t{n} * dv, 2), 0) AS s{n}"
+    here = lambda n: f"coalesce(least(s{n}, t{n}) >= -1e-9 AND greatest(s{n}, t{n}) <= 1 + 1e-9 AND disc >= 0 AND least(af, bf, cf, df) > 1e-6, FALSE)"
+    return {
+        "gx": f"SELECT cell, lat, lon, {xyz('lat', 'lon', 'g')} FROM grid",
+        "gr": f"SELECT cell % 5 AS i, cell // 5 AS j, lat AS lat0, lon AS lon0, degrees(asin(least(1e0, greatest(-1e0, {-math.cos(p)!r} * g1 + {math.sin(p)!r} * g3)))) AS lat, ((degrees(atan2({math.sin(q)!r} * ({math.sin(p)!r} * g1 + {math.cos(p)!r} * g3) + {math.cos(q)!r} * g2, {math.cos(q)!r} * ({math.sin(p)!r} * g1 + {math.cos(p)!r} * g3) - {math.sin(q)!r} * g2)) % 360) + 360) % 360 AS lon FROM gx",
+        "quad": "SELECT p.i AS i, p.j AS j, " + ", ".join(f"{t}.lat0 AS {k}lat0, {t}.lon0 AS {k}lon0, " + xyz(f"{t}.lat", f"{t}.lon", k) for t, k in corner.items()) + " FROM gr p JOIN gr q ON q.i = (p.i + 1) % 5 AND q.j = p.j JOIN gr s ON s.i = q.i AND s.j = p.j + 1 JOIN gr r ON r.i = p.i AND r.j = p.j + 1",
+        "tg": f"SELECT (m // 9 * 20 - 80)::DOUBLE AS to_lat, (m % 9 * 40 + 20)::DOUBLE AS to_lon, radians(to_lat) AS l, radians(to_lon) AS o, {xyz('to_lat', 'to_lon', 'n')} FROM range(81) x(m)",
+        "h1": f"SELECT *, {front} FROM tg CROSS JOIN quad",
+        "h2": f"SELECT *, {flat} FROM h1",
+        "h3": "SELECT * EXCLUDE (bu, bv, cu, cv, du, dv), bu - au AS bu, bv - av AS bv, du - au AS cu, dv - av AS cv, au - bu - du + cu AS du, av - bv - dv + cv AS dv FROM h2",
+        "h4": "SELECT *, cu * dv - cv * du AS k2, au * dv - av * du + cu * bv - cv * bu AS k1, au * bv - av * bu AS k0, k1 * k1 - 4 * k2 * k0 AS disc, -(k1 + CASE WHEN k1 < 0 THEN -1 ELSE 1 END * sqrt(greatest(disc, 0))) / 2 AS q FROM h3",
+        "h5": f"SELECT *, k0 / nullif(q, 0) AS t1, q / nullif(k2, 0) AS t2, {place(1)}, {place(2)} FROM h4",
+        "h6": f"SELECT *, least(1, greatest(0, CASE WHEN {here(1)} THEN s1 ELSE s2 END)) AS s, least(1, greatest(0, CASE WHEN {here(1)} THEN t1 ELSE t2 END)) AS t FROM h5 WHERE {here(1)} OR {here(2)} QUALIFY row_number() OVER (PARTITION BY to_lat, to_lon ORDER BY j, i) = 1",
+        "cw": " UNION ALL ".join(f"SELECT {k}lat0 AS lat, {k}lon0 AS lon, to_lat, to_lon, {w} AS w FROM h6" for k, w in (("a", "(1 - s) * (1 - t)"), ("b", "s * (1 - t)"), ("c", "s * t"), ("d", "(1 - s) * t"))),
+    }
+
+
+@query(
+    "SELECT field, year, season, to_lat AS lat, to_lon AS lon, r{CASE WHEN 1 - coalesce(sum(CASE WHEN value IS NOT NULL THEN w END), 0) / sum(w) <= 0.75e0 THEN sum(w * value) / sum(CASE WHEN value IS NOT NULL THEN w END) END} AS value FROM seas JOIN cw USING (lat, lon) WHERE w > 1e-12 GROUP BY 1, 2, 3, 4, 5",
+    **_rotation(),
+)
+def regrid_curvilinear(s, d):
+    """The cells as points of a rotated grid, on a regular one."""
+    cells = v.grid(s)
+    lat, lon = curvilinear.rotated(F.col("lat"), F.col("lon"), *_POLE)
+    grid = cells.select((F.col("cell") % 5).cast("long").alias("i"), F.floor(F.col("cell") / 5).cast("long").alias("j"), lat.alias("lat"), lon.alias("lon"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"))
+    weights = curvilinear.curvilinear_weights(grid.select("i", "j", "lat", "lon"), spatial.regular_grid(s, -90, 90, 20, 0, 360, 40))
+    place = storage.written(grid.select("lat", "lon", "lat0", "lon0"))
+    field = v.seasonal(s, d).withColumnsRenamed({"lat": "lat0", "lon": "lon0"}).join(F.broadcast(place), ["lat0", "lon0"])  # 25 cells
+    return spatial.regrid(field, weights, ["field", "year", "season"])
+
+
+# -- fields that grow with the tables ---------------------------------------------
+
+_FINE = {
+    "fine": "SELECT 'tas' AS field, ((c_custkey % 360) * 0.5e0 - 89.75e0) AS lat, (((c_custkey // 360) % 720) * 0.5e0 + 0.25e0) AS lon, (year(o_orderdate) + (month(o_orderdate) = 12)::INT)::INT AS year, (month(o_orderdate) % 12 // 3)::INT AS season, avg(o_totalprice) / 99991e0 AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
+    "coarse": "SELECT *, floor(lat / 5) * 5 + 2.5e0 AS to_lat, floor(lon / 5) * 5 + 2.5e0 AS to_lon, sin(radians(lat + 0.25e0)) - sin(radians(lat - 0.25e0)) AS w FROM fine",
+}
+
+
+def _fine(s: SparkSession, d: str) -> DataFrame:
+    """A cell of half a degree for every customer (259,200 before they share), its orders by season."""
+    o = v.read(s, d, "orders").join(v.read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    k, m, y = F.col("c_custkey"), F.month("o_orderdate"), F.year("o_orderdate")
+    cell = o.select(F.lit("tas").alias("field"), ((k % 360) * 0.5 - 89.75).alias("lat"), ((F.floor(k / 360) % 720) * 0.5 + 0.25).alias("lon"), (y + (m == 12).cast("int")).alias("year"), F.floor((m % 12) / 3).cast("int").alias("season"), "o_totalprice")
+    return cell.groupBy("field", "lat", "lon", "year", "season").agg((F.avg("o_totalprice") / 99991.0).alias("value"))
+
+
+@query("SELECT field, year, season, to_lat AS lat, to_lon AS lon, r{sum(w * value) / sum(w)} AS value FROM coarse GROUP BY ALL", **_FINE)
+def regrid_conservative_fine(s, d):
+    """From half a degree to five degrees."""
+    x = _fine(s, d)
+    weights = spatial.conservative_weights(x.select("lat", "lon"), spatial.regular_grid(s, -90, 90, 5, 0, 360, 5), 0.5, 0.5, 5, 5)
+    return spatial.regrid(x, weights, ["field", "year", "season"])
+
+
+@query(
+    "SELECT r{sum(c.c * p.c) * any_value(total) / any_value(n)} AS first, r{any_value(total) / any_value(n)} AS retained FROM gc c JOIN c14 p USING (i, j) CROSS JOIN (SELECT sum(CASE WHEN i = j THEN c END) AS total FROM gram) CROSS JOIN (SELECT count(DISTINCT year * 4 + season) - 1 AS n FROM fine)",
+    **_FINE,
+    change="SELECT lat, lon, year * 4 + season AS k, value - avg(value) OVER (PARTITION BY lat, lon, season) AS x FROM fine",
+    gram="SELECT a.k AS i, b.k AS j, sum(a.x * b.x) AS c FROM change a JOIN change b USING (lat, lon) GROUP BY 1, 2",
+    gc="SELECT i, j, c / sum(CASE WHEN i = j THEN c END) OVER () AS c FROM gram",
+    **{f"c{k + 1}": f"SELECT i, j, c / sum(CASE WHEN i = j THEN c END) OVER () AS c FROM (SELECT a.i AS i, b.j AS j, sum(a.c * b.c) AS c FROM {f'c{k}' if k else 'gc'} a JOIN {f'c{k}' if k else 'gc'} b ON a.j = b.i GROUP BY 1, 2)" for k in range(14)},
+)
+def eof_large_fine(s, d):
+    """Variance of the first mode of the anomalies of all cells, and of all modes; gaps count as 0."""
+    x = resample.anomalize(_fine(s, d), "season").select("lat", "lon", "year", "season", F.col("value").alias("x"))
+    n = x.select("year", "season").distinct().count()
+    fit = eof_large.eof_fit_large(x, ["lat", "lon"], ["year", "season"], 2, oversample=n, tolerance=1e-12)
+    whole = x.agg((F.sum(F.col("x") * F.col("x")) / (n - 1)).alias("retained"))
+    return whole.select(F.lit(float(fit.variance[0])).alias("first"), "retained")
+
+
 # -- EOF ------------------------------------------------------------------------
 
 
