@@ -125,8 +125,9 @@ def later_runs(chunks: DataFrame) -> DataFrame:
     dropped(shared)
     first = F.min(F.struct("doc", "chunk"))
     # First copies are found by an aggregate and met by a join: no run is gathered in a group.  Both sides take the
-    # same columns, so that they read one shuffle; the last two conditions hold for every row.
-    dealt = sent.where("not hot").select("one", "two", "chunk", "doc", "place").repartition("one", "two")
+    # same columns and filters, so that they read one shuffle; what is asked for nulls and last holds for every row.
+    dealt = sent.where("not hot and one is not null and two is not null and chunk is not null and place is not null")
+    dealt = dealt.select("one", "two", "chunk", "doc", "place").repartition("one", "two")
     found = dealt.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times"), first.alias("first"), F.max("place").alias("last")).where("times > 1")
     always = F.col("place") <= F.col("last"), F.coalesce(F.col("doc") >= F.col("first.doc"), F.lit(True))
     later = dealt.join(found, ["one", "two"]).where((F.col("chunk") != F.col("first.chunk")) & always[0] & always[1]).select("chunk", "place")
