@@ -7,7 +7,8 @@ frame and by its own transpose, and adds the products up in a tree: neither the
 Gram matrix of a side nor the matrix itself is ever in one place.  At the end
 the rows of ``A Q`` stay where they are: each partition reduces its own to a
 triangle by QR, triangles meet in a tree, and the SVD of the last one turns the
-frame and the rows into singular vectors.
+frame and the rows into singular vectors.  Where the spectrum is flat, so that
+passes gain little, the frame grows; one as wide as the smaller side is exact.
 
 The driver and each task hold a frame: the smaller side times ``rank +
 oversample`` numbers, ``CELLS`` at most.  Modes over the larger side are a
@@ -28,6 +29,9 @@ from ..sources.storage import written
 from .linear import CELLS
 from .sums import STRIP, panels, salted, strips, summed
 
+#: Passes that a frame may still need; one that needs more is doubled.
+AHEAD = 8
+
 
 def gram_product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """``A' (A q)`` over rows ``(i, x)``; one pass."""
@@ -99,24 +103,32 @@ def leading(rows: DataFrame, n: int, rank: int, oversample: int = 10, tolerance:
     """``(s, right vectors [n, rank], map from A q to left vectors, passes)`` of rows ``(i, x)``.
 
     The frame's random numbers depend on the seed alone.  Passes end when the
-    singular values change by less than ``tolerance`` of the first one; where
-    they have not after ``most`` passes, an error says so.
+    singular values change by less than ``tolerance`` of the first one.  A frame
+    that shrinks the change too slowly for this is doubled (``n`` vectors and
+    ``CELLS`` numbers at most); where values still change after ``most`` passes,
+    an error says so.
     """
     k = min(rank + oversample, n)
     if n * k > CELLS:
         raise ValueError(f"{n} columns by {k} vectors: a frame may have {CELLS} numbers")
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n, k)))[0]
-    before, passes = None, 0
+    rng = np.random.default_rng(seed)
+    q = np.linalg.qr(rng.normal(size=(n, k)))[0]
+    before, change, passes = None, None, 0
     while True:
         z = gram_product(rows, q)
         passes += 1
         q, r = np.linalg.qr(z)
         now = np.sqrt(np.linalg.svd(r, compute_uv=False))[:rank]
-        if k == n or (before is not None and np.abs(now - before).max() <= tolerance * max(now[0], 1e-300)):
+        last, change = change, None if before is None else np.abs(now - before).max() / max(now[0], 1e-300)
+        if k == n or (change is not None and change <= tolerance):
             break
         if passes == most:
             raise ValueError(f"singular values still change after {most} passes: ask for fewer modes or more oversampling")
         before = now
+        wide = min(2 * k, n, CELLS // n)
+        if last and wide > k and change > tolerance * (last / change) ** AHEAD:
+            q = np.linalg.qr(np.hstack([q, rng.normal(size=(n, wide - k))]))[0]
+            k, change = wide, None
     _, s, vt = np.linalg.svd(triangle(rows, n, q))
     s, vt = s[:rank], vt[:rank]
     right = q @ vt.T

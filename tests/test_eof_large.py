@@ -61,6 +61,17 @@ def test_a_flat_spectrum_is_refused(spark):
         eof_large.eof_fit_rows(rows, ["k"], 5, oversample=2, most=3, tolerance=1e-12)
 
 
+def test_a_flat_spectrum_widens_the_frame(spark):
+    """Many samples of noise: a frame of 30 of 40 columns would not settle in 60 passes."""
+    a = np.random.default_rng(4).normal(size=(6000, 40))
+    rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(a)], "k int, values array<double>").repartition(5)
+    fit = eof_large.eof_fit_rows(rows, ["k"], 3, oversample=27, tolerance=1e-14)
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    np.testing.assert_allclose(fit.s, s[:3], rtol=1e-12)
+    first = fit.modes.select("k", F.col("u")[0].alias("u")).toPandas().set_index("k")["u"].sort_index().to_numpy()
+    assert fit.passes < 10 and abs(abs(first @ u[:, 0]) - 1) < 1e-9
+
+
 def test_twenty_thousand_squared(spark):
     """A known product of 20 modes and noise; 3.2 GB that are never in one place."""
     n, rank = 20_000, 20
