@@ -9,16 +9,21 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as ta
-from ..functions.scalar import haversine_km
+from ..functions.scalar import EARTH_RADIUS_M
+from ..sources.storage import written
+from .linear import sized
 
 #: Least common samples, least correlation, largest autocorrelation of the residuals.
 MIN_OVERLAP, MIN_CORR, MAX_ACOR = 25, 0.05, 0.9
 #: The seasonalities tried for annual records.
 SEASONALITIES: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3), (3, 0, 1, 2), (2, 3, 0, 1), (1, 2, 3, 0), (2,), (1, 2), (2, 3), (0,), (3, 0), (0, 1))
+#: Observations of a part of a box; degrees of longitude of a box; records of a tile of products.
+ENTRIES, _WIDE, _TILE = 1 << 19, 15.0, 512
 MARINE = ("marine", "coral", "bivalve")
 
 
@@ -54,28 +59,135 @@ def duplicates(sites: DataFrame, obs: DataFrame, min_corr: float = 0.999, max_km
     of equally long ones that for which ``prefer`` (a column of ``sites``)
     holds, else the later pid.
 
-    Candidates meet in boxes of latitude (a record is sent to its box and the
-    next), so records on other continents never do.
+    Records meet in boxes of latitude and longitude, split into parts of
+    ``ENTRIES`` observations; each pair of parts that may hold near records is a
+    task that compares them by matrix products and hands out the records to
+    drop, so that no row is sent for a pair of records or for their common times.
     """
     time = time or ["year", "season"]
     step = 10.0  # degrees; more than max_km on a meridian
     if max_km > step * 111:
         step = max_km / 111 + 1
-    size = obs.where("value is not null").groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
-    s = sites.withColumn("_f", (prefer if prefer is not None else F.lit(False)).cast("int")).join(size, "pid").select("pid", "ptype", F.round("dt", 4).alias("dt"), "lat", "lon", "n", "_f", F.floor(F.col("lat") / step).alias("_b"))
-    a = s.select(*[F.col(c).alias(f"{c}_a") if c not in ("ptype", "dt") else F.col(c) for c in s.columns]).withColumn("box", F.explode(F.array(F.col("_b_a") - 1, F.col("_b_a"), F.col("_b_a") + 1)))
-    b = s.select(*[F.col(c).alias(f"{c}_b") if c not in ("ptype", "dt") else F.col(c) for c in s.columns]).withColumn("box", F.col("_b_b"))
-    near = a.join(b, ["ptype", "dt", "box"]).where((F.col("pid_a") < F.col("pid_b")) & (haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= max_km))
+    o = obs.where("value is not null")
+    size = o.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    times = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in time])
     if identical:
-        series = obs.where("value is not null").groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct(*time, "value"))), lambda x: F.round(x["value"], 8)).alias("v"))
-        same = near.where("n_a = n_b").join(series.select(F.col("pid").alias("pid_a"), F.col("v").alias("va")), "pid_a").join(series.select(F.col("pid").alias("pid_b"), F.col("v").alias("vb")), "pid_b").where("va = vb")
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct(*time, "value"))), lambda x: F.round(x["value"], 8) + F.lit(0.0))
+        series = o.groupBy("pid").agg(F.sha2(F.to_json(in_order), 256).alias("_v"))
+        alike, held, entries = ["ptype", "dt", "n", "_v"], [], F.lit(1)
     else:
-        o = obs.where("value is not null").select("pid", *time, "value")
-        pairs = near.join(o.withColumnRenamed("pid", "pid_a").withColumnRenamed("value", "x"), "pid_a").join(o.withColumnRenamed("pid", "pid_b").withColumnRenamed("value", "y"), ["pid_b", *time])
-        keys = ["pid_a", "pid_b", "n_a", "n_b", "_f_a", "_f_b"]
-        same = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.corr("x", "y").alias("r")).where((F.col("m") >= min_overlap) & (F.col("r") > min_corr))
-    drop_b = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("_f_a") == 1))
-    return same.select(F.when(drop_b, F.col("pid_b")).otherwise(F.col("pid_a")).alias("pid")).distinct()
+        dated = o.where(F.concat(*[F.col(c).cast("string") for c in time]).isNotNull())  # no time, no common one
+        series = dated.groupBy("pid").agg(F.collect_list(F.struct(times.alias("t"), F.col("value").cast("double").alias("x"))).alias("_o")).select("pid", F.col("_o.t").alias("t"), F.col("_o.x").alias("x"))
+        alike, held, entries = ["ptype", "dt"], ["t", "x"], F.col("n")
+    listed = sites.groupBy("pid").agg(F.count(F.lit(1)).alias("_k"))
+    s = sites.withColumn("_f", (prefer if prefer is not None else F.lit(False)).cast("int")).join(size, "pid").join(listed, "pid").join(series, "pid")
+    boxes = F.floor(F.col("lat") / step).cast("int").alias("_y"), F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / _WIDE).cast("int").alias("_x")
+    s = written(s.select("pid", "ptype", F.round("dt", 4).alias("dt"), "lat", "lon", "n", "_k", "_f", *boxes, *[c for c in ("_v",) if identical], *held))
+    cell = [*alike, "_y", "_x"]
+    cells = s.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows"), F.ceil(F.sum(entries) / ENTRIES).cast("int").alias("_parts"))
+    meet = written(_meetings(cells, alike, step, max_km))
+    rows = s.join(sized(cells.select(*cell, "_parts")), cell).withColumn("_p", F.pmod(F.xxhash64("pid"), F.col("_parts")).cast("int"))
+    task = ["_ya", "_xa", "_pa", "_yb", "_xb", "_pb"]
+    sent = rows.join(sized(meet), [*cell, "_p"]).select(*alike, *task, "_side", "pid", "lat", "lon", *[c for c in ("n", "_k", "_f") if c not in alike], *held)
+
+    def run(table: pa.Table) -> pa.Table:
+        return _losers(table, min_corr, max_km, min_overlap, identical)
+
+    kind = sites.schema["pid"].dataType.simpleString()
+    lost = sent.groupBy(*alike, *task).applyInArrow(run, f"pid {kind}, other {kind}, m bigint")
+    # A pid that is listed at several places may have its common times in several tasks.
+    return lost.groupBy("pid", "other").agg(F.sum("m").alias("m")).where(F.col("m") >= min_overlap).select("pid").distinct()
+
+
+def _meetings(cells: DataFrame, alike: list[str], step: float, max_km: float) -> DataFrame:
+    """Parts of boxes ``(alike, _y, _x, _p, _side)`` by the pairs of parts ``(_ya, ..., _pb)`` in which records may be near."""
+    parts = cells.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    a = parts.select(*alike, *[F.col(c).alias(f"{c}a") for c in ("_y", "_x", "_p")], "_rows").withColumn("_yb", F.explode(F.array("_ya", F.col("_ya") + 1)))
+    b = parts.select(*alike, *[F.col(c).alias(f"{c}b") for c in ("_y", "_x", "_p")])
+    at, to = F.struct("_ya", "_xa", "_pa"), F.struct("_yb", "_xb", "_pb")
+    around = F.abs(F.col("_xa") - F.col("_xb"))
+    gap = F.greatest(F.least(around, int(360 / _WIDE) - around) - 1, F.lit(0)) * _WIDE
+    low = [F.cos(F.radians(F.least(F.greatest(F.abs(F.col(y)), F.abs(F.col(y) + 1)) * step, F.lit(90.0)))) for y in ("_ya", "_yb")]
+    most = np.sin(min(max_km / (2 * EARTH_RADIUS_M / 1e3), np.pi / 2)) ** 2 + 1e-9
+    pairs = a.join(b, [*alike, "_yb"]).where((low[0] * low[1] * F.sin(F.radians(gap) / 2) ** 2 <= most) & ((at < to) | ((at == to) & (F.col("_rows") > 1))))
+    ends = [F.struct(F.lit(k).alias("_side"), *[F.col(f"{c}{e}").alias(c) for c in ("_y", "_x", "_p")]) for k, e in enumerate("ab")]
+    both = pairs.withColumn("_e", F.explode(F.when(at == to, F.array(ends[0])).otherwise(F.array(*ends))))
+    return both.select(*alike, "_ya", "_xa", "_pa", "_yb", "_xb", "_pb", "_e.*")
+
+
+def _losers(table: pa.Table, min_corr: float, max_km: float, min_overlap: int, identical: bool) -> pa.Table:
+    """``pid, other, m``: records of two parts (or within one) that lose against another.
+
+    With ``min_overlap`` common times the other is not told (``other`` is
+    ``pid``); with fewer it is, where one of the two is listed more than once.
+    """
+    pid, side = table.column("pid").combine_chunks(), table.column("_side").to_numpy()
+    order = np.unique(np.array(pid.to_pylist()), return_inverse=True)[1]
+    lat, lon = (np.radians(table.column(c).to_numpy()) for c in ("lat", "lon"))
+    n, f, k = (table.column(c).to_numpy() for c in ("n", "_f", "_k"))
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    if not identical:
+        x, t = table.column("x").combine_chunks(), table.column("t").combine_chunks()
+        start, codes = x.offsets.to_numpy() - x.offsets[0].as_py(), t.flatten().dictionary_encode()
+        wide, when, value = len(codes.dictionary), codes.indices.to_numpy(), x.flatten().to_numpy()
+
+    def dense(rows: np.ndarray) -> list[np.ndarray]:
+        """Number, sum and sum of squares of each record's values, centred and scaled, at each time."""
+        out = [np.zeros((len(rows), wide)) for _ in range(3)]
+        for r, i in enumerate(rows):
+            at, v = when[start[i] : start[i + 1]], value[start[i] : start[i + 1]]
+            v = v - v.mean()
+            v /= np.sqrt((v * v).mean()) or 1.0
+            for m, w in zip(out, (1.0, v, v * v), strict=True):
+                np.add.at(m[r], at, w)
+        return out
+
+    def direct(i: int, j: int) -> float:
+        a, b = slice(start[i], start[i + 1]), slice(start[j], start[j + 1])
+        p, q = np.nonzero(when[a][:, None] == when[b])
+        u, v = value[a][p], value[b][q]
+        if np.ptp(u) == 0 or np.ptp(v) == 0:
+            return np.nan
+        u, v = u - u.mean(), v - v.mean()
+        return (u @ v) / np.sqrt((u @ u) * (v @ v))
+
+    lost, weak = np.zeros(len(side), bool), []
+    tiles = [[r[c : c + _TILE] for c in range(0, len(r), _TILE)] for r in (left, right)]
+    for ka, a in enumerate(tiles[0]):
+        da = None if identical else dense(a)
+        for b in tiles[1][ka if right is left else 0 :]:
+            hit = order[a][:, None] != order[b]
+            if a[0] == b[0]:
+                hit &= np.arange(len(a))[:, None] < np.arange(len(b))
+            if not identical:
+                (wa, sa, qa), (wb, sb, qb) = da, (da if a[0] == b[0] else dense(b))
+                m = wa @ wb.T
+                with np.errstate(all="ignore"):
+                    su, sv, uu, vv = sa @ wb.T, wa @ sb.T, qa @ wb.T, wa @ qb.T
+                    vu, vw = uu - su * su / m, vv - sv * sv / m
+                    r = (sa @ sb.T - su * sv / m) / np.sqrt(vu * vw)
+                    hit &= m >= np.where(k[a][:, None] * k[b] > 1, 2, max(min_overlap, 2))
+                    # What products leave in doubt is worked out from the values.
+                    doubt = hit & ~((np.abs(r - min_corr) > 1e-6) & (vu > 1e-7 * uu) & (vw > 1e-7 * vv))
+                    for p, q in zip(*np.nonzero(doubt), strict=True):
+                        r[p, q] = direct(a[p], b[q])
+                    hit &= r > min_corr
+            p, q = np.nonzero(hit)
+            i, j = a[p], b[q]
+            h = np.sin((lat[j] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lon[j] - lon[i]) / 2) ** 2
+            near = 2 * EARTH_RADIUS_M / 1e3 * np.arcsin(np.sqrt(np.minimum(h, 1))) <= max_km
+            p, q, i, j = p[near], q[near], i[near], j[near]
+            first = order[i] < order[j]
+            i, j = np.where(first, i, j), np.where(first, j, i)
+            loser = np.where((n[i] > n[j]) | ((n[i] == n[j]) & (f[i] == 1)), j, i)
+            sure = np.ones(len(i), bool) if identical else m[p, q] >= min_overlap
+            lost[loser[sure]] = True
+            weak += [(int(c), int(d), int(e)) for c, d, e in zip(loser[~sure], (i + j - loser)[~sure], () if identical else m[p, q][~sure])]
+    rows = np.flatnonzero(lost)
+    gone, other = (pa.array(np.concatenate([rows, [w[c] for w in weak]]).astype(np.int64)) for c in (0, 1))
+    count = np.concatenate([np.full(len(rows), min_overlap), [w[2] for w in weak]]).astype(np.int64)
+    return pa.table({"pid": pid.take(gone), "other": pid.take(other), "m": pa.array(count)})
 
 
 def dedupe(sites: DataFrame, obs: DataFrame, **options) -> DataFrame:

@@ -1,4 +1,7 @@
+import re
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,32 @@ def test_duplicates_keep_the_longer(spark):
     assert [r["pid"] for r in proxies.duplicates(sites, full, identical=True, prefer=F.col("pid") == 1).collect()] == [2]
 
 
+@pytest.mark.parametrize("entries", [1 << 19, 400])
+def test_duplicates_equal_all_pairs(spark, monkeypatch, entries):
+    """Copies, noise, gaps, a pid listed at two places and near the date line; no join of observations by time."""
+    monkeypatch.setattr(proxies, "ENTRIES", entries)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 30))
+    sites = [(p, ("coral", "tree")[p % 2], 1.0, float(60 + p % 3), float(179.5 + p % 2 - (360 if p % 7 < 3 else 0))) for p in range(90)] + [(5, "coral", 1.0, 60.0, 179.5), (7, "coral", 1.0, 61.0, 180.0)]
+    obs = [(p, y, 0, float(3.0 + base[p % 12, y] * (1 + p % 4) + rng.normal() * (0.0, 0.04, 0.2)[p // 12 % 3])) for p in range(90) for y in range(30) if rng.random() < 0.8 - 0.55 * (p % 5 == 0)]
+    obs += [(p, y, 0, v + 0.01) for p, y, _, v in obs if p in (5, 30) and y % 2]
+    st = spark.createDataFrame(sites, "pid long, ptype string, dt double, lat double, lon double").repartition(3)
+    ob = spark.createDataFrame(obs, "pid long, year int, season int, value double").repartition(5)
+    s, o = (pd.DataFrame(r, columns=c) for r, c in ((sites, ["pid", "ptype", "dt", "lat", "lon"]), (obs, ["pid", "year", "season", "value"])))
+    n = o.groupby("pid").size()
+    pairs = s.merge(s, on=["ptype", "dt"])
+    h = np.sin(np.radians(pairs.lat_y - pairs.lat_x) / 2) ** 2 + np.cos(np.radians(pairs.lat_x)) * np.cos(np.radians(pairs.lat_y)) * np.sin(np.radians(pairs.lon_y - pairs.lon_x) / 2) ** 2
+    pairs = pairs[(pairs.pid_x < pairs.pid_y) & (2 * 6371.0088 * np.arcsin(np.sqrt(h)) <= 100)]
+    want = set()
+    for (a, b), g in pairs.groupby(["pid_x", "pid_y"]):
+        both = g[["pid_x", "pid_y"]].merge(o.set_axis(["pid_x", "year", "season", "u"], axis=1), on="pid_x").merge(o.set_axis(["pid_y", "year", "season", "v"], axis=1), on=["pid_y", "year"])
+        if len(both) >= 10 and np.corrcoef(both.u, both.v)[0, 1] > 0.99:
+            want.add(b if n[a] > n[b] else a)
+    found = proxies.duplicates(st, ob, min_corr=0.99, max_km=100.0)
+    assert {r["pid"] for r in found.collect()} == want and 20 < len(want) < 90
+    assert not re.search(r"Join.*year", found._jdf.queryExecution().toString())
+
+
 # -- sources and sinks --------------------------------------------------------
 
 NOAA = """# Site_Name: Somewhere
