@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .linear import indexed, lag_covariance
 
+#: Numbers of the noise factor of several substeps at once (8 MB).
+JOINT = 1 << 20
+
 
 @dataclass
 class Lim:
@@ -57,24 +60,52 @@ class Lim:
         What is kept of each step is the midpoint of the following substep, as
         in the fitted scheme also for the start, unless ``keep_initial``.
         """
-        dt = self.tau / substeps
-        # One matrix step and one noise factor, both constant.
-        move = np.eye(len(self.l)) + self.l * dt
-        noise = self.q_vectors * np.sqrt(self.q_values * dt)
-        real = np.abs(move.imag).max() < 1e-12 and (not np.iscomplexobj(noise) or np.abs(noise.imag).max() < 1e-12)
-        if real:
-            move, noise = move.real, np.real(noise)
+        move, noise, powers, joint, most = self._scheme(substeps)
+        r, m = noise.shape[1], x0.shape[1]
         out = np.empty((*x0.shape, steps + 1))
         x = x0.astype(move.dtype)
-        for k in range(steps * substeps + 1):
-            new = move @ x + noise @ rng.normal(size=(noise.shape[1], x0.shape[1]))
-            if k % substeps == 0:
-                out[:, :, k // substeps] = ((x + new) / 2).real
-            x = new
+        for k in range(steps + 1):
+            new = move @ x
+            if r:
+                new += noise @ rng.standard_normal((r, m))
+            out[:, :, k] = ((x + new) / 2).real
+            x, left = new, substeps - 1 if k < steps else 0
+            while left:
+                now = min(left, most)
+                x, left = powers[now] @ x, left - now
+                if r:
+                    x += joint[:, (most - now) * r :] @ rng.standard_normal((now * r, m))
         if keep_initial:
             out[:, :, 0] = x0
         return out
 
+    def _scheme(self, substeps: int) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray], np.ndarray, int]:
+        """Matrix and noise factor of a substep, and of up to ``most`` substeps at once: powers, and what each one's draw has become."""
+        kept = self.__dict__.setdefault("_schemes", {})
+        if substeps not in kept:
+            dt = self.tau / substeps
+            # One matrix step and one noise factor, both constant.
+            move = np.eye(len(self.l)) + self.l * dt
+            noise = self.q_vectors * np.sqrt(self.q_values * dt)
+            real = np.abs(move.imag).max() < 1e-12 and (not np.iscomplexobj(noise) or np.abs(noise.imag).max(initial=0) < 1e-12)
+            if real:
+                move, noise = move.real, np.real(noise)
+            if not noise.any():
+                noise = noise[:, :0]
+            most = max(1, min(substeps - 1, JOINT // max(noise.size, 1)))
+            parts, power, powers, ends = [], np.eye(len(move)), {}, {most, (substeps - 1) % most}
+            for k in range(1, most + 1):
+                parts.append(power @ noise)
+                power = power @ move
+                if k in ends:
+                    powers[k] = power
+            kept[substeps] = move, noise, powers, np.hstack(parts[::-1]), most
+        return kept[substeps]
+
+    def quiet(self, substeps: int) -> bool:
+        """Without noise, so that members differ by their start alone."""
+        return not self._scheme(substeps)[1].size
+
     def to_json(self) -> str:
         pair = lambda a: {"re": np.real(a).tolist(), "im": np.imag(a).tolist()}
         return json.dumps({"tau": self.tau, "q_scale": self.q_scale} | {k: pair(getattr(self, k)) for k in ("g", "l", "q_values", "q_vectors")})

@@ -9,6 +9,7 @@ of a case at a lead, then over cases.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from .linear import indexed, sized
 from .mapper import Mapper
 from .proxies import drawn
 
-#: Members of a task.
-BLOCK = 25
+#: Members of a task; starts of a task where only scores are asked for.
+BLOCK, STARTS = 25, 64
 
 
 def starts(reduced: DataFrame, step: str, horizon: int, cases: int | None = None, seed: int = 89_155_354) -> DataFrame:
@@ -78,6 +79,77 @@ def scores(cases: DataFrame, truth: DataFrame, step: str, by: list[str], x: str
     return pairs.groupBy("lead", *by).agg(F.sqrt(F.avg((F.col("mean") - F.col("_x")) ** 2)).alias(name), F.sqrt(F.avg("variance")).alias("spread"), F.count(F.lit(1)).alias("cases"))
 
 
+def state_scores(model: Lim, reduced: DataFrame, step: str, horizon: int, members: int, substeps: int, state: str = "state", x: str = "x", cases: int | None = None, seed: int = 45_287_653, keep_initial: bool = True) -> DataFrame:
+    """``scores`` by state element of the forecasts that ``stochastic_forecasts`` would draw, without a row for each of their numbers.
+
+    Steps go in runs of ``STARTS``, each with the ``horizon`` steps after it: a
+    task forecasts from its starts, block by block with the same streams,
+    compares with what came, and hands out sums for each lead and element.
+    """
+    st, labels = indexed(reduced, [state])
+    n = len(labels)
+    if n != len(model.g):
+        raise ValueError(f"the model has {len(model.g)} elements, the state {n}")
+    width = max(STARTS, 8 * horizon)
+    spark = reduced.sparkSession
+    drawn_cases = None if cases is None else [r["case"] for r in starts(reduced, step, horizon, cases, seed).collect()]  # ``cases`` numbers
+    shared = spark.sparkContext.broadcast(model.to_json())
+
+    def run(table: pa.Table) -> pa.Table:
+        lim = _model(shared.value)
+        first = table.column("_run")[0].as_py()
+        t, i, v = (table.column(c).to_numpy() for c in ("_t", "_i", "_v"))
+        known = table.column("_v").is_valid().to_numpy()
+        steps, at = np.unique(t, return_inverse=True)
+        full, start = np.zeros((len(steps), n), bool), np.zeros((len(steps), n))
+        full[at[known], i[known]], start[at[known], i[known]] = True, v[known]
+        whole = (steps >= first) & (steps < first + width) & full.all(1) & (np.bincount(at, minlength=len(steps)) == n)
+        for k in range(1, horizon + 1):
+            whole &= np.isin(steps + k, steps)
+        if drawn_cases is not None:
+            whole &= np.isin(steps, drawn_cases)
+        case, x0 = steps[whole], start[whole]
+        mean, square = np.zeros((2, len(case), n, horizon + 1))
+        if lim.quiet(substeps):  # members are all the same
+            mean = np.moveaxis(lim.simulate(x0.T, horizon, substeps, np.random.default_rng(seed), keep_initial), 1, 0)
+        else:
+            for c in range(len(case)):
+                done = 0
+                for block in range(-(-members // BLOCK)):
+                    m = min(BLOCK, members - block * BLOCK)
+                    rng = np.random.default_rng([seed, int(case[c]) % (1 << 63), block])
+                    out = lim.simulate(np.repeat(x0[c][:, None], m, axis=1), horizon, substeps, rng, keep_initial)
+                    own = out.mean(1)
+                    gap = own - mean[c]
+                    square[c] += ((out - own[:, None]) ** 2).sum(1) + gap**2 * (done * m / (done + m))
+                    mean[c] += gap * (m / (done + m))
+                    done += m
+        variance = square / max(members - 1, 1)
+        sums = []
+        for k in range(horizon + 1):
+            due = known & np.isin(t - k, case)
+            c, e = np.searchsorted(case, t[due] - k), i[due]
+            error = mean[c, e, k] - v[due]
+            sums.append([np.bincount(e, w, n) for w in (error**2, variance[c, e, k], np.ones(len(e)))])
+        lists = lambda j, kind: pa.array([s[j].tolist() for s in sums], pa.list_(kind))
+        return pa.table({"lead": pa.array(range(horizon + 1), pa.int32()), "e": lists(0, pa.float64()), "s": lists(1, pa.float64()), "m": pa.array([s[2].astype(np.int64).tolist() for s in sums], pa.list_(pa.int64()))})
+
+    t = F.col(step).cast("bigint")
+    rows = reduced.join(F.broadcast(st), state).select(t.alias("_t"), "_i", F.col(x).cast("double").alias("_v"))
+    t, size = F.col("_t"), F.lit(width).cast("bigint")
+    runs = F.sequence(t - horizon - F.pmod(t - horizon, size), t - F.pmod(t, size), size)
+    # A task is dear and its rows few: a fixed number of partitions, so that they are not put together.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    sums = rows.withColumn("_run", F.explode(runs)).repartition(parts, "_run").groupBy("_run").applyInArrow(run, "lead int, e array<double>, s array<double>, m array<bigint>")
+    each = sums.select("lead", F.posexplode(F.arrays_zip("e", "s", "m")).alias("_i", "z")).groupBy("lead", "_i").agg(*[F.sum(f"z.{c}").alias(c) for c in "esm"])
+    return each.where("m > 0").join(F.broadcast(st), "_i").select("lead", state, F.sqrt(F.col("e") / F.col("m")).alias("rmse"), F.sqrt(F.col("s") / F.col("m")).alias("spread"), F.col("m").alias("cases"))
+
+
+@lru_cache(1)
+def _model(text: str) -> Lim:
+    return Lim.from_json(text)
+
+
 def physical_forecasts(forecasts: DataFrame, mapper: Mapper, fields: list[str] | None = None) -> DataFrame:
     """``case, lead, ens, field, lat, lon, value``: the way back of every member."""
     if mapper.by_season:

@@ -244,8 +244,7 @@ def verification_without_noise(s, d):
     """Forecasts of a damped state from every start; without noise all members are the damped start."""
     model = _damped(np.zeros(64))
     x = v.state_matrix(s, d)
-    fc = verification.stochastic_forecasts(model, x, "sample_idx", _AHEAD, 2, _SUBSTEPS, state="state_idx")
-    return verification.scores(verification.by_case(fc, ["state_idx"]), x, "sample_idx", ["state_idx"])
+    return verification.state_scores(model, x, "sample_idx", _AHEAD, 2, _SUBSTEPS, state="state_idx")
 
 
 @query()

@@ -50,6 +50,37 @@ def test_streams_depend_on_keys_alone(spark):
     assert one.nunique().min() == 30 and np.abs(np.corrcoef(one.to_numpy() - one.to_numpy().mean(0), rowvar=False) - np.eye(one.shape[1])).max() < 0.7
 
 
+def test_scores_in_the_task_are_those_of_the_forecasts(spark):
+    """Gaps, an element that is not recorded, runs of starts that borders divide, drawn cases; no row for a member."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3, 170))
+    df = _reduced(spark, x).where("k not in (40, 41, 130) and not (k = 70 and state = 1)").withColumn("k", F.col("k") - 60)
+    for noise, cases, keep in (([1.0, 0.5, 2.0], None, True), ([1.0, 0.5, 2.0], 20, False), ([0.0] * 3, None, True)):
+        model = _lim([2.0, 1.0, 0.5], noise)
+        fc = verification.stochastic_forecasts(model, df, "k", 3, 30, 10, cases=cases, keep_initial=keep)
+        want = verification.scores(verification.by_case(fc, ["state"]), df, "k", ["state"]).toPandas()
+        got = verification.state_scores(model, df, "k", 3, 30, 10, cases=cases, keep_initial=keep)
+        assert "posexplode(v" not in got._jdf.queryExecution().toString()
+        order = ["lead", "state"]
+        pd.testing.assert_frame_equal(got.toPandas().sort_values(order).reset_index(drop=True), want[got.columns].sort_values(order).reset_index(drop=True), check_dtype=False, rtol=1e-9, atol=1e-12)
+
+
+def test_joint_substeps_are_the_substeps(monkeypatch):
+    from isobar.operators import lim
+
+    c0 = np.array([[1.0, 0.3], [0.3, 0.5]])
+    for size in (1, 12, 1 << 20):
+        monkeypatch.setattr(lim, "JOINT", size)
+        model = Lim.from_covariances(c0, np.array([[0.7, -0.2], [0.3, 0.3]]), 0.25)
+        got = model.simulate(np.ones((2, 4)), 3, 8, np.random.default_rng(1))
+        gen, dt, x, want = np.random.default_rng(1), 0.25 / 8, np.ones((2, 4)), []
+        for k in range(25):
+            new = x + model.l.real @ x * dt + model.q_vectors * np.sqrt(model.q_values * dt) @ gen.normal(size=(len(model.q_values), 4))
+            want += [(x + new) / 2] if k % 8 == 0 else []
+            x = new
+        np.testing.assert_allclose(got, np.stack(want, 2), atol=1e-12)
+
+
 def test_physical_scores_equal_numpy(spark):
     rng = np.random.default_rng(3)
     lat, lon, times = [-30.0, 0.0, 30.0], [10.0, 100.0], 24
