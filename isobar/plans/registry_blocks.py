@@ -254,8 +254,7 @@ def verification_stochastic(s, d):
     var = {r["state_idx"]: r["v"] for r in x.groupBy("state_idx").agg(F.var_pop("x").alias("v")).collect()}
     rate = 0.5 + np.arange(64) / 32
     model = _damped(2 * rate * np.array([var[k] for k in range(64)]))
-    fc = verification.stochastic_forecasts(model, x, "sample_idx", _AHEAD, 50, _SUBSTEPS, state="state_idx")
-    return verification.scores(verification.by_case(fc, ["state_idx"]), x, "sample_idx", ["state_idx"])
+    return verification.state_scores(model, x, "sample_idx", _AHEAD, 50, _SUBSTEPS, state="state_idx")
 
 
 def _damped(noise: np.ndarray) -> Lim:
