@@ -38,6 +38,17 @@ def test_rows_equal_sql(spark, data, duck, name):
     pd.testing.assert_frame_equal(a, b, check_dtype=False, atol=2e-6, rtol=0)
 
 
+def test_fixed_text_keeps_its_head_first(spark, data, duck, monkeypatch):
+    """Lists are collected in the order of arrival, which is open; here it is turned round."""
+    from pyspark.sql import functions as F
+
+    collected = F.collect_list
+    monkeypatch.setattr(F, "collect_list", lambda c: F.reverse(collected(c)))
+    got = registry.QUERIES["source_fixed_text"](spark, data).toPandas().sort_values("nation").reset_index(drop=True)
+    want = duck[data].execute(registry.ORACLE_SQL["source_fixed_text"]).df().sort_values("nation").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
