@@ -109,28 +109,34 @@ def suffix_order(head: np.ndarray) -> np.ndarray:
     return np.argsort(head.view(f"S{head.shape[1]}").ravel(), kind="stable")
 
 
-def nearest_smaller(x: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value to the left of each, -1 where there is none."""
+def nearest_smaller(x: np.ndarray, shared: np.ndarray | None = None) -> np.ndarray:
+    """Index of the nearest smaller value to the left of each, -1 where there is none.
+
+    ``shared`` (what each shares with its left neighbour) becomes the least from there on.
+    """
     at = np.arange(len(x)) - 1
     todo = np.flatnonzero(at >= 0)
     while len(todo):
         todo = todo[x[at[todo]] > x[todo]]
-        at[todo] = at[at[todo]]
+        j = at[todo]
+        if shared is not None:
+            shared[todo] = np.minimum(shared[todo], shared[j])
+        at[todo] = at[j]
         todo = todo[at[todo] >= 0]
     return at
 
 
-def common_prefix(head: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many first bytes the heads of ``a`` and ``b`` share."""
-    out = np.full(len(a), head.shape[1], dtype=np.int64)
+def common_prefix(head: np.ndarray) -> np.ndarray:
+    """How many first bytes each head shares with the next."""
+    out = np.full(len(head) - 1, head.shape[1], dtype=np.int64)
     wide = head.shape[1] % 8 == 0
     unit = head.view(np.uint64) if wide else head
-    differs = unit[a] != unit[b]
+    differs = unit[:-1] != unit[1:]
     some = np.flatnonzero(differs.any(axis=1))
     first = differs[some].argmax(axis=1)
     if wide:
         inside = head.reshape(len(head), -1, 8)
-        first = 8 * first + (inside[a[some], first] != inside[b[some], first]).argmax(axis=1)
+        first = 8 * first + (inside[some, first] != inside[some + 1, first]).argmax(axis=1)
     out[some] = first
     return out
 
@@ -143,7 +149,11 @@ def longest_previous_factors(head: np.ndarray, twice: np.ndarray | None = None)
     results of the copies follow, in order.
     """
     n = len(head)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = suffix_order(head)
+    # What neighbours in the order share; others share the least of what lies between.
+    shared = common_prefix(head[order])
     if twice is not None and twice.any():
         copy = np.flatnonzero(twice)
         number = np.full(n, -1)
@@ -154,14 +164,17 @@ def longest_previous_factors(head: np.ndarray, twice: np.ndarray | None = None)
         x = np.empty(len(base), dtype=np.int64)
         x[first] = order
         x[first[times > 1] + 1] = number[order[times > 1]]
+        between = np.full(len(base) - 1, head.shape[1], dtype=np.int64)
+        between[first[1:] - 1] = shared
+        shared = between
     else:
         base, x = np.arange(n), order
     length, place = np.zeros(len(base), dtype=np.int64), np.full(len(base), -1)
-    left = nearest_smaller(x)
-    right = len(x) - 1 - nearest_smaller(x[::-1])[::-1]
-    for side, has in ((left, left >= 0), (right, right < len(x))):
-        own, other = x[has], x[side[has]]
-        got = common_prefix(head, base[own], base[other])
+    to_left, to_right = np.r_[0, shared], np.r_[0, shared[::-1]]
+    left = nearest_smaller(x, to_left)
+    right = len(x) - 1 - nearest_smaller(x[::-1], to_right)[::-1]
+    for side, has, least in ((left, left >= 0, to_left), (right, right < len(x), to_right[::-1])):
+        own, other, got = x[has], x[side[has]], least[has]
         better = got > length[own]
         length[own[better]], place[own[better]] = got[better], other[better]
     return length, place
@@ -237,6 +250,12 @@ def repeated(chunks: DataFrame, hot_kinds: int = HOT) -> DataFrame:
             again = cut.again()
             yield pa.RecordBatch.from_arrays([pa.array(cut.key[at].view(np.int64)), pa.array(piece.view(np.int64)), pa.array(np.full(len(piece), c.id)), pa.array(again[at]), pa.array(n > 1)], ["key", "piece", "chunk", "again", "more"])
 
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in each(batches):
+            cut = _Cut(c)
+            piece, at = np.unique(cut.piece, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cut.key[at].view(np.int64)), pa.array(piece.view(np.int64)), pa.array(np.full(len(piece), c.id))], ["key", "piece", "chunk"])
+
     read = chunks.select("chunk", "ids", "lens", "text")
     sent = read.mapInArrow(send, "key long, piece long, chunk long, again boolean, more boolean")
     pieces = sent.groupBy("key", "piece").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"), F.max("again").alias("again"), F.max("more").alias("more"), F.count(F.lit(1)).alias("times"))
@@ -268,7 +287,8 @@ def repeated(chunks: DataFrame, hot_kinds: int = HOT) -> DataFrame:
         found = found.unionByName(_matched_apart(shipped.where("hot")))
     found = saved(found.join(shipped.select("key", "piece", "times"), ["key", "piece"]))
     dropped(shipped)
-    back = joined(sent.select("key", "piece", "chunk"), found, ["key", "piece"], "times")
+    # The way back needs no places within a chunk, so they are not looked for again.
+    back = joined(read.mapInArrow(names, "key long, piece long, chunk long"), found, ["key", "piece"], "times")
     out = saved(back.groupBy("chunk").agg(F.collect_list(F.struct("piece", "every", "starts")).alias("hits")))
     dropped(found)
     return out

@@ -280,3 +280,18 @@ def test_stages_pass_on_columns_of_any_name(spark, data):
         assert out.columns == df.columns
         rows = out.select("doc_id", *[F.col(f"`{n}`.doc_id").alias(f"c{k}") for k, n in enumerate(names)]).collect()
         assert rows and all(v == r["doc_id"] for r in rows for v in r)
+
+
+def test_factors_from_what_neighbours_share():
+    """Each suffix's longest earlier match from the prefixes of neighbours in the order, against all pairs."""
+    rng = np.random.default_rng(3)
+    for width in (5, 8, 16):
+        head = np.ascontiguousarray(rng.integers(0, 2, (20, width)).astype(np.uint8)[rng.integers(0, 20, 40)])
+        twice = rng.random(40) < 0.3
+        every = np.vstack([head, head[twice]])
+        length, place = op4_suffix.longest_previous_factors(head, twice)
+        for k in range(len(every)):
+            same = [int((np.r_[every[j] != every[k], True]).argmax()) for j in range(k)]
+            assert length[k] == max(same, default=0) and (not length[k] or same[place[k]] == length[k])
+    ordered = np.array([[1, 1], [1, 2], [2, 2]], dtype=np.uint8)
+    assert op4_suffix.common_prefix(ordered).tolist() == [1, 0]
